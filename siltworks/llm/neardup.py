@@ -241,7 +241,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = with_text(docs, id_col, text_col)
     signed = materialize(signatures(texts), "signatures")
     worded = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(worded.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = materialize(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
 
     # Buckets: keys of several classes; of buckets with the same members one is enough.
@@ -262,7 +262,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     families = components(members.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(sift, "u long, v long"))
     families = materialize(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "families")
     linked = components(_confirm(texts, families))
-    placed = materialize(classes.join(linked, classes.rep == linked.node, "left").select("digest", F.coalesce("component", "rep").alias("component")), "placed")
+    # A text alone in its class and without links is its own component and needs no row here.
+    placed = classes.join(linked, classes.rep == linked.node, "left").where("copies > 1 or component is not null")
+    placed = materialize(placed.select("digest", F.coalesce("component", "rep").alias("component")), "placed")
     out = salted_join(signed.select("doc_id", "n_shingles", "digest"), placed, "digest", ["doc_id"])
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -275,7 +277,8 @@ def _confirm(texts: DataFrame, families: DataFrame) -> DataFrame:
     blocks = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / half)).cast("int")
     sized = sized.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    member = texts.join(sized, texts.doc_id == sized.rep).select("family", "rep", "side", "blocks", "text").withColumn("other", other)
+    # Always a merge join: a broadcast of the families would fit small corpora only.
+    member = texts.join(sized.hint("merge"), texts.doc_id == sized.rep).select("family", "rep", "side", "blocks", "text").withColumn("other", other)
     dealt = member.select("family", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
