@@ -26,7 +26,7 @@ from siltworks.llm.training import fit_platt, labelled_sample, sigmoid
 BITS = 18
 HEADS, TAILS = (3, 4, 5, 6, 7), (4,)
 #: Bound of the labelled sample: rows and characters a text.
-TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
+TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000
 #: A feature labels tokens if at least this share of the documents that hold it is toxic, and this many are.
 MIN_PRECISION, MIN_DOCS = 0.95, 4
 #: Features of so many toxic documents label tokens whether or not the cover needs them.
@@ -86,22 +86,30 @@ def _lookup(ids: np.ndarray, features: np.ndarray) -> np.ndarray:
     return np.where(ids[at] == features, at, len(ids)) if len(ids) else np.zeros(features.shape, np.int64)
 
 
-def _label_tokens(features: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Token labels from document labels by a greedy cover of the toxic documents."""
-    width = features.shape[1]
-    cells = np.unique((np.repeat(of, width) << BITS) + features.ravel()) if len(features) else np.zeros(0, np.int64)
-    cells = cells[cells >= 0] if len(cells) else cells
-    doc, feat = cells >> BITS, cells & ((1 << BITS) - 1)
-    valid = np.zeros(1 << BITS, bool)
-    valid[np.unique(features[features >= 0])] = True
-    hits = np.bincount(feat, weights=y[doc], minlength=1 << BITS)
-    seen = np.bincount(feat, minlength=1 << BITS)
-    good = valid & (hits >= MIN_DOCS) & (hits >= MIN_PRECISION * seen)
-    keep = good[feat] & (y[doc] > 0)
-    doc, feat = doc[keep], feat[keep]
-    chosen = valid & (hits >= SURE_DOCS) & (hits >= SURE_PRECISION * seen)
+def _label_words(w: Words, features: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which distinct words are toxic where they stand in a toxic text: a greedy cover of the toxic documents.
+
+    features: _vocab_features(w). Works through the texts a few at a time, so memory follows the features, not the tokens.
+    """
+    size = 1 << BITS
+
+    def cells(step: int = 100) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for at in range(0, len(y), step):
+            to = min(at + step, len(y))
+            codes, of = w.codes[w.bounds[at] : w.bounds[to]], owner(w.bounds[at : to + 1] - w.bounds[at])
+            seen = np.unique((of[:, None] * size + features[codes])[features[codes] >= 0])
+            yield at, seen // size, seen % size
+
+    hits, seen = np.zeros(size), np.zeros(size)
+    for at, doc, feat in cells():
+        seen += np.bincount(feat, minlength=size)
+        hits += np.bincount(feat, weights=y[at + doc], minlength=size)
+    good = (hits >= MIN_DOCS) & (hits >= MIN_PRECISION * seen)
+    parts = [(at + doc[keep], feat[keep]) for at, doc, feat in cells() for keep in [good[feat] & (y[at + doc] > 0)]]
+    doc, feat = (np.concatenate(c) for c in zip(*parts, strict=True))
+    chosen = (hits >= SURE_DOCS) & (hits >= SURE_PRECISION * seen)
     while len(doc):
-        gain = np.bincount(feat, minlength=1 << BITS)
+        gain = np.bincount(feat, minlength=size)
         best = int(np.argmax(gain))
         if gain[best] < MIN_DOCS:
             break
@@ -110,7 +118,7 @@ def _label_tokens(features: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.nda
         covered[doc[feat == best]] = True
         left = ~covered[doc]
         doc, feat = doc[left], feat[left]
-    return (np.where(features >= 0, chosen[features], False).any(axis=1)) & (y[of] > 0)
+    return np.where(features >= 0, chosen[features], False).any(axis=1)
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> ToxicityModel:
@@ -121,9 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows:
     if not y.any():
         return ToxicityModel(empty.ids, empty.emit, np.array([[0.0, -6.0], [0.0, -6.0]]), empty.start, 1.0, 0.0)
     w = tokens(sample.column("text").combine_chunks())
-    features = _vocab_features(w)[w.codes]
+    features = _vocab_features(w)
     of = owner(w.bounds)
-    toxic = _label_tokens(features, of, y)
+    toxic = _label_words(w, features, y)[w.codes] & (y[of] > 0)
     # Windows around toxic tokens, as many from texts that are not toxic, and others by a fixed stride.
     centre = np.concatenate([np.flatnonzero(toxic)[:: max(1, int(toxic.sum() // 2500))], np.flatnonzero(y[of] == 0)[:: max(1, int((y[of] == 0).sum() // 2500))]])
     centre = np.unique(centre // WINDOW) * WINDOW
@@ -131,14 +139,15 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows:
     inside = at < len(of)
     at = np.minimum(at, len(of) - 1)
     inside &= of[at] == of[at[:, :1]]
-    ids = np.unique(features[at][inside])
+    ids = np.unique(features[w.codes[at[inside]]])
     ids = ids[ids >= 0]
-    rows_of = np.where(inside[:, :, None], _lookup(ids, features[at]), len(ids))
+    rows_of = np.where(inside[:, :, None], _lookup(ids, features[w.codes[at]]), len(ids))
     weights, trans, start = chains.train(np.where(rows_of == len(ids), -1, rows_of), toxic[at].astype(np.int64), inside, len(ids), 2, rounds=60)
     emit = weights[:-1, 1] - weights[:-1, 0]
     kept = np.abs(emit) > 1e-3
     model = ToxicityModel(ids[kept], emit[kept], trans, start, 1.0, 0.0)
-    a, b = fit_platt(evidence(model.token_probability(w), w.bounds), y.astype(float))
+    each = [evidence(model.token_probability(t), t.bounds) for batch in sample.combine_chunks().to_batches() for part in text_chunks(batch, "text", 1 << 20) for t in [tokens(part.column("text"))]]
+    a, b = fit_platt(np.concatenate(each), y.astype(float))
     model.a, model.b = max(a, 0.05), b
     return model
 
