@@ -8,6 +8,7 @@ probability of good quality is at least KEEP_AT.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,10 +21,10 @@ from siltworks.llm.textcols import Words, char_ngrams, owner, padded, pair_bucke
 from siltworks.llm.training import fit_logistic, fit_platt, labelled_sample, sigmoid
 
 #: Buckets of hashed features, as a power of two, for each of words, pairs and grams of one length.
-BITS = 10
+BITS = 9
 GRAMS = (1, 2, 3, 4)
 #: Bound of the labelled sample: rows and characters a text.
-TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000
+TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
 #: A document is kept from this probability on.
 KEEP_AT = 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -148,12 +149,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_chars:
     size = 1 << BITS
     if not sample.num_rows:
         return QualityModel(np.zeros(size), np.zeros(size), {g: np.zeros(size) for g in GRAMS}, 6.0, 1.0, 0.0)
-    parts = [_features(split_words(*text_bytes(part.column("text")))) for batch in sample.combine_chunks().to_batches() for part in text_chunks(batch, "text", 1 << 20)]
-    x, y = np.concatenate(parts), sample.column("y").to_numpy().astype(float)
-    fit = np.arange(len(y)) % 5 != 0
-    w, bias = fit_logistic(x[fit], y[fit], 1e-5)
+    # Calibration rows last, so that both parts are views of one array.
+    held = np.array([zlib.crc32(b"calibrate %d" % d) % 5 == 0 for d in sample.column("doc_id").to_pylist()], bool)
+    sample = sample.take(np.argsort(held, kind="stable"))
+    y = sample.column("y").to_numpy().astype(float)
+    x, at = np.zeros((len(y), size * (2 + len(GRAMS))), np.float32), 0
+    for batch in sample.combine_chunks().to_batches():
+        for part in text_chunks(batch, "text", 1 << 19):
+            x[at : at + part.num_rows] = _features(split_words(*text_bytes(part.column("text"))))
+            at += part.num_rows
+    fit = len(y) - int(held.sum())
+    w, bias = fit_logistic(x[:fit], y[:fit], 1e-5)
     w = w.astype(np.float64)
-    a, b = fit_platt(x[~fit] @ w.astype(np.float32) + bias, y[~fit])
+    a, b = fit_platt(x[fit:] @ w.astype(np.float32) + bias, y[fit:])
     return QualityModel(w[:size], w[size : 2 * size], {g: w[(2 + k) * size : (3 + k) * size] for k, g in enumerate(GRAMS)}, bias, max(a, 0.1), b)
 
 
