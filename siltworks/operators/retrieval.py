@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltworks.operators.graph import written
+
 #: Lines a chunk at most, and from how many on a blank line ends it.
 MOST_LINES, BREAK_FROM = 30, 5
 TOKEN = r"[a-zA-Z_][\p{L}\p{M}\p{Nd}\p{Pc}]*"
@@ -49,7 +51,24 @@ def tokens(text: Column) -> Column:
 
 
 def term_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.select(*keys, F.explode(tokens(F.col("content"))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    """keys, token, tf of rows (keys, content). A row's tokens are counted where they are, so nothing is shuffled; keys must be unique."""
+    import numpy as np
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                lists = part.column("_tokens")
+                coded = lists.flatten().dictionary_encode()
+                of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                width = max(1, len(coded.dictionary))
+                cell, tf = np.unique(of * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                place = pa.array(cell // width)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(place) for k in keys), coded.dictionary.take(pa.array(cell % width)), pa.array(tf, pa.int64())], names=[*keys, "token", "tf"])
+
+    return rows.select(*keys, tokens(F.col("content")).alias("_tokens")).mapInArrow(run, f"{kept}, token string, tf bigint")
 
 
 def inverse_frequencies(tf: DataFrame, n_chunks: int) -> DataFrame:
@@ -69,7 +88,7 @@ class Index:
     @classmethod
     def build(cls, files: DataFrame) -> Index:
         rows = chunks(files)
-        tf = term_counts(rows, ["path", "chunk"])
+        tf = written(term_counts(rows, ["path", "chunk"]))
         return cls(rows, tf, inverse_frequencies(tf, rows.count()))
 
     def save(self, folder: str) -> None:
@@ -90,9 +109,10 @@ def retrieve(index: Index, questions: DataFrame, k: int = 5) -> DataFrame:
 
     Only chunks that share a token with a question meet it. Ties go by path and chunk.
     """
-    asked = term_counts(questions, ["question"]).join(index.idf.select("token", "idf"), "token").select("question", "token", (F.col("tf") * F.col("idf")).alias("q"))
+    asked = term_counts(questions, ["question"]).join(index.idf.select("token", "idf"), "token").select("question", "token", "idf", (F.col("tf") * F.col("idf")).alias("q"))
     size = asked.groupBy("question").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    dots = index.weights.join(asked, "token").groupBy("question", "path", "chunk").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
+    met = index.tf.join(asked, "token")
+    dots = met.groupBy("question", "path", "chunk").agg(F.sum(F.col("q") * F.col("tf") * F.col("idf")).alias("dot"))
     scored = dots.join(index.norms, ["path", "chunk"]).join(size, "question").where("norm > 0 and q_norm > 0")
     scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 9))
     by = Window.partitionBy("question").orderBy(F.desc("score"), "path", "chunk")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.columns import INDEX_ROOTS, count_of, lines, module_name, trimmed
+from siltworks.functions.columns import INDEX_ROOTS, count_of, module_name
 
 SCHEMA = "path string, ord long, name string, kind string, line long, end_line long, visibility string, params array<struct<name:string,type_hint:string>>, return_type string, doc_comment string, decorators array<string>, calls array<string>, fields array<string>"
 
@@ -256,24 +256,29 @@ BLOCK_COMMENTS = ("rust", "go", "java", "typescript", "tsx", "javascript", "jsx"
 
 
 def metrics(files: DataFrame) -> DataFrame:
-    """path, language, code_lines, comment_lines, blank_lines, complexity."""
-    rows = F.transform(lines(F.col("content")), trimmed)
-    full = F.filter(rows, lambda x: x != "")
+    """path, language, code_lines, comment_lines, blank_lines, complexity.
+
+    Lines are trimmed by one expression over the whole text, and each step stands in a projection of its own, so that
+    Spark works it out once. Only texts that open a block comment are walked line by line.
+    """
+    bare = F.regexp_replace("content", r"(?dmU)^[^\S\n]+|[^\S\n]+$", "")
+    rows = files.select("path", "language", F.when(F.col("content") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(bare, r"\n\z", ""), "\n", -1)).alias("_rows"))
+    rows = rows.select("path", "language", F.size("_rows").cast("long").alias("_all"), F.array_remove("_rows", "").alias("_full"))
+    rows = rows.select("*", F.size("_full").cast("long").alias("_n"), F.array_join("_full", "\n").alias("_body"))  # no keyword holds a line end
 
     def step(state: Column, x: Column) -> Column:
         opened, closed = x.startswith("/*"), x.contains("*/")
         comment = state["inside"] | x.startswith("//") | opened
         return F.struct((state["n"] + comment.cast("long")).alias("n"), F.when(state["inside"], ~closed).otherwise(opened & ~closed & ~x.startswith("//")).alias("inside"))
 
-    blocks = F.aggregate(full, F.struct(F.lit(0).cast("long").alias("n"), F.lit(False).alias("inside")), step)["n"]
-    hashes = F.size(F.filter(full, lambda x: x.startswith("#"))).cast("long")
-    comment = F.when(F.col("language") == "python", hashes).when(F.col("language").isin(*BLOCK_COMMENTS), blocks).otherwise(F.lit(0).cast("long"))
-    joined = F.array_join(full, "\n")  # no keyword holds a line end, so counting over the join equals counting by line
+    blocks = F.aggregate("_full", F.struct(F.lit(0).cast("long").alias("n"), F.lit(False).alias("inside")), step)["n"]
+    starting = lambda mark: F.regexp_count("_body", F.lit(f"(?dm)^{mark}")).cast("long")
+    comment = F.when(F.col("language") == "python", starting("#")).when(F.col("language").isin(*BLOCK_COMMENTS), F.when(F.col("_body").contains("/*"), blocks).otherwise(starting("//"))).otherwise(F.lit(0).cast("long"))
     branches = F.lit(0).cast("long")
     for lang, words in BRANCHES.items():
-        branches = F.when(F.col("language") == lang, sum((count_of(joined, w) for w in words), F.lit(0).cast("long"))).otherwise(branches)
-    out = files.select("path", "language", (F.size(full)).cast("long").alias("_full"), (F.size(rows) - F.size(full)).cast("long").alias("blank_lines"), comment.alias("comment_lines"), (branches + 1).alias("complexity"))
-    return out.select("path", "language", (F.col("_full") - F.col("comment_lines")).alias("code_lines"), "comment_lines", "blank_lines", "complexity")
+        branches = F.when(F.col("language") == lang, sum((count_of(F.col("_body"), w) for w in words), F.lit(0).cast("long"))).otherwise(branches)
+    out = rows.select("path", "language", "_n", (F.col("_all") - F.col("_n")).alias("blank_lines"), comment.alias("comment_lines"), (branches + 1).alias("complexity"))
+    return out.select("path", "language", (F.col("_n") - F.col("comment_lines")).alias("code_lines"), "comment_lines", "blank_lines", "complexity")
 
 
 def symbol_index(symbols: DataFrame) -> DataFrame:

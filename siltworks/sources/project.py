@@ -1,0 +1,109 @@
+"""Driver-side helpers of a project: addresses, clones, names, configuration."""
+
+from __future__ import annotations
+
+import dataclasses
+import json
+import os
+import re
+import shutil
+import subprocess
+from dataclasses import dataclass
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_CLONE_MB = 500
+_GIT = re.compile(r"^(?:https?://)?(?:www\.)?(github\.com|gitlab\.com|bitbucket\.org)/([^/\s]+)/([^/\s]+)$")
+
+
+def parse_git_url(url: str) -> tuple[str, str, str] | None:
+    """(host, owner, repo) of a repository's address."""
+    m = _GIT.match(re.sub(r"\.git$", "", url.rstrip("/")))
+    return m.groups() if m else None
+
+
+def is_url(target: str) -> bool:
+    return target.startswith("http") or parse_git_url(target) is not None
+
+
+def clone_url(host: str, owner: str, repo: str, token: str | None = None) -> str:
+    """With a token for github.com only."""
+    login = f"{token}@" if token and host == "github.com" else ""
+    return f"https://{login}{host}/{owner}/{repo}.git"
+
+
+def dir_size_mb(folder: str | Path) -> int:
+    return sum(p.lstat().st_size for p in Path(folder).rglob("*") if p.is_file()) // (1 << 20)
+
+
+def fetch(url: str, cache: str | Path, token: str | None = None, force: bool = False) -> Path:
+    """A shallow clone under cache/host/owner/repo; one that is there is used again. Too large ones are removed and refused."""
+    parts = parse_git_url(url)
+    if parts is None:
+        raise ValueError(f"not a repository address: {url}")
+    folder = Path(cache, *parts)
+    if force and folder.exists():
+        shutil.rmtree(folder)
+    if not folder.exists():
+        folder.parent.mkdir(parents=True, exist_ok=True)
+        done = subprocess.run(["git", "clone", "--depth", "1", "--single-branch", clone_url(*parts, token), str(folder)], capture_output=True, text=True, check=False)
+        if done.returncode:
+            raise RuntimeError(done.stderr.replace(token, "***") if token else done.stderr)
+    if dir_size_mb(folder) > MAX_CLONE_MB:
+        shutil.rmtree(folder)
+        raise ValueError(f"{url} is larger than {MAX_CLONE_MB} MB")
+    return folder
+
+
+def guess_name(files: DataFrame, root: str) -> str:
+    """The name in the first of three manifests (in the files' order) that has one; else the folder's name.
+
+    files: ord, path, content. Only manifests at the top are read.
+    """
+    toml = F.replace(F.replace(F.trim(F.regexp_extract("content", r"(?m)^[ \t]*name[^=\n]*=([^=\n]*)", 1)), F.lit('"'), F.lit("")), F.lit("'"), F.lit(""))
+    package = F.replace(F.regexp_replace(F.get_json_object("content", "$.name"), "^@", ""), F.lit("/"), F.lit("-"))
+    name = F.when(F.col("path") == "package.json", package).otherwise(toml)
+    rows = files.where(F.col("path").isin("pyproject.toml", "package.json", "Cargo.toml")).select("ord", name.alias("name")).where("name <> ''")
+    found = rows.agg(F.min_by("name", "ord")).first()[0]
+    return found or Path(root).resolve().name
+
+
+# Short names of models.
+MODEL_ALIASES: dict[str, str] = {}
+
+
+@dataclass
+class Config:
+    model: str = "offline"
+    api_key: str = ""
+    api_base: str = ""
+    language: str = "en"
+    max_file_size: int = 200 * 1024
+    max_files: int = 1000
+    output_dir: str = "wiki"
+    concurrency: int = 5
+
+    #: What a saved file holds.
+    SAVED = ("model", "api_key", "api_base", "language")
+
+    @classmethod
+    def load(cls, path: str | Path, env: dict[str, str] | None = None, prefix: str = "SILTWORKS_") -> Config:
+        """Defaults, then the file, then the environment; the model's short name is resolved last."""
+        env = dict(os.environ) if env is None else env
+        held = json.loads(Path(path).read_text()) if Path(path).exists() else {}
+        config = cls(**{k: v for k, v in held.items() if k in cls.SAVED})
+        for f in dataclasses.fields(cls):
+            if (value := env.get(prefix + f.name.upper())) is not None:
+                setattr(config, f.name, int(value) if isinstance(f.default, int) else value)
+        config.model = MODEL_ALIASES.get(config.model, config.model)
+        return config
+
+    def save(self, path: str | Path) -> None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(json.dumps({k: getattr(self, k) for k in self.SAVED}, indent=2))
+
+
+def mask(key: str) -> str:
+    return f"{key[:8]}...{key[-4:]}" if len(key) > 12 else "***"
