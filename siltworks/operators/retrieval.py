@@ -134,3 +134,16 @@ def fingerprint(files: DataFrame, root: str) -> DataFrame:
     one = F.concat(F.encode("path", "UTF-8"), F.encode(F.col("size").cast("string"), "UTF-8"), F.unhex(F.sha2("content", 256)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("path", F.hex(one).alias("h")))), lambda x: x["h"])
     return files.agg(F.substring(F.sha2(F.concat(F.encode(F.lit(root), "UTF-8"), F.unhex(F.array_join(parts, ""))), 256), 1, 24).alias("fingerprint"))
+
+
+def load_or_build(files: DataFrame, root: str, folder: str) -> Index:
+    """The index of files (path, size, content) kept under folder by their fingerprint; built and saved if it isn't there or doesn't fit."""
+    from pyspark.errors import AnalysisException
+
+    spark = files.sparkSession
+    at = f"{folder}/{fingerprint(files, root).first()[0]}"
+    try:
+        return Index.load(spark, at)
+    except (AnalysisException, ValueError):
+        Index.build(files).save(at)
+        return Index.load(spark, at)

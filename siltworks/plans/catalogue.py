@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import columns as C
-from siltworks.operators import cache, completion, docs, graph, imports, retrieval, scan, symbols
+from siltworks.operators import cache, completion, docs, graph, imports, retrieval, scan, symbols, wiki
 from siltworks.plans.oracles import ORACLES  # noqa: F401  part of the catalogue
 from siltworks.sources import views as V
 
@@ -367,6 +367,61 @@ def symbol_page_counts(spark, d):
     return s.groupBy("kind", "module").agg(F.count_distinct("name").alias("n"))
 
 
+@query
+def dependency_page(spark, d):
+    nodes, edges = _graph(spark, d)
+    nodes, edges = graph.written(nodes), graph.written(edges)
+    top = graph.pagerank(nodes, edges).withColumn("r9", F.round("score", 9)).orderBy(F.desc("r9"), "node").limit(wiki.TOP_FILES)
+    ranked = top.select(F.struct(-F.col("r9"), "node").alias("rank"), F.col("node").alias("path"))
+    return wiki.dependency_page(ranked, graph.degrees(nodes, edges), graph.cycles(edges), graph.diagram(graph.module_edges(edges)))
+
+
+@query
+def module_hash(spark, d):
+    f = V.files_synth(spark, d)
+    return wiki.module_hash(f.select(C.module_name(F.col("path"), C.INDEX_ROOTS).alias("module"), "path", C.content_hash(F.col("content")).alias("content_hash")))
+
+
+@query
+def module_context(spark, d):
+    s = symbols.extract(_synth(spark, d)).withColumn("module", C.module_name(F.col("path"), C.INDEX_ROOTS))
+    return wiki.module_context(s)
+
+
+@query
+def module_summaries(spark, d):
+    """One generation pass over the modules with the offline completer; it gives no purpose, so the default shows."""
+    s = symbols.extract(_synth(spark, d)).withColumn("module", C.module_name(F.col("path"), C.INDEX_ROOTS))
+    answers, _ = wiki.run_pass(wiki.module_context(s).select(F.col("module").alias("key"), F.col("context").alias("prompt")))
+    sizes = s.groupBy("module").agg(F.count_distinct("path").alias("files"))
+    return wiki.module_docs(answers, sizes)
+
+
+@query
+def sidebar(spark, d):
+    n = V.table(spark, d, "supplier").select(F.concat(F.lit("modules/n"), "s_nationkey").alias("page_id"), F.concat(F.lit("n"), "s_nationkey").alias("title")).distinct()
+    fixed = spark.createDataFrame([("symbols", "Symbols"), ("index", "Overview"), ("dependencies", "Dependencies")], "page_id string, title string")
+    return wiki.sidebar(n.unionByName(fixed))
+
+
+@query
+def stream_text(spark, d):
+    body = F.concat(F.lit('data: {"choices": [{"delta": {"content": "id "}}]}\n\ndata: {"choices": [{"delta": {"content": "'), F.col("item_id").cast("string"), F.lit('"}}]}\n: note\ndata: [DONE]\n'))
+    return wiki.stream_text(V.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("key"), body.alias("body")))
+
+
+@query
+def usage_totals(spark, d):
+    body = F.concat(F.lit('{"usage": {"prompt_tokens": '), F.col("item_id").cast("string"), F.lit(', "completion_tokens": 2}}'))
+    return wiki.usage_totals(V.table(spark, d, "benchmark").select(body.alias("body")))
+
+
+@query
+def key_files_context(spark, d):
+    f = scan.described(V.files_documents(spark, d).withColumn("path", F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("/README.md"))).otherwise(F.col("path"))))
+    return wiki.key_files_context(f.withColumn("ord", F.col("doc_id"))).select(F.sha2("context", 256).alias("context_sha256"))
+
+
 @query
 def render_html(spark, d):
     return docs.rendered(V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("page_id"), F.concat(F.lit("# Title\n- a\n- **b**\n\n"), "text").alias("content")))

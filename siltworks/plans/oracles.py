@@ -138,6 +138,29 @@ ORACLES = {
     "symbol_page_counts": f"WITH {_SYN} SELECT kind, 'n' || sup.n AS module, count(DISTINCT name) AS n FROM sym JOIN sup USING (k) GROUP BY ALL",
     "stream_incremental": f"SELECT doc_id, {_HASH.format('text')} AS content_hash, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM documents",
 }
+_CODE = "'- `' || {} || '`'"
+_SECTION = "coalesce((SELECT '## {}' || chr(10) || string_agg({}, chr(10) ORDER BY {}) || chr(10) FROM ({})), '')"
+ORACLES["dependency_page"] = (
+    f"WITH RECURSIVE {_pagerank('SELECT path AS node FROM paths', 'SELECT * FROM edges', _SYN)}, {_DEG}, {_MODS}, e AS (SELECT DISTINCT src, dst FROM edges), reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst), "
+    "rings AS (SELECT component, count(*) AS n, string_agg(node, '` -> `' ORDER BY node) AS members FROM (SELECT a.src AS node, min(a.dst) AS component, count(DISTINCT a.dst) AS size FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src) WHERE size > 1 GROUP BY component) SELECT 'dependencies' AS page_id, '# Dependencies' || chr(10) || "
+    + " || ".join((
+        _SECTION.format("Core files", _CODE.format("node"), "round(score, 9) DESC, node", "SELECT node, score FROM final ORDER BY round(score, 9) DESC, node LIMIT 10"),
+        _SECTION.format("Entry points", _CODE.format("node"), "node", "SELECT node FROM deg WHERE n_in <= 1 AND n_out > 0 ORDER BY node LIMIT 10"),
+        _SECTION.format("Cycles", _CODE.format("members"), "n DESC, component", "SELECT * FROM rings ORDER BY n DESC, component LIMIT 10"),
+        _SECTION.format("Isolated files", _CODE.format("node"), "node", "SELECT node FROM deg WHERE n_in = 0 AND n_out = 0 ORDER BY node LIMIT 15"),
+        "'## Modules' || chr(10) || '```mermaid' || chr(10) || (SELECT 'graph LR' || chr(10) || coalesce(string_agg('    ' || src || ' --> ' || dst, chr(10) ORDER BY '    ' || src || ' --> ' || dst), '') FROM mods) || chr(10) || '```' || chr(10)",
+    ))
+    + " AS content"
+)
+ORACLES["module_hash"] = f"WITH {_SYN}, {_SYN_TEXT} SELECT string_split(path, '/')[2] AS module, substr(sha256(string_agg(substr(sha256(content), 1, 24), ':' ORDER BY path)), 1, 24) AS hash FROM bodies GROUP BY 1"
+ORACLES["module_context"] = f"""WITH {_SYN}, lines AS (SELECT path, ord, '- ' || kind || ' ' || name || '(' || CASE ord WHEN 0 THEN 'x: int, y' WHEN 2 THEN 'size' WHEN 3 THEN 'y' ELSE '' END || ')' || coalesce(' -> ' || return_type, '') AS t FROM sym),
+per_file AS (SELECT path, '### ' || path || chr(10) || string_agg(t, chr(10) ORDER BY ord) AS t FROM lines GROUP BY path) SELECT string_split(path, '/')[2] AS module, string_agg(t, chr(10) || chr(10) ORDER BY path) AS context FROM per_file GROUP BY 1"""
+ORACLES["module_summaries"] = "SELECT 'n' || s_nationkey AS module, 'Module containing ' || count(*) || ' files' AS purpose FROM supplier GROUP BY s_nationkey"
+ORACLES["sidebar"] = "SELECT '- [Overview](index.md)' || chr(10) || '- Modules' || chr(10) || (SELECT string_agg('  - [n' || k || '](modules/n' || k || '.md)', chr(10) ORDER BY 'modules/n' || k) FROM (SELECT DISTINCT s_nationkey AS k FROM supplier)) || chr(10) || '- [Dependencies](dependencies.md)' || chr(10) || '- [Symbols](symbols.md)' AS text"
+ORACLES["stream_text"] = "SELECT item_id::VARCHAR AS key, 'id ' || item_id AS text FROM benchmark"
+ORACLES["usage_totals"] = "SELECT sum(item_id)::BIGINT AS prompt_tokens, (2 * count(*))::BIGINT AS completion_tokens FROM benchmark"
+# Texts over the cut are left to the byte rule of truncate_utf8.
+ORACLES["key_files_context"] = "WITH b AS (SELECT doc_id, text, octet_length(encode(text)) AS size, hex(encode(text)) AS h FROM documents WHERE doc_id % 50 = 0), cut AS (SELECT doc_id, CASE WHEN size <= 4096 THEN text ELSE decode(unhex(substr(h, 1, 2 * CASE WHEN substr(h, 8193, 1) NOT IN ('8', '9', 'A', 'B') THEN 4096 WHEN substr(h, 8191, 1) NOT IN ('8', '9', 'A', 'B') THEN 4095 WHEN substr(h, 8189, 1) NOT IN ('8', '9', 'A', 'B') THEN 4094 ELSE 4093 END))) END AS t FROM b) SELECT sha256(string_agg('## p' || doc_id || '/README.md' || chr(10) || t, chr(10) || chr(10) ORDER BY doc_id)) AS context_sha256 FROM cut"
 # A cut at a byte count steps back over the followers of an unfinished character.
 ORACLES["truncate_utf8"] = "WITH b AS (SELECT doc_id, octet_length(encode(text)) AS size, hex(encode(text)) AS h FROM documents) SELECT doc_id, " + ", ".join(
     f"(CASE WHEN size <= {n} THEN size WHEN substr(h, {2 * n + 1}, 1) NOT IN ('8', '9', 'A', 'B') THEN {n} WHEN substr(h, {2 * n - 1}, 1) NOT IN ('8', '9', 'A', 'B') THEN {n - 1} WHEN substr(h, {2 * n - 3}, 1) NOT IN ('8', '9', 'A', 'B') THEN {n - 2} ELSE {n - 3} END)::BIGINT AS bytes_{n}" for n in (50, 101, 4096)

@@ -40,3 +40,34 @@ def test_helpers(spark, tmp_path):
     files = spark.createDataFrame([(0, "package.json", '{"name": "@a/b"}'), (1, "Cargo.toml", "name = 'c'")], "ord long, path string, content string")
     assert helpers.guess_name(files, "/x/y") == "a-b" and helpers.guess_name(files.where(F.lit(False)), "/x/y") == "y"
     assert helpers.is_url("http://x") and not helpers.is_url("./x")
+
+
+def test_wiki(spark, tmp_path):
+    from siltworks.operators import wiki
+
+    modules = spark.createDataFrame([("core",)], "module string")
+    page = wiki.architecture_page("layered", [("core", "rules"), ("web", "pages")], modules).first()
+    assert page.content == "# Architecture\nlayered\n- [core](modules/core.md): rules\n- web: pages"
+    assert wiki.architecture_page("", [("core", "rules")], modules).isEmpty()
+    ranked = spark.createDataFrame([(1, "a.py", True, False), (2, "b.toml", False, True), (3, "c.py", False, False)], "rank int, path string, is_entrypoint boolean, is_config boolean")
+    assert wiki.reading_guide_page(ranked).first().content.endswith("1. `a.py` (entry point)\n2. `b.toml` (configuration)\n3. `c.py`")
+    assert wiki.reading_guide_page(ranked.limit(0)).isEmpty()
+    prompts = spark.createDataFrame([("core", "describe it"), ("web", "and this")], "key string, prompt string")
+    first, put = wiki.run_pass(prompts)
+    assert first.count() == put.count() == 2
+    again, new = wiki.run_pass(prompts, put.select("key", "value"), completer=lambda p: "no json")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect())) and new.isEmpty()
+    failed, none = wiki.run_pass(prompts, completer=lambda p: 1 / 0)
+    assert none.isEmpty() and all(r.json is None for r in failed.collect())
+    pages = spark.createDataFrame([("index", "# A")], "page_id string, content string")
+    assert wiki.html_site(pages, "x", str(tmp_path / "x.html")) and not wiki.html_site(pages, "x", str(tmp_path / "x.html"))
+    wiki.site_loader(str(tmp_path / "site"), "x")
+    assert (tmp_path / "site/index.html").exists()
+
+
+def test_warm_index(spark, tmp_path):
+    from siltworks.operators.retrieval import load_or_build
+
+    files = spark.createDataFrame([("a", 7, "red fox"), ("b", 4, "blue")], "path string, size long, content string")
+    load_or_build(files, "/r", str(tmp_path))
+    assert load_or_build(files, "/r", str(tmp_path)).chunks.count() == 2 and len(list(tmp_path.iterdir())) == 1
