@@ -36,8 +36,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 #: Sketch pairs with an estimate below this are dropped; 4.3 standard errors under the threshold.
 SKETCH_BOUND = 0.72
-#: Families with more members are confirmed in pairs of blocks of about half as many.
-BLOCK = 2048
+#: Families with more members are confirmed in pairs of blocks of about half as many; so are larger buckets compared.
+BLOCK, BUCKET = 2048, 8192
 
 SIGNATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
 
@@ -186,14 +186,20 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield now, pa.Table.from_batches(held)
 
 
-def sift_bucket(sketches: np.ndarray, bound: int, block: int = 256) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs whose sketches differ in at most `bound` bits; compared in blocks of rows."""
+def sift_bucket(sketches: np.ndarray, bound: int, side: np.ndarray, block: int = 256) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs whose sketches differ in at most `bound` bits; compared in blocks of rows.
+
+    Pairs of one side are left out unless all are of one.
+    """
+    both = len(np.unique(side)) > 1
     words = np.ascontiguousarray(sketches).view(np.uint64)
     forest, edges = Forest(len(words)), []
     for at in range(0, len(words), block):
         rows = words[at : at + block]
         for to in range(0, at + len(rows), 4 * block):
             near = np.bitwise_count(rows[:, None, :] ^ words[None, to : to + 4 * block, :]).sum(axis=2, dtype=np.int32) <= bound
+            if both:
+                near &= side[at : at + len(rows), None] != side[None, to : to + 4 * block]
             roots = forest.roots()
             near &= roots[at : at + len(rows), None] != roots[None, to : to + 4 * block]
             for i, j in zip(*np.nonzero(near), strict=True):
@@ -247,19 +253,21 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Buckets: keys of several classes; of buckets with the same members one is enough.
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 40))).alias("h")).where("n > 1 and least <> most")
-    keys = materialize(full.groupBy("n", "least", "most", "h").agg(F.min("key").alias("key")).select("key"), "buckets")
-    members = keyed.join(keys, "key").distinct().join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep").select("key", "rep", "sketch")
+    keys = materialize(full.groupBy("n", "least", "most", "h").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    members = _dealt(keyed.join(keys, "key").distinct(), "key", BUCKET).join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
     bound = _most_differing(SKETCH_BOUND)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, bucket in _groups(batches, 1):
-            rep = bucket.column("rep").to_numpy()
+        for _, bucket in _groups(batches, 3):
+            rep, side = bucket.column("rep").to_numpy(), bucket.column("side").to_numpy()
             sketches = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-            if edges := sift_bucket(sketches, bound):
+            if edges := sift_bucket(sketches, bound, side):
                 a, b = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["u", "v"])
 
-    families = components(members.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(sift, "u long, v long"))
+    by = ("key", "low", "high")
+    members = members.select(*by, "side", "rep", "sketch").repartition(*by).sortWithinPartitions(*by, "rep")
+    families = components(members.mapInArrow(sift, "u long, v long"))
     families = materialize(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "families")
     linked = components(_confirm(texts, families))
     # A text alone in its class and without links is its own component and needs no row here.
@@ -270,20 +278,24 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _dealt(members: DataFrame, group: str, most: int) -> DataFrame:
+    """Members (group, rep, n) with side, low and high: groups of up to `most` stay whole; larger ones are split into sides
+    of about half as many, and every member goes to each pair (low, high) of its side with a side."""
+    sides = F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") / (most // 2))).cast("int")
+    sided = members.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int"))
+    paired = sided.select(group, "rep", "side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
+    return paired.select(group, "rep", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+
+
 def _confirm(texts: DataFrame, families: DataFrame) -> DataFrame:
     """Confirmed links (a spanning forest for each family or pair of its blocks) as u, v."""
-    half = BLOCK // 2
     sized = families.join(families.groupBy("family").agg(F.count("*").alias("n")), "family")
-    blocks = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / half)).cast("int")
-    sized = sized.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     # Always a merge join: a broadcast of the families would fit small corpora only.
-    member = texts.join(sized.hint("merge"), texts.doc_id == sized.rep).select("family", "rep", "side", "blocks", "text").withColumn("other", other)
-    dealt = member.select("family", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "text")
+    member = texts.join(_dealt(sized, "family", BLOCK).hint("merge"), F.col("doc_id") == F.col("rep"))
+    dealt = member.select("family", "low", "high", "side", "rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, 3):
-            rows = rows.combine_chunks()
             rep, side = rows.column("rep").to_numpy(), rows.column("side").to_numpy()
             sets = [s for batch in rows.to_batches() for part in text_chunks(batch, "text") for s in shingle_hashes(part.column("text"))]
             if edges := confirm_family(sets, side):

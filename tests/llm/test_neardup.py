@@ -62,6 +62,7 @@ def test_matches_brute_force(spark):
 
 def test_large_family_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BUCKET", 10)
     rng = random.Random(5)
     rows = family(rng, 0, 70, 80, 7)
     got = neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()
