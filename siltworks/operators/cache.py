@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_TTL_DAYS = 365
@@ -29,6 +29,28 @@ def put(kv: DataFrame, path: str) -> None:
     kv.write.mode("append").parquet(path)
 
 
+def clear(spark: SparkSession, path: str) -> int:
+    """Empty the table and say how many rows it held."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        held = spark.read.parquet(path)
+    except AnalysisException:  # nothing was put yet
+        return 0
+    n = held.count()
+    spark.createDataFrame([], held.schema).write.mode("overwrite").parquet(path)
+    return n
+
+
+def save_project(spark: SparkSession, path: str, project_id: str, data: str, now: float) -> None:
+    put(spark.createDataFrame([(project_id, data, now)], "key string, value string, created_at double"), path)
+
+
+def load_project(spark: SparkSession, path: str, project_id: str) -> str | None:
+    found = latest(spark.read.parquet(path).where(F.col("key") == project_id)).first()
+    return found.value if found else None
+
+
 def page_plan(old: DataFrame, new: DataFrame) -> DataFrame:
     """page_id, action: kept (same inputs), written (new or changed) or removed; both sides have page_id, inputs."""
     a, b = old.select("page_id", F.col("inputs").alias("was"), F.lit(True).alias("had")), new.select("page_id", F.col("inputs").alias("now"), F.lit(True).alias("has"))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.columns import strip_md_links
@@ -64,6 +64,13 @@ def link_text(page_id: str, text: str, targets: dict[str, str]) -> str:
     return "\n".join(out)
 
 
+def plain_relationships(content: Column) -> Column:
+    """Links around code spans taken out again from the heading of internal relationships on."""
+    at = F.instr(content, "## Internal Relationships")
+    rest = F.regexp_replace(F.substring(content, at, F.length(content)), r"\[(`[^`\n]+`)\]\([^)]+\)", "$1")
+    return F.when(at > 0, F.concat(F.substring(content, F.lit(1), at - 1), rest)).otherwise(content)
+
+
 def symbol_page(symbols: DataFrame) -> DataFrame:
     """One row: the symbol index as text, by kind, then module; the first description of a name wins (symbols: kind, module, ord, name, description)."""
     kind = F.when(F.coalesce("kind", F.lit("")) == "", "other").otherwise(F.col("kind"))
@@ -151,8 +158,26 @@ def as_json(pages: DataFrame, name: str) -> DataFrame:
     return pages.agg(F.to_json(F.struct(F.lit(name).alias("project_name"), F.array_sort(F.collect_list(F.struct("page_id", "content"))).alias("pages"))).alias("json"))
 
 
-def export_markdown(pages: DataFrame, folder: str, wiki_links: bool = False) -> dict[str, list[str]]:
-    """Write a project's pages below a local folder; only new and changed ones are written, and vanished ones removed.
+def export_json(pages: DataFrame, sidebar: str, name: str, path: str) -> bool:
+    """pages (page_id, title, content) and the sidebar's text as one JSON file; left alone if nothing changed. True if it was written."""
+    entries = [{"id": r.page_id, "title": r.title, "content": r.content} for r in pages.orderBy("page_id").toLocalIterator()]
+    text = json.dumps({"project_name": name, "pages": entries, "sidebar": sidebar.split("\n")}, indent=2, ensure_ascii=False) + "\n"
+    target = Path(path)
+    if target.exists() and target.read_text() == text:
+        return False
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(text)
+    return True
+
+
+def readme(overview: str, sidebar: str, name: str, wiki_links: bool = False) -> str:
+    """The front page: the overview's text, then the sidebar as contents."""
+    listed = re.sub(r"\.md\)", ")", sidebar) if wiki_links else sidebar
+    return "\n".join([f"# {name}\n", *([overview.strip(), ""] if overview.strip() else []), "## Contents\n", listed]) + "\n"
+
+
+def export_markdown(pages: DataFrame, folder: str, wiki_links: bool = False, full: bool = False) -> dict[str, list[str]]:
+    """Write a project's pages below a local folder; only new and changed ones are written (all of them if full), and vanished ones removed.
 
     Pages are few and small by nature; they come to the driver one by one. Returns page ids by action.
     """
@@ -165,7 +190,7 @@ def export_markdown(pages: DataFrame, folder: str, wiki_links: bool = False) ->
     for page, content, inputs in pages.select("page_id", text, F.sha2(text, 256)).orderBy("page_id").toLocalIterator():
         new[page] = inputs
         path = root / f"{page}.md"
-        same = old.get(page) == inputs and path.exists()
+        same = not full and old.get(page) == inputs and path.exists()
         if not same:
             path.parent.mkdir(parents=True, exist_ok=True)
             path.write_text(content)

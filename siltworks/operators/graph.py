@@ -193,6 +193,28 @@ def trace(calls: DataFrame, entry: str, most_depth: int) -> DataFrame:
     return seen
 
 
+def trace_calls(calls: DataFrame, entry: str, most_depth: int) -> DataFrame:
+    """from_file, from_symbol, to_file, to_symbol, depth, place of the calls reachable from a symbol's name in any file.
+
+    A pair of names counts once, at the first call that reaches it in breadth-first order; a call goes on from the file
+    and symbol that it leads to. Order by depth, place: place lists the calls on the way, so no numbering of rows is needed.
+    """
+    names = ["from_file", "from_symbol", "to_file", "to_symbol"]
+    pair = ["from_symbol", "to_symbol"]
+    edges = calls.select(*names).distinct()
+    first = lambda rows: rows.groupBy(*pair).agg(F.min_by(F.struct(*names, "place"), "place").alias("c")).select("c.*")
+    front = written(first(edges.where(F.col("from_symbol") == entry).withColumn("place", F.array(F.struct(*names)))).withColumn("depth", F.lit(1).cast("long")))
+    seen = front
+    for depth in range(2, most_depth + 1):
+        heads = front.groupBy(F.col("to_file").alias("from_file"), F.col("to_symbol").alias("from_symbol")).agg(F.min("place").alias("_way"))
+        met = edges.join(heads, ["from_file", "from_symbol"]).join(seen.select(*pair), pair, "left_anti")
+        front = written(first(met.withColumn("place", F.concat("_way", F.array(F.struct(*names)))).drop("_way")).withColumn("depth", F.lit(depth).cast("long")))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def module_edges(edges: DataFrame, roots: tuple = GRAPH_ROOTS) -> DataFrame:
     """Pairs of different modules that some edge of paths joins."""
     pairs = edges.select(module_name(F.col("src"), roots).alias("src"), module_name(F.col("dst"), roots).alias("dst"))

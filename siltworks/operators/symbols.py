@@ -155,6 +155,35 @@ def _docstring(rows: list[str], at: int) -> str | None:
     return "\n".join(held).strip() or None
 
 
+def _doc_above(rows: list[str], at: int) -> str | None:
+    """The Rust doc comment that ends above rows[at]; blank lines between are skipped."""
+    out = []
+    for i in range(at - 1, -1, -1):
+        row = rows[i].strip()
+        if row.startswith(("///", "//!")):
+            out.append(row.lstrip("/").lstrip("!").strip())
+        elif row:
+            break
+    return "\n".join(reversed(out)) if out else None
+
+
+FIELDS = {"rust": re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(\w+)\s*:"), "go": re.compile(r"^\s+(\w+)\s+")}
+
+
+def _struct_fields(language: str, rows: list[str], at: int) -> list[str]:
+    """Names declared in the lines of a struct's body, up to its closing brace; in Rust also up to a line that isn't indented further."""
+    out = []
+    for i in range(at + 1, len(rows)):
+        bare = rows[i].strip()
+        if not bare:
+            continue
+        if bare.startswith("}") or language == "rust" and _indent(rows[i]) <= _indent(rows[at]):
+            break
+        if m := FIELDS[language].match(rows[i]):
+            out.append(m[1])
+    return out
+
+
 def _self_fields(rows: list[str], start: int, end: int) -> list[str]:
     """Names assigned on self inside __init__, in order, once."""
     out: dict[str, None] = {}
@@ -202,23 +231,36 @@ def _visibility(language: str, m: re.Match) -> str:
 
 def braced_symbols(language: str, text: str) -> list[Symbol]:
     rows, out, scopes = split_lines(text), [], set()
+    impl = None  # indent of the last impl line, while functions below are indented further
     for i, row in enumerate(rows):
-        if language == "rust" and _IMPL.match(row):
-            scopes.add("impl")
-            continue
+        if language == "rust":
+            if not row.strip() or row.strip().startswith(("//", "/*")):
+                continue
+            if _IMPL.match(row):
+                impl = _indent(row)
+                continue
         for rule in RULES[language]:
             m = rule.pattern.search(row)
             if not m or rule.inside and rule.inside not in scopes or rule.kind == "method" and m["name"] in NOT_METHODS:
                 continue
-            kind = "method" if rule.kind == "function" and language == "rust" and "impl" in scopes and _indent(row) else rule.kind
+            kind = rule.kind
+            if language == "rust" and kind == "function":
+                if impl is not None and _indent(row) > impl:
+                    kind = "method"
+                else:
+                    impl = None
             inside = re.search(r"\(([^)]*)\)", row)  # for Go methods these are the receiver's
             parts = [p.strip() for p in inside[1].split(",")] if inside and kind in ("function", "method") else []
             if language in ("go", "java"):
                 params = [(p.split()[-1], " ".join(p.split()[:-1]) or None) if language == "java" else (p.split()[0], " ".join(p.split()[1:]) or None) for p in parts if p]
             else:
-                params = [_typed(p) for p in parts if ":" in p or language != "rust" and p]
+                params = [_typed(p.removeprefix("mut ") if language == "rust" else p) for p in parts if ":" in p or language != "rust" and p]
             back = re.search(r"\)\s*->\s*(.+?)\s*\{", row) if language == "rust" else None
             out.append(Symbol(m["name"], kind, i + 1, braced_end(rows, i) if rule.block else i + 1, _visibility(language, m), params, back[1] if back else None))
+            if language == "rust" and kind not in ("type_alias", "macro"):
+                out[-1].doc_comment = _doc_above(rows, i)
+            if language in FIELDS and kind == "struct":
+                out[-1].fields = _struct_fields(language, rows, i)
             scopes |= {rule.opens} - {None}
             break
     return out

@@ -125,6 +125,23 @@ def import_unresolved(spark, d):
     return imports.resolve(imports.extract(some), some).where("resolved is null").select("path", F.col("ord").cast("long").alias("ord"), "target")
 
 
+@query
+def imports_indexed(spark, d):
+    files = _synth(spark, d)
+    found = imports.resolve(imports.extract_indexed(files), files, "index")
+    return found.select("path", F.col("ord").cast("long").alias("ord"), "raw", "resolved", F.array_join("symbols", ",").alias("symbols"))
+
+
+@query
+def module_internal_edges(spark, d):
+    return imports.module_links(_resolved(spark, d, "index"))[0]
+
+
+@query
+def module_external_deps(spark, d):
+    return imports.module_links(_resolved(spark, d, "index"))[1]
+
+
 @query
 def module_deps(spark, d):
     return graph.module_edges(_graph(spark, d)[1])
@@ -221,6 +238,12 @@ def trace_flow(spark, d):
     return graph.trace(calls, first.path if first else "", 4)
 
 
+@query
+def trace_calls(spark, d):
+    calls = symbols.call_edges(symbols.extract(_synth(spark, d)))
+    return graph.trace_calls(calls, "fill_0", 3).select("from_symbol", "to_symbol", "depth")
+
+
 @query
 def chunks(spark, d):
     return retrieval.chunks(V.files_documents(spark, d)).select("path", "chunk", "line_start", "line_end", C.content_hash(F.col("content")).alias("hash"))

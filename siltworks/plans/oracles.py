@@ -165,3 +165,9 @@ ORACLES["key_files_context"] = "WITH b AS (SELECT doc_id, text, octet_length(enc
 ORACLES["truncate_utf8"] = "WITH b AS (SELECT doc_id, octet_length(encode(text)) AS size, hex(encode(text)) AS h FROM documents) SELECT doc_id, " + ", ".join(
     f"(CASE WHEN size <= {n} THEN size WHEN substr(h, {2 * n + 1}, 1) NOT IN ('8', '9', 'A', 'B') THEN {n} WHEN substr(h, {2 * n - 1}, 1) NOT IN ('8', '9', 'A', 'B') THEN {n - 1} WHEN substr(h, {2 * n - 3}, 1) NOT IN ('8', '9', 'A', 'B') THEN {n - 2} ELSE {n - 3} END)::BIGINT AS bytes_{n}" for n in (50, 101, 4096)
 ) + " FROM b"
+ORACLES["imports_indexed"] = f"WITH {_SYN} SELECT path, ord, 'import ' || target AS raw, resolved, '' AS symbols FROM imp"
+ORACLES["module_internal_edges"] = f"WITH {_SYN} SELECT string_split(path, '/')[2] AS module, path AS src, resolved AS dst FROM imp WHERE string_split(path, '/')[2] = string_split(resolved, '/')[2]"
+ORACLES["module_external_deps"] = f"WITH {_SYN}, {_MODS} SELECT src AS module, dst AS dependency FROM mods"
+ORACLES["trace_calls"] = f"""WITH RECURSIVE {_SYN}, c AS (SELECT DISTINCT c.path AS f, c.name AS a, s.path AS t, s.name AS b FROM calls c JOIN sym s ON s.name = c.called WHERE c.path <> s.path),
+walk AS (SELECT f, a, t, b, 1 AS depth FROM c WHERE a = 'fill_0' UNION SELECT c.f, c.a, c.t, c.b, w.depth + 1 FROM walk w JOIN c ON c.f = w.t AND c.a = w.b WHERE w.depth < 3)
+SELECT a AS from_symbol, b AS to_symbol, min(depth)::BIGINT AS depth FROM walk GROUP BY a, b"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pathlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions.columns import content_hash, line_count
-from siltworks.operators import cache, completion, docs, graph, imports, retrieval, scan, symbols
+from siltworks.operators import cache, completion, docs, graph, imports, passes, retrieval, scan, symbols, wiki
 from siltworks.sources import project as helpers
 from siltworks.sources.tree import read_tree
 
@@ -18,6 +19,7 @@ class Project:
 
     def __init__(self, spark: SparkSession, files: DataFrame, name: str, rules: list | None = None, config: helpers.Config | None = None, exclude: tuple = ()):
         self.spark, self.name, self.config = spark, name, config or helpers.Config()
+        self.progress: list[str] = []
         judged = scan.with_reason(files, self.config.max_file_size, rules, exclude, raw="raw")
         self.scanned = graph.written(scan.cap(judged, self.config.max_files).drop("raw"))
 
@@ -25,7 +27,6 @@ class Project:
     def from_path(cls, spark: SparkSession, root: str, config: helpers.Config | None = None, exclude: tuple = ()) -> Project:
         """A local folder, or a repository's address (cloned to a cache folder first)."""
         import os
-        import pathlib
 
         config = config or helpers.Config()
         if helpers.is_url(root):
@@ -84,6 +85,63 @@ class Project:
     def call_graph(self) -> DataFrame:
         return symbols.call_edges(self._symbols)
 
+    def flow(self, entry: str, depth: int = 5) -> DataFrame:
+        """Calls reachable from a symbol's name, breadth first."""
+        return graph.trace_calls(self.call_graph(), entry, depth).orderBy("depth", "place").drop("place")
+
+    @cached_property
+    def indexed_imports(self) -> DataFrame:
+        """Imports as the index reads them, with the names they bring in; unresolved ones have a null path."""
+        return graph.written(imports.resolve(imports.extract_indexed(self.files), self.files, "index"))
+
+    def indexed_files(self) -> DataFrame:
+        """One nested row a file: path, language, size, lines, metrics, symbols, imports, exports, content_hash."""
+        nested = lambda rows, name, *fields: rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias(name))
+        metric = self.metrics().select("path", F.struct("code_lines", "comment_lines", "blank_lines", "complexity").alias("metrics"))
+        own = nested(self._symbols, "symbols", "name", "kind", "line", "end_line", "visibility", "params", "return_type", "doc_comment", "decorators", "calls", "fields")
+        brought = nested(self.indexed_imports, "imports", "raw", F.col("resolved").alias("resolved_path"), "symbols")
+        out = self.files.select("path", "language", "size", "lines", content_hash(F.col("content")).alias("content_hash"))
+        for more in (metric, own, brought, symbols.exports(self._symbols)):
+            out = out.join(more, "path", "left")
+        return out
+
+    def module_links(self) -> tuple[DataFrame, DataFrame]:
+        return imports.module_links(self.indexed_imports)
+
+    def totals(self) -> DataFrame:
+        return passes.totals(self)
+
+    def document(self, completer: completion.Completer = completion.offline, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(page_id, title, content of every page; rows for the cache): all generation passes, then assembly."""
+        return passes.document(self, completer, known)
+
+    def progress_since(self, seen: int = 0) -> list[tuple[int, str]]:
+        """Steps from the one numbered `seen` on; the last is "done"."""
+        return list(enumerate(self.progress))[seen:]
+
+    def file(self, path: str) -> DataFrame:
+        return self.files.where(F.col("path") == path).select("path", "language", "lines", "content")
+
+    def graph(self, top: int = 20) -> dict:
+        """The best files with their scores and the links between modules, for display."""
+        best = self.map(top).orderBy("rank").select("path", "score").collect()
+        pairs = graph.module_edges(self.edges()).orderBy("src", "dst").toLocalIterator()
+        return {"files": [r.asDict() for r in best], "modules": [r.asDict() for r in pairs]}
+
+    def export(self, folder: str, completer: completion.Completer = completion.offline, form: str = "markdown", wiki_links: bool = False, full: bool = False):
+        """Write all pages: form markdown (with sidebar and front page), json or html."""
+        pages = graph.written(self.document(completer)[0])
+        side = wiki.sidebar(pages.select("page_id", "title")).first().text
+        if form == "json":
+            return docs.export_json(pages, side, self.name, f"{folder}/wiki.json")
+        if form == "html":
+            return wiki.html_site(pages, self.name, f"{folder}/index.html")
+        summary = docs.export_markdown(pages, folder, wiki_links, full)
+        overview = pages.where("page_id = 'index'").first().content
+        for name, text in (("_sidebar.md", side), ("README.md", docs.readme(overview, side, self.name, wiki_links))):
+            (pathlib.Path(folder) / name).write_text(text)
+        return summary
+
     def cycles(self) -> DataFrame:
         return graph.cycles(self.edges())
 

@@ -71,7 +71,22 @@ def guess_name(files: DataFrame, root: str) -> str:
 
 
 # Short names of models.
-MODEL_ALIASES: dict[str, str] = {}
+MODEL_ALIASES = {
+    "deepseek": "deepseek/deepseek-chat", "opus": "anthropic/claude-opus-4-6", "claude": "anthropic/claude-sonnet-4-6", "gpt": "gpt-5.4", "gpt-mini": "gpt-5.4-mini",
+    "gemini": "gemini/gemini-3.1-pro-preview", "gemini-flash": "gemini/gemini-2.5-flash", "qwen": "openai/qwen3.5-plus", "kimi": "openai/kimi-k2.6", "glm": "openai/glm-5", "minimax": "openai/MiniMax-M2.7",
+}
+# Variables that may hold a provider's key, in order; addresses of providers; the prefix of a router's keys.
+KEY_VARIABLES = ("DEEPSEEK_API_KEY", "OPENROUTER_API_KEY", "OPENAI_API_KEY", "ANTHROPIC_API_KEY")
+PROVIDERS = {"deepseek": "https://api.deepseek.com", "anthropic": "https://api.anthropic.com/v1", "gemini": "https://generativelanguage.googleapis.com/v1beta"}
+DEFAULT_PROVIDER, ROUTER, ROUTER_PREFIX = "https://api.openai.com/v1", "https://openrouter.ai/api/v1", "sk-or-"
+
+
+def endpoint(model: str, api_key: str = "", api_base: str = "") -> tuple[str, str]:
+    """(address, model name as the provider knows it). An own address or a router takes the whole name."""
+    routed = api_key.startswith(ROUTER_PREFIX)
+    provider, slash, rest = model.partition("/")
+    base = api_base.rstrip("/") or (ROUTER if routed else PROVIDERS.get(provider, DEFAULT_PROVIDER))
+    return f"{base}/chat/completions", model if api_base or routed or not slash else rest.partition("/")[0]
 
 
 @dataclass
@@ -90,13 +105,18 @@ class Config:
 
     @classmethod
     def load(cls, path: str | Path, env: dict[str, str] | None = None, prefix: str = "SILTWORKS_") -> Config:
-        """Defaults, then the file, then the environment; the model's short name is resolved last."""
+        """Defaults, then the file (ignored if it is no JSON), then the environment, then a provider's key; the model's short name is resolved last."""
         env = dict(os.environ) if env is None else env
-        held = json.loads(Path(path).read_text()) if Path(path).exists() else {}
-        config = cls(**{k: v for k, v in held.items() if k in cls.SAVED})
+        try:
+            held = json.loads(Path(path).read_text())
+        except (FileNotFoundError, ValueError):
+            held = {}
+        config = cls(**{k: v for k, v in held.items() if k in cls.SAVED and v is not None})
         for f in dataclasses.fields(cls):
-            if (value := env.get(prefix + f.name.upper())) is not None:
+            if value := env.get(prefix + f.name.upper()):
                 setattr(config, f.name, int(value) if isinstance(f.default, int) else value)
+        if not config.api_key:
+            config.api_key = next((env[k] for k in KEY_VARIABLES if env.get(k)), "")
         config.model = MODEL_ALIASES.get(config.model, config.model)
         return config
 

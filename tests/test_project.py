@@ -71,3 +71,72 @@ def test_warm_index(spark, tmp_path):
     files = spark.createDataFrame([("a", 7, "red fox"), ("b", 4, "blue")], "path string, size long, content string")
     load_or_build(files, "/r", str(tmp_path))
     assert load_or_build(files, "/r", str(tmp_path)).chunks.count() == 2 and len(list(tmp_path.iterdir())) == 1
+
+
+def test_documents(spark, tmp_path):
+    import json
+
+    root = tmp_path / "tree"
+    for name, text in {"main.py": "import core.a\n", "src/core/a.py": "from core.b import f as g, h\n\ndef run_it(x):\n    return x\n", "src/core/b.py": "def helper(y=run_it(1)):\n    return y\n"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    p = Project.from_path(spark, str(root))
+    nested = {r.path: r for r in p.indexed_files().collect()}
+    assert [(i.raw, i.resolved_path, i.symbols) for i in nested["src/core/a.py"].imports] == [("from core.b import ...", "src/core/b.py", ["f", "h"])]
+    inside, outside = p.module_links()
+    assert [tuple(r) for r in inside.collect()] == [("core", "src/core/a.py", "src/core/b.py")] and [tuple(r) for r in outside.collect()] == [("root", "core")]
+    t = p.totals().first()
+    assert (t.files, t.symbols, t.call_edges) == (3, 2, 1)
+    assert [(r.from_symbol, r.to_symbol, r.depth) for r in p.flow("helper").collect()] == [("helper", "run_it", 1)]
+
+    def answer(prompt):
+        if "the project" in prompt:
+            return json.dumps({"one_liner": "Small.", "tech_stack": [{"name": "Python", "version": "3", "category": "language"}]})
+        if "architecture" in prompt:
+            return json.dumps({"architecture_type": "layered", "components": [{"name": "core", "purpose": "rules"}]})
+        if "reading order" in prompt:
+            return json.dumps({"steps": [{"order": 1, "title": "Start", "files": ["main.py"]}]})
+        return json.dumps({"purpose": "Rules.", "relationships": [{"source": "src/core/a.py", "target": "main.py", "description": "x"}], "files": [{"path": "main.py", "key_symbols": [{"name": "helper", "kind": "function"}]}]})
+
+    pages, rows = p.document(answer)
+    got = {r.page_id: r.content for r in pages.collect()}
+    assert set(got) == {"index", "architecture", "modules/core", "modules/root", "reading-guide", "dependencies", "symbols"}
+    assert "- **Python** 3 (language)" in got["index"] and "[core](modules/core.md): rules" in got["architecture"]
+    head, _, tail = got["modules/core"].partition("## Internal Relationships")
+    assert "[`main.py`](root.md)" in head and tail == "\n- `src/core/a.py` → `main.py`: x"
+    assert rows.count() == 5 and p.progress_since(4) == [(4, "pages"), (5, "done")]
+    plain = {r.page_id for r in p.document()[0].collect()}
+    assert plain == set(got) - {"architecture", "reading-guide"}
+    assert p.export(str(tmp_path / "j"), answer, "json") and not p.export(str(tmp_path / "j"), answer, "json")
+
+
+def test_endpoint_and_tables(spark, tmp_path):
+    from siltworks.operators import cache
+
+    assert helpers.endpoint("deepseek/deepseek-chat") == ("https://api.deepseek.com/chat/completions", "deepseek-chat")
+    assert helpers.endpoint("x/y", "sk-or-1") == ("https://openrouter.ai/api/v1/chat/completions", "x/y")
+    assert helpers.endpoint("m", api_base="http://h/v1/") == ("http://h/v1/chat/completions", "m")
+    assert helpers.Config.load(tmp_path / "none", {"OPENAI_API_KEY": "k", "SILTWORKS_MODEL": "deepseek"}).api_key == "k"
+    path = str(tmp_path / "kv")
+    assert cache.clear(spark, path) == 0
+    cache.save_project(spark, path, "a", "{}", 1.0)
+    cache.save_project(spark, path, "a", "[]", 2.0)
+    assert cache.load_project(spark, path, "a") == "[]" and cache.load_project(spark, path, "b") is None
+    assert cache.clear(spark, path) == 2 and spark.read.parquet(path).isEmpty()
+
+
+def test_imports_and_fields_by_language(spark):
+    from siltworks.operators import imports, symbols
+
+    texts = {
+        "typescript": 'import { a as b, c } from "./x"\nimport D from "y"\nconst z = require("z")\n', "rust": "use a::b::{c, d};\nmod m;\n", "go": 'import "one"\nimport (\n\t"two"\n)\nvar s = "no"\n',
+        "java": "import static p.Q;\nimport p.R;\n", "python": "from a import b\nimport c\n",
+    }
+    rows = spark.createDataFrame([(k, k, v) for k, v in texts.items()], "path string, language string, content string")
+    got = {}
+    for r in imports.extract_indexed(rows).orderBy("path", "ord").collect():
+        got.setdefault(r.path, []).append((r.target, r.symbols))
+    assert got == {"typescript": [("./x", ["a", "c"]), ("y", ["D"]), ("z", [])], "rust": [("a::b::", ["c", "d"])], "go": [("one", []), ("two", [])], "java": [("p.Q", []), ("p.R", [])], "python": [("c", []), ("a", ["b"])]}
+    point, make, free = symbols.braced_symbols("rust", "/// A point.\n\npub struct Point {\n    pub x: i32,\n    y: i32,\n}\nimpl Point {\n    fn make(mut a: i32) {}\n}\nfn free() {}\n")
+    assert (point.doc_comment, point.fields, make.kind, make.params, free.kind) == ("A point.", ["x", "y"], "method", [("a", "i32")], "function")
+    assert symbols.braced_symbols("go", "type Box struct {\n\tw int\n\th int\n}\n")[0].fields == ["w", "h"]
