@@ -148,13 +148,18 @@ class Project:
     def index(self) -> retrieval.Index:
         return retrieval.Index.build(self.files)
 
-    def ask(self, questions: list[str], completer: completion.Completer = completion.offline, k: int = 5) -> DataFrame:
-        """question, context and answer of each question."""
+    def ask(self, questions: list[str], completer: completion.Completer = completion.offline, k: int = 5, history: list[tuple[str, str]] = (), index: retrieval.Index | None = None) -> DataFrame:
+        """question, context and answer of each question. history: earlier (role, text) turns; the last 12 that count go along.
+
+        An index that was built or loaded before may be given.
+        """
         asked = self.spark.createDataFrame(list(enumerate(questions)), "question long, content string")
-        index = self.index()
+        index = index or self.index()
         found = retrieval.context(retrieval.retrieve(index, asked, k), index.chunks, asked)
-        prompts = found.select(F.col("question").cast("string").alias("key"), F.concat("context", F.lit("\n\nQuestion: ")).alias("prompt")).join(asked.select(F.col("question").cast("string").alias("key"), "content"), "key")
-        answers = completion.complete(prompts.select("key", F.concat("prompt", "content").alias("prompt")), completer)
+        turns = self.spark.createDataFrame([(0, n, *turn) for n, turn in enumerate(history)], "conv_id long, turn long, role string, text string")
+        said = completion.chat_window(turns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(t["role"], F.lit(": "), t["text"], F.lit("\n"))), "").alias("said"))
+        prompts = found.join(asked, "question").crossJoin(F.broadcast(said))  # said is one row
+        answers = completion.complete(prompts.select(F.col("question").cast("string").alias("key"), F.concat("context", F.lit("\n\n"), "said", F.lit("Question: "), "content").alias("prompt")), completer)
         return found.join(answers, found.question.cast("string") == answers.key).select("question", "context", "answer")
 
     def pages(self) -> DataFrame:

@@ -23,6 +23,8 @@ def test_project(spark, tmp_path):
     assert {x.module: x.files for x in p.modules().collect()}["core"] == 2
     answer = p.ask(["caches?"]).first()
     assert "README.md" in answer.context and answer.answer
+    again = p.ask(["caches?"], lambda prompt: prompt[-60:], history=[("user", "hello"), ("tool", "x"), ("assistant", "hi")]).first()
+    assert again.answer.endswith("\n\nuser: hello\nassistant: hi\nQuestion: caches?")
     pages = {x.page_id: x.content for x in p.pages().collect()}
     assert {"index", "modules/core", "modules/web", "symbols"} <= set(pages) and "[`Page`](modules/web.md)" in pages["symbols"]
     plan = {x.page_id: x.action for x in p.plan(spark.createDataFrame([("gone", "x")], "page_id string, inputs string")).collect()}
