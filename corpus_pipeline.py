@@ -48,8 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document's ids lies in which sequence."""
-    return queries.packed(docs)
+    """Where each piece of each document's ids lies in which sequence; sequence numbers follow the order of the mix."""
+    return queries.packed_in_mix(docs)
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("secret scan", secret_scan), ("mix sources", mix_sources), ("pack sequences", pack_sequences)]

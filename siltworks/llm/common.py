@@ -71,9 +71,9 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         at = to
 
 
-def with_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id as long and the text with null read as empty; other columns are left out, so none can clash."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def with_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
+    """The id as long and the text with null read as empty, then more; other columns are left out, so none can clash."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread, how: str = "left", salts: int = 32) -> DataFrame:

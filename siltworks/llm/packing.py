@@ -4,6 +4,8 @@ A document's ids are cut into full windows; what remains is one shorter piece. P
 SHARD_ROWS by a hash, so a shard's memory is bounded and a lost task repeats alone. Within a shard pieces go in order of
 decreasing length to the open window with the least remaining room that still holds them; a segment tree over the
 remaining room finds it in logarithmic time. Each shard leaves a few windows partly filled, whatever the corpus size.
+
+Where documents have an order (a mix), shards are ranges of it instead, and sequences are numbered along it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from siltworks.llm.common import process_cache, text_chunks, with_text
 
 CAPACITY, END_ID = 2048, 1
 SHARD_ROWS = 16_384
+#: Documents whose pieces share a shard where their order counts: how far a piece may move from its place.
+ORDERED_DOCS = 2048
 PIECES = "doc_id long, piece long, start long, length long, doc_tokens long, ids binary"
 
 #: Characters whose classes the two tokenizer libraries agree on, and runs that only the first handles in good time.
@@ -66,10 +70,11 @@ def encoder(path: str | None = None, ranks_path: str | None = None, pattern: str
     return process_cache(f"encoder {path}", lambda: Encoder(path, ranks_path, pattern))
 
 
-def tokenize(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: tuple = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: tuple = (), id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """Pieces of every text: full windows, then the rest. ids: little-endian unsigned 32-bit; piece numbers rows of the input.
 
-    Null and empty texts have the end id alone. Repeated rows have pieces of their own. Other columns are ignored.
+    Null and empty texts have the end id alone. Repeated rows have pieces of their own. carry: a column that pieces
+    have too, as a string named carried. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,15 +82,18 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, to
         for batch in batches:
             for part in text_chunks(batch, "text", 1 << 20):
                 rows: list[tuple] = []
-                for doc, row, text in zip(part.column("doc_id").to_pylist(), part.column("piece").to_pylist(), part.column("text"), strict=True):
+                carried = part.column("carried").to_pylist() if carry else [None] * part.num_rows
+                for doc, row, extra, text in zip(part.column("doc_id").to_pylist(), part.column("piece").to_pylist(), carried, part.column("text"), strict=True):
                     ids = np.append(encode(text.as_py()), np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(ids), capacity):
                         cut = ids[start : start + capacity]
-                        rows.append((doc, row, start, len(cut), len(ids), cut.tobytes()))
+                        rows.append((doc, row, start, len(cut), len(ids), cut.tobytes(), extra))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], names=["doc_id", "piece", "start", "length", "doc_tokens", "ids"])
+                more = [pa.array(cols[6], pa.string())] if carry else []
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary()), *more], names=["doc_id", "piece", "start", "length", "doc_tokens", "ids", "carried"][: 6 + len(more)])
 
-    return with_text(docs, id_col, text_col).withColumn("piece", F.monotonically_increasing_id()).mapInArrow(run, PIECES)
+    texts = with_text(docs, id_col, text_col, F.col(carry).cast("string").alias("carried")) if carry else with_text(docs, id_col, text_col)
+    return texts.withColumn("piece", F.monotonically_increasing_id()).mapInArrow(run, PIECES + (", carried string" if carry else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,22 +133,32 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return window, offset
 
 
-def pack(pieces: DataFrame, rows: int, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(pieces: DataFrame, rows: int, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, order: str | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...); other columns travel along.
 
     rows: about how many pieces there are; it sets the number of shards. Results depend on the pieces alone, not on
     their order, so that a repeated task gives the same. Pieces must be 1 to capacity long.
+
+    order: a column with the gapless position (from 0) of the piece's document. Each ORDERED_DOCS documents in a row then
+    make a shard, whatever rows and shard_rows are, and sequences are numbered by shard, then by their earliest document.
     """
     if {"sequence_id", "offset", "_shard"} & set(pieces.columns):
         raise ValueError("pieces already have sequence_id, offset or _shard")
     shards = max(1, -(-rows // shard_rows))
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("piece", "start"), F.lit(shards)))
+    shard = F.pmod(F.xxhash64("piece", "start"), F.lit(shards)) if order is None else F.floor(F.col(order) / ORDERED_DOCS).cast("bigint")
+    dealt = pieces.withColumn("_shard", shard)
     names = [*pieces.columns, "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[pa.RecordBatch], shard: int) -> list[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks()
             window, offset = best_fit(whole.column("length").to_numpy(), capacity)
+            if order is not None:
+                first = np.full(window.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(first, window, whole.column(order).to_numpy())
+                number = np.empty(len(first), np.int64)
+                number[np.argsort(first, kind="stable")] = np.arange(len(first))
+                window = number[window]
             out = whole.drop_columns(["_shard"]).append_column("sequence_id", pa.array(window + (shard << 32))).append_column("offset", pa.array(offset))
             return out.select(names).combine_chunks().to_batches()
 

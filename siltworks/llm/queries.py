@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.llm import chat, mixing, neardup, packing, pii, quality, secrets, topk, toxicity, warc
-from siltworks.llm.common import table
+from siltworks.llm.common import materialize, table
 from siltworks.llm.training import crc_of_id
 
 #: Target weights of the sources; sources not named weigh 2.
@@ -58,6 +58,18 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.pack(pieces, docs.count()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def packed_in_mix(docs: DataFrame) -> DataFrame:
+    """As packed(), but sequences follow the mix: their numbers rise with the mixed positions of their documents.
+
+    The positions are mixing.mix's over docs, taken from the pieces, so that no text moves for them.
+    """
+    pieces = packing.tokenize(docs, carry="source").select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "carried")
+    pieces = materialize(pieces, "pieces")
+    places = mixing.mix(pieces.where("start = 0").select("doc_id", "piece", "carried"), WEIGHTS, default_weight=OTHER_WEIGHT, source_col="carried")
+    placed = pieces.drop("carried").join(places.select("piece", "mix_position"), "piece")
+    return packing.pack(placed, 0, order="mix_position").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 

@@ -59,3 +59,19 @@ def test_empty_stages(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
     assert secrets.redact(docs).columns == docs.columns
+
+
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ORDERED_DOCS", 64)
+    rng, names = random.Random(9), ("src0", "src1", "src2", "src3", None)
+    rows = [(i, " ".join(["word"] * rng.randint(20, 900)), names[i % 5]) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    packed = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in packed if r.start == 0) == list(range(1500))
+    first = {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        first.setdefault(r.doc_id, len(first))
+    came = [names[d % 5] for d in first]  # sources by the sequence that first holds a document of theirs
+    for upto in (250, 400, 550):  # src0, with 8 of 21 parts, lasts for 787 documents
+        for name, weight in (("src0", 8), ("src1", 4), ("src2", 4), ("src3", 3), (None, 2)):
+            assert abs(came[:upto].count(name) / upto - weight / 21) < 0.06, (upto, name)
