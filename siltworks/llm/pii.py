@@ -9,6 +9,7 @@ Base spans come from anchored scans equal to the leftmost, non-overlapping match
 
 but linear in the text. The field tags words of each line as name, mail (spelled-out addresses), tel (numbers without a
 country prefix) or id (dashed identity numbers). It is trained from the labelled lines below and decoded by Viterbi.
+Neighbouring words of one tag are a run, kept or dropped as a whole; its spans are the items of its lines.
 Lines in which no tag can beat "none" by the largest possible gain are not decoded: their best path is known.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -146,8 +148,10 @@ def labelled_lines(copies: int = 20, seed: int = 11) -> list[tuple[list[str], li
 # ---- features -----------------------------------------------------------------------------------------------------
 #: Positions, relative to a word, whose spelling and shape count.
 AROUND = (0, -1, 1, -2)
-#: Spans whose words' scores exceed those of "none" by less than this in total, or of more words than MAX_WORDS, are dropped.
+#: Runs whose words' scores exceed those of "none" by less than this in total are dropped; a span has at most MAX_WORDS words.
 MARGIN, MAX_WORDS = 4.0, 12
+#: Signs that end an item of a list, and digits from which a number is whole.
+_ENDS, _WHOLE = ".,;:!?|/&", {"tel": 10, "id": 8}
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 88, 120, 100, 120
 
@@ -276,10 +280,66 @@ def train() -> PiiModel:
     return model
 
 
+def _items(words: list[str], lines: list[int], tag: str) -> list[tuple[int, int]]:
+    """First and last word of each item in a run of words with one tag. No item crosses a line or is longer than MAX_WORDS.
+
+    Items end at signs of lists, names also at a full stop, numbers when they have their digits, mail addresses with
+    the word behind the last dot of their host.
+    """
+    out, first, digits, at = [], 0, 0, False
+    bare = [re.sub(r"\W", "", w).lower() for w in words] if tag == "mail" else words
+    for k, word in enumerate(words):
+        digits += sum(c.isdigit() for c in word)
+        at |= bare[k] == "at"
+        last = k + 1 == len(words)
+        ends = last or lines[k + 1] != lines[k] or k - first + 1 == MAX_WORDS or word[-1] in ",;|/&"
+        if tag == "name":
+            ends |= word[-1] == "." and len(word) > 4
+        elif tag == "mail":
+            ends |= not last and at and k > first and bare[k - 1] == "dot" and bare[k + 1] != "dot"
+        else:
+            ends |= digits >= _WHOLE[tag] or (not last and digits >= 7 and words[k + 1][0] == "(")
+        if ends:
+            out.append((first, k))
+            first, digits, at = k + 1, 0, False
+    return out
+
+
+def _union(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint intervals that spans, sorted by start, cover."""
+    starts, ends = [], []
+    for a, z, _ in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], z)
+        else:
+            starts.append(a)
+            ends.append(z)
+    return starts, ends
+
+
+def _outside(a: int, z: int, covered: tuple[list[int], list[int]], text: str) -> list[tuple[int, int]]:
+    """What of a to z lies outside the intervals, without signs at the cuts; parts without a letter or digit go."""
+    starts, ends = covered
+    out, k = [], bisect_right(ends, a)
+    while a < z:
+        to = min(z, starts[k]) if k < len(starts) else z
+        while a < to and not text[a].isalnum():
+            a += 1
+        end = to
+        while end > a and not text[end - 1].isalnum():
+            end -= 1
+        if a < end:
+            out.append((a, end))
+        if to == z:
+            break
+        a, k = ends[k], k + 1
+    return out
+
+
 def find(docs: DataFrame, model: PiiModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base counts, base spans and all spans ("kind:start:end", comma-joined, by start then kind) of every text.
 
-    Spans of the field that touch a base span are left out. Null and empty texts have no spans. Repeated rows are
+    Spans of the field are items within a line; what of them lies in a base span is cut off. Null and empty texts have no spans. Repeated rows are
     scanned each. Other columns are ignored.
     """
     model = model or process_cache("pii-model", train)
@@ -300,16 +360,26 @@ def find(docs: DataFrame, model: PiiModel | None = None, id_col: str = "doc_id",
                     chars = characters(w.buf)
                     of = np.searchsorted(w.doc, w.start[hits], side="right") - 1
                     new = np.flatnonzero(np.append(True, (np.diff(hits) > 1) | (np.diff(of) > 0) | (np.diff(tags[hits]) != 0)))
+                    line = np.searchsorted(np.flatnonzero(w.buf == 10), w.start[hits])
+                    covered: dict[int, tuple] = {}
                     for i, j in zip(new, np.append(new[1:], len(hits)) - 1, strict=True):
-                        d = int(of[i])
-                        a, z = w.start[hits[i]], w.start[hits[j]] + w.size[hits[j]]
-                        if hits[j] - hits[i] >= MAX_WORDS or lead[hits[i] : hits[j] + 1].sum() < MARGIN:
+                        d, tag = int(of[i]), TAGS[tags[hits[i]]]
+                        if lead[hits[i] : hits[j] + 1].sum() < MARGIN:
                             continue
-                        while z > a + 1 and chr(w.buf[z - 1]) in ".,;:!?":
-                            z -= 1
-                        span = (int(chars[a] - chars[w.doc[d]]), int(chars[z] - chars[w.doc[d]]), TAGS[tags[hits[i]]])
-                        if all(span[1] <= b[0] or b[1] <= span[0] for b in base[d]):
-                            added.setdefault(d, []).append(span)
+                        starts = w.start[hits[i] : hits[j] + 1].tolist()
+                        ends = (w.start[hits[i] : hits[j] + 1] + w.size[hits[i] : hits[j] + 1]).tolist()
+                        words = [w.buf[a:z].tobytes().decode(errors="replace") for a, z in zip(starts, ends, strict=True)]
+                        for first, last in _items(words, line[i : j + 1].tolist(), tag):
+                            a, z = starts[first], ends[last]
+                            while z > a + 1 and chr(w.buf[z - 1]) in _ENDS:
+                                z -= 1
+                            a, z = int(chars[a] - chars[w.doc[d]]), int(chars[z] - chars[w.doc[d]])
+                            if d not in covered:
+                                covered[d] = _union(base[d])
+                            k = bisect_right(covered[d][1], a)
+                            touched = k < len(covered[d][0]) and covered[d][0][k] < z
+                            parts = _outside(a, z, covered[d], texts[d].as_py()) if touched else [(a, z)]
+                            added.setdefault(d, []).extend((x, y, tag) for x, y in parts)
                 order = {k: i for i, k in enumerate((*KINDS, *TAGS))}
                 show = lambda spans: ",".join(f"{k}:{a}:{z}" for a, z, k in spans)
                 counts = [pa.array([sum(s[2] == kind for s in spans) for spans in base], pa.int64()) for kind in KINDS]

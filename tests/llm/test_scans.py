@@ -154,3 +154,29 @@ def test_toxicity(spark, labelled):
     assert len(odd) == len(ODD) + 1 and all(0 <= r.score < 0.5 for r in odd)
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert all(r.predicted == 0 for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect())
+
+
+def test_lists_of_personal_data(spark):
+    tel = [f"555-{100 + i}-{4000 + i}" for i in range(20)]
+    ids = [f"{100 + i}-45-{6000 + i}" for i in range(20)]
+    spaced = [f"(555) {100 + i}-{4000 + i}" for i in range(20)]
+    names = ["Anna Smith", "James Garcia", "Maria Jones"] * 7
+    texts = ["\n".join(tel), " ".join(tel), "Tel: " + ", ".join(tel), "\n".join(ids), "\n".join(f"Phone: {t}" for t in spaced), "\n".join(spaced), "\n".join(f"Mr. {n}" for n in names)]
+    want = [tel, tel, tel, ids, spaced, spaced, names]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        spans = [s.split(":") for s in got[i].spans.split(",") if s and s.split(":")[0] in pii.TAGS]
+        assert [t[int(a) : int(z)] for _, a, z in spans] == want[i], i
+        assert got[i].n_added == len(want[i])
+
+
+def test_items_and_cuts():
+    cut = lambda words, tag: [" ".join(words.split()[a : z + 1]) for a, z in pii._items(words.split(), [0] * len(words.split()), tag)]
+    assert cut("jane dot doe at mail dot com bob (at) post (dot) org", "mail") == ["jane dot doe at mail dot com", "bob (at) post (dot) org"]
+    assert cut("555 123 4567 (555) 123-4567", "tel") == ["555 123 4567", "(555) 123-4567"]
+    assert cut("Anna B. Smith, James Garcia", "name") == ["Anna B. Smith,", "James Garcia"]
+    assert [z - a + 1 for a, z in pii._items(["Anna"] * 30, [0] * 30, "name")] == [12, 12, 6]
+    text = "Anna Smith <a@b.cd>, James 1.2.3.4."
+    covered = pii._union(pii.base_spans(text))
+    assert [text[a:z] for a, z in pii._outside(0, len(text), covered, text)] == ["Anna Smith", "James"]
+    assert pii._outside(12, 18, covered, text) == []
