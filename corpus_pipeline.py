@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from siltworks.llm import mixing, neardup, quality, queries, secrets
 from siltworks.llm.common import materialize, table
 
+#: Percent of similarity (5-word shingles) from which documents are near-duplicates here; the query op6_neardup has 85.
+SIMILAR = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: failing base rules, or a calibrated probability of good quality under the threshold.
@@ -24,9 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest doc_id; of equal rows, one.
 
-    Documents without words are in no group and stay.
+    A similarity of SIMILAR percent or more makes a pair. Documents without words are in no group and stay.
     """
-    found = materialize(neardup.cluster(docs), "clusters")
+    found = materialize(neardup.cluster(docs, threshold=SIMILAR), "clusters")
     dropped = materialize(found.where("not kept").select("doc_id").distinct(), "dropped")
     repeated = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     stay = docs.join(dropped, "doc_id", "left_anti")

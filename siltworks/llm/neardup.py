@@ -11,13 +11,16 @@
 4. Each family's texts are brought together once (families over BLOCK members in pairs of blocks) and links are confirmed
    on full sets; again only a spanning forest of the confirmed links is emitted, which has the same components.
 
-With 36 bands of 7 samples a pair at the threshold 0.85 shares no band with probability 1e-6. A pair at 0.85 falls below
-the sketch's bound with probability about 1e-5; pairs of higher similarity are safer still.
+Bands, rows and the sketch's bound follow from the threshold (plan): a pair at it shares no band with probability 1e-6.
+At 0.85 that takes 36 bands of 7 samples and at 0.80 46 of 6. A pair at 0.85 falls below the sketch's bound with
+probability about 1e-5, and the bound for other thresholds is as many standard errors away; pairs of higher similarity
+are safer still.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +33,31 @@ from siltworks.llm.components import components
 from siltworks.llm.textcols import lowered, split_words, text_bytes
 
 WIDTH = 5
+#: Percent of similarity from which texts are linked, where the caller names none.
 THRESHOLD = 85
-BANDS, ROWS = 36, 7
-SAMPLES = BANDS * ROWS
+#: Probability that a pair at the threshold shares no band, most samples a text, and standard errors from the threshold
+#: of the samples' share down to the sketch's bound.
+MISSED, MOST_SAMPLES, ERRORS = 1e-6, 280, 5.8
 SKETCH_BITS = 1024
-#: Sketch pairs with an estimate below this are dropped; 4.3 standard errors under the threshold.
-SKETCH_BOUND = 0.72
+
+
+def plan(threshold: int) -> tuple[int, int, float]:
+    """Bands, rows a band, and the estimate under which sketch pairs are dropped, for a threshold in percent.
+
+    Of the rows whose bands take at most MOST_SAMPLES samples, the most: the fewer chance meetings in a band.
+    """
+    t = threshold / 100
+    if not 0.5 <= t < 1:
+        raise ValueError("the threshold must be 50 to 99 percent")
+    for rows in range(16, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-(t**rows)))
+        if bands * rows <= MOST_SAMPLES:
+            return bands, rows, round(t - ERRORS * math.sqrt(t * (1 - t) / (bands * rows)), 2)
+    raise AssertionError("one row fits for any threshold")
+
+
+BANDS, ROWS, SKETCH_BOUND = plan(THRESHOLD)
+SAMPLES = BANDS * ROWS
 #: Families with more members are confirmed in pairs of blocks of about half as many; so are larger buckets compared.
 BLOCK, BUCKET = 2048, 8192
 
@@ -72,26 +94,27 @@ def _mix32(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """[sets, SAMPLES] MinHash values; sets must not be empty."""
+def minhashes(sets: list[np.ndarray], samples: int = SAMPLES) -> np.ndarray:
+    """[sets, samples] MinHash values; sets must not be empty."""
     whole = np.concatenate(sets)
     folded = (whole ^ (whole >> np.uint64(32))).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     rng = np.random.default_rng(17)
-    factors, offsets = rng.integers(0, 1 << 31, SAMPLES, np.uint32) * 2 + 1, rng.integers(0, 1 << 32, SAMPLES, np.uint32)
-    out = np.empty((len(sets), SAMPLES), np.uint32)
-    for j in range(SAMPLES):
+    factors, offsets = rng.integers(0, 1 << 31, samples, np.uint32) * 2 + 1, rng.integers(0, 1 << 32, samples, np.uint32)
+    out = np.empty((len(sets), samples), np.uint32)
+    for j in range(samples):
         h = folded * factors[j] + offsets[j]
         h ^= h >> np.uint32(15)
         out[:, j] = np.minimum.reduceat(h * np.uint32(0x2C1B3C6D), starts)
     return out
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """[sets, BANDS] keys that also hold the band's number."""
-    keys = np.zeros((len(values), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(ROWS):
-        keys = (keys ^ values[:, j::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """[sets, bands] keys that also hold the band's number; a band has `rows` of the values."""
+    bands = values.shape[1] // rows
+    keys = np.zeros((len(values), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    for j in range(rows):
+        keys = (keys ^ values[:, j::rows]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(31)
     return keys.view(np.int64)
 
@@ -100,24 +123,24 @@ def odd_sketches(values: np.ndarray) -> np.ndarray:
     """[sets, SKETCH_BITS / 8] parity bitmaps of the (sample number, value) pairs."""
     parity = np.zeros((len(values), SKETCH_BITS), np.uint8)
     rows = np.arange(len(values))
-    for j in range(SAMPLES):
+    for j in range(values.shape[1]):
         parity[rows, _mix32(values[:, j].copy(), j + 1) % np.uint32(SKETCH_BITS)] ^= 1
     return np.packbits(parity, axis=1)
 
 
-def estimate(differing: np.ndarray) -> np.ndarray:
+def estimate(differing: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """Similarity from the population count of two sketches' XOR."""
     flipped = -SKETCH_BITS / 2 * np.log(np.maximum(1 - 2 * differing / SKETCH_BITS, 1e-9))
-    return 1 - flipped / (2 * SAMPLES)
+    return 1 - flipped / (2 * samples)
 
 
-def _most_differing(bound: float) -> int:
+def _most_differing(bound: float, samples: int = SAMPLES) -> int:
     """Largest population count whose estimate reaches the bound."""
     counts = np.arange(SKETCH_BITS // 2)
-    return int(counts[estimate(counts) >= bound].max())
+    return int(counts[estimate(counts, samples) >= bound].max())
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Signature rows of doc_id, text. Texts without words have n_shingles 0 and null elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +149,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets = shingle_hashes(part.column("text"))
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
-                digests, bands, sketches = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+                digests, keys, sketches = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if len(full):
-                    values = minhashes([sets[i] for i in full])
-                    for i, k, s in zip(full.tolist(), band_keys(values), odd_sketches(values), strict=True):
-                        digests[i], bands[i], sketches[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k, s.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+                    values = minhashes([sets[i] for i in full], bands * rows)
+                    for i, k, s in zip(full.tolist(), band_keys(values, rows), odd_sketches(values), strict=True):
+                        digests[i], keys[i], sketches[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k, s.tobytes()
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
     return docs.mapInArrow(run, SIGNATURES)
 
@@ -237,15 +260,18 @@ def confirm_family(sets: list[np.ndarray], side: np.ndarray, threshold: int = TH
     return edges
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept (doc_id = component_id).
 
+    Texts of a similarity (shared share of all their distinct shingles) of threshold percent or more are linked.
+
     Null and empty texts have no shingles, are linked with nothing and are kept. Repeated rows have equal sets and one
     component; rows with the same doc_id are kept or not together. Other columns are ignored. Writes tables to the
     shared folder on the way.
     """
     texts = with_text(docs, id_col, text_col)
-    signed = materialize(signatures(texts), "signatures")
+    bands, rows, least = plan(threshold)
+    signed = materialize(signatures(texts, bands, rows), "signatures")
     worded = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
@@ -255,7 +281,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     full = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 40))).alias("h")).where("n > 1 and least <> most")
     keys = materialize(full.groupBy("n", "least", "most", "h").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
     members = _dealt(keyed.join(keys, "key").distinct(), "key", BUCKET).join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
-    bound = _most_differing(SKETCH_BOUND)
+    bound = _most_differing(least, bands * rows)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, bucket in _groups(batches, 3):
@@ -269,7 +295,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     members = members.select(*by, "side", "rep", "sketch").repartition(*by).sortWithinPartitions(*by, "rep")
     families = components(members.mapInArrow(sift, "u long, v long"))
     families = materialize(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "families")
-    linked = components(_confirm(texts, families))
+    linked = components(_confirm(texts, families, threshold))
     # A text alone in its class and without links is its own component and needs no row here.
     placed = classes.join(linked, classes.rep == linked.node, "left").where("copies > 1 or component is not null")
     placed = materialize(placed.select("digest", F.coalesce("component", "rep").alias("component")), "placed")
@@ -287,7 +313,7 @@ def _dealt(members: DataFrame, group: str, most: int) -> DataFrame:
     return paired.select(group, "rep", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
 
 
-def _confirm(texts: DataFrame, families: DataFrame) -> DataFrame:
+def _confirm(texts: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
     """Confirmed links (a spanning forest for each family or pair of its blocks) as u, v."""
     sized = families.join(families.groupBy("family").agg(F.count("*").alias("n")), "family")
     # Always a merge join: a broadcast of the families would fit small corpora only.
@@ -298,7 +324,7 @@ def _confirm(texts: DataFrame, families: DataFrame) -> DataFrame:
         for _, rows in _groups(batches, 3):
             rep, side = rows.column("rep").to_numpy(), rows.column("side").to_numpy()
             sets = [s for batch in rows.to_batches() for part in text_chunks(batch, "text") for s in shingle_hashes(part.column("text"))]
-            if edges := confirm_family(sets, side):
+            if edges := confirm_family(sets, side, threshold):
                 a, b = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["u", "v"])
 

@@ -45,7 +45,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.cluster(table(spark, sf_dir, "documents"))
+    return neardup.cluster(table(spark, sf_dir, "documents"), threshold=85)
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,25 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 103: 100, 105: 100, 150: 150, 200: 150}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_threshold_of_the_caller(spark):
+    assert neardup.plan(85) == (36, 7, 0.72) and neardup.plan(80) == (46, 6, 0.66)
+    import corpus_pipeline
+
+    rng, rows = random.Random(12), []
+    for i in range(60):
+        base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        copy = list(base)
+        for at in range(10, 200, 200 // (3 + i % 3)):
+            copy[at] = f"x{i}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    sets = {d: sets_of(t) for d, t in rows}
+    near = {d: len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) for d in range(0, 120, 2)}
+    assert sum(0.8 <= j < 0.85 for j in near.values()) >= 20 and min(near.values()) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for threshold in (80, 85):
+        got = {r.doc_id: r.component_id for r in neardup.cluster(docs, threshold=threshold).collect()}
+        assert got == {d: d - d % 2 * (near[d - d % 2] * 100 >= threshold) for d in got} and len(got) == 120
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert left == {d for d in sets if d % 2 == 0 or near[d - 1] < 0.8}
