@@ -7,16 +7,17 @@ Base spans (leftmost, non-overlapping, failing matches dropped):
     hex     [0-9a-f]+                                                                          24+ characters
 
 Candidates are the base spans and every further run of 16+ characters [A-Za-z0-9+/_=-] that mixes letters and digits.
-The network reads a candidate's (for assign: the value's) first 48 characters, 24 characters before it and 8 after it. It is trained on generated
-labelled findings (labelled_findings), calibrated on held-out ones, and its threshold is the highest that keeps
-MIN_RECALL of the held-out secrets. Candidates that are no base span and reach the threshold are added as kind "cnn".
+The network reads 48 characters of a candidate (for assign: of the value), 24 characters before them and 8 after the candidate.
+Longer candidates are read in windows that begin every 24 characters, up to their end, and the largest probability counts.
+It is trained on generated labelled findings (labelled_findings), calibrated on held-out ones, and its threshold is the highest that keeps MIN_RECALL
+of the held-out secrets, all by first windows: further windows only add to what is found. Candidates that are no base span and reach the threshold are added as kind "cnn".
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ from siltworks.llm.training import fit_platt, sigmoid
 KINDS = ("assign", "access", "hex")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, n_confirmed long, n_added long"
 BEFORE, INSIDE, AFTER = 24, 48, 8
+#: Characters from one window of a long candidate to the next, and windows scored at once.
+STEP, AT_ONCE = 24, 4096
 WIDTH, FILTERS, CLASSES = 5, 16, 40
 #: Share of held-out secrets that the threshold must keep, and size of the labelled table.
 MIN_RECALL, FINDINGS = 0.98, 2400
@@ -84,6 +87,14 @@ def encode(text: str, start: int, end: int) -> list[int]:
     return [0] * (BEFORE - len(before)) + code(before) + code(inside) + [0] * (INSIDE - len(inside)) + code(after) + [0] * (AFTER - len(after))
 
 
+def windows(text: str, start: int, end: int) -> Iterator[list[int]]:
+    """encode() of each window of a candidate; together they hold all of its characters."""
+    yield encode(text, start, end)
+    while end - start > INSIDE:
+        start += STEP
+        yield encode(text, start, end)
+
+
 @dataclass
 class SecretModel:
     """conv: [WIDTH, CLASSES, FILTERS]; the dense layer sees each filter's maximum over the three parts and the share of the candidate filled."""
@@ -113,6 +124,28 @@ class SecretModel:
         out = [sigmoid(self.a * self.forward(x[i : i + 512])[0] + self.b) for i in range(0, len(x), 512)]
         return np.concatenate(out) if out else np.zeros(0)
 
+    def highest(self, candidates: Iterable[tuple[str, int, int]]) -> np.ndarray:
+        """The largest probability over each candidate's windows; candidates are (text, start, end)."""
+        best: list[float] = []
+        of: list[int] = []
+        held: list[list[int]] = []
+
+        def score() -> None:
+            for i, p in zip(of, self.probability(np.array(held, np.int64).reshape(len(held), BEFORE + INSIDE + AFTER)).tolist(), strict=True):
+                best[i] = max(best[i], p)
+            of.clear()
+            held.clear()
+
+        for text, start, end in candidates:
+            best.append(0.0)
+            for window in windows(text, start, end):
+                of.append(len(best) - 1)
+                held.append(window)
+                if len(held) == AT_ONCE:
+                    score()
+        score()
+        return np.array(best)
+
 
 def labelled_findings(size: int = FINDINGS, seed: int = 5) -> list[tuple[str, int, int, int]]:
     """The labelled table: (text, start, end, is a secret), from the rules below and a fixed seed."""
@@ -198,15 +231,15 @@ def scan(texts: pa.Array, model: SecretModel) -> tuple[dict[int, list], dict[int
     """Of a string array without nulls: base spans and added spans by row (rows without any are absent), and the number
     of base spans that the network takes for secrets."""
     base: dict[int, list] = {}
-    rows, spans, windows = [], [], []
+    rows, spans, candidates = [], [], []
     for i in np.flatnonzero(pc.match_substring_regex(texts, _ANY).to_numpy(zero_copy_only=False)).tolist():
         text = texts[i].as_py()
         base[i] = base_spans(text)
         for s in (*base[i], *((*c, "cnn") for c in more_candidates(text, base[i]))):
             rows.append(i)
             spans.append(s)
-            windows.append(encode(text, _ASSIGN.match(text, s[0]).start(2) if s[2] == "assign" else s[0], s[1]))
-    sure = model.probability(np.array(windows, np.int64).reshape(len(windows), BEFORE + INSIDE + AFTER)) >= model.threshold
+            candidates.append((text, _ASSIGN.match(text, s[0]).start(2) if s[2] == "assign" else s[0], s[1]))
+    sure = model.highest(candidates) >= model.threshold
     confirmed, added = np.zeros(len(texts), np.int64), {}
     for i, s, ok in zip(rows, spans, sure, strict=True):
         if ok and s[2] == "cnn":

@@ -180,3 +180,21 @@ def test_items_and_cuts():
     covered = pii._union(pii.base_spans(text))
     assert [text[a:z] for a, z in pii._outside(0, len(text), covered, text)] == ["Anna Smith", "James"]
     assert pii._outside(12, 18, covered, text) == []
+
+
+def test_secrets_past_the_first_window(spark):
+    rng, chars = random.Random(3), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    path = "/home/user/projects/data/items/files/theand/ingstation/item7/"
+    values = [f"ghp_{key(36)}", f"sk_live_{key(24)}", key(40), f"xoxb-12345678901-{key(24)}"]
+    heads = [path, path * 3, "settings_path_of_the_data_item_file_user_set_get_list_v2="]
+    texts = [f"see {h}{v} now" for h in heads for v in values] + [f"see {h}theation/fileitem now" for h in heads]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_added for r in secrets.find(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [1] * 12 + [0] * 3
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert all(clean[i] == "see [SECRET] now" for i in range(12)) and all(clean[i] == texts[i] for i in range(12, 15))
+    long = "a1-" * 40_000 + key(40)
+    model = secrets.train()
+    one = np.array([secrets.encode(long, a, len(long)) for a in range(0, len(long) - 24, 24)])
+    assert abs(model.highest([("x", 0, 1), (long, 0, len(long))])[1] - model.probability(one).max()) < 1e-9
