@@ -33,17 +33,17 @@ def records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_c
     """One row a page: page_id, url, body (binary), sha1 (hex), record_type, refers_to.
 
     Of records with equal payloads of at least min_bytes that with the largest page_id is the response and the others
-    revisit it. A null body is empty. Rows that repeat the response's page_id are responses too, and so are rows without
-    a page_id. Other columns are ignored. Only digests are grouped; bodies move once, by page_id, unless the table of
-    revisits is small enough for Spark to broadcast it (its size is known, as it is written first).
+    revisit it. A null body is empty. Rows that repeat the response's page_id and payload are responses too, and so are
+    rows without a page_id; a page_id may come with several payloads, each decided by itself. Other columns are ignored.
+    Only digests are grouped; bodies move once, by page_id and digest, unless the table of revisits is small enough for Spark to broadcast it (its size is known, as it is written first).
     """
     body = F.col(body_col).cast("binary")
     whole = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(body, F.lit(b"")).alias("body")).withColumn("sha1", F.sha1("body"))
     narrow = whole.where(F.octet_length("body") >= min_bytes).select("page_id", "sha1")
     shared = narrow.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("page_id").alias("_n")).where("_n > 1").drop("_n")
-    revisits = salted_join(narrow, shared, "sha1", ["page_id"], "inner").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    revisits = salted_join(narrow, shared, "sha1", ["page_id"], "inner").where("page_id <> refers_to").select("page_id", "sha1", "refers_to").distinct()
     revisits = materialize(revisits, "revisits")
-    return whole.join(revisits, "page_id", "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    return whole.join(revisits, ["page_id", "sha1"], "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
 def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:

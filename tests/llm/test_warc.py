@@ -36,3 +36,15 @@ def test_round_trip(spark, tmp_path):
 
 def test_empty(spark):
     assert summary(read(write(chunked(records(spark.createDataFrame([], "page_id long, url string, html string")))))).count() == 0
+
+
+def test_repeated_page_ids_with_different_payloads(spark):
+    rows = [(1, "u", "A"), (1, "u", "BB"), (2, "u", "A"), (3, "u", "A"), (3, "u", "CCC"), (4, "u", "CCC"), (3, "u", "A"), (None, "u", "A")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in summary(read(write(chunked(records(pages))), with_data=False)).collect())
+    want = []
+    for p, _, t in rows:
+        top = max(q for q, _, u in rows if u == t and q is not None)
+        response = p is None or p == top
+        want.append((str(p), len(t), b32(t.encode()), "response" if response else "revisit", None if response else top))
+    assert got == sorted(want, key=lambda r: r[:4])
