@@ -223,7 +223,7 @@ def train() -> SecretModel:
                 getattr(model, k)[...] -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model.a, model.b = fit_platt(model.forward(x[held])[0], y[held])
     p = np.sort(model.probability(x[held & (y > 0)]))
-    model.threshold = float(max(0.5, p[int((1 - MIN_RECALL) * len(p))]))
+    model.threshold = float(p[int((1 - MIN_RECALL) * len(p))])
     return model
 
 

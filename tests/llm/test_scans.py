@@ -198,3 +198,18 @@ def test_secrets_past_the_first_window(spark):
     model = secrets.train()
     one = np.array([secrets.encode(long, a, len(long)) for a in range(0, len(long) - 24, 24)])
     assert abs(model.highest([("x", 0, 1), (long, 0, len(long))])[1] - model.probability(one).max()) < 1e-9
+
+
+def test_threshold_keeps_the_recall_below_one_half(monkeypatch):
+    plain = secrets.labelled_findings
+
+    def mixed(*args, **options):
+        """Every eighth secret has the text of the plain value that follows it."""
+        rows = plain(*args, **options)
+        return [(*rows[i + 1][:3], 1) if i % 16 in (0, 10) else r for i, r in enumerate(rows)]
+
+    monkeypatch.setattr(secrets, "labelled_findings", mixed)
+    model, rows = secrets.train(), mixed()
+    held = [r for i, r in enumerate(rows) if i // 2 % 5 == 0 and r[3]]
+    p = model.probability(np.array([secrets.encode(*r[:3]) for r in held]))
+    assert model.threshold < 0.5 and (p >= model.threshold).mean() >= secrets.MIN_RECALL
