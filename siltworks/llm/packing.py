@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import process_cache, text_chunks, with_text
+from siltworks.llm.textcols import text_bytes
 
 CAPACITY, END_ID = 2048, 1
 SHARD_ROWS = 16_384
@@ -26,39 +28,127 @@ SHARD_ROWS = 16_384
 ORDERED_DOCS = 2048
 PIECES = "doc_id long, piece long, start long, length long, doc_tokens long, ids binary"
 
-#: Characters whose classes the two tokenizer libraries agree on, and runs that only the first handles in good time.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ſ]*")
-_LONG_RUN = re.compile(r"[^\x20\n]{1000}")
+#: Pieces of text whose ids a process keeps, the longest that it keeps in bytes, and bytes of text cut into pieces at once.
+KEPT_PIECES, KEPT_BYTES, CUT_BYTES = 1 << 19, 64, 8 << 20
+_BLANK, _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[list(b"\x09\x0a\x0b\x0c\x0d\x20")] = True
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_SIGN[list(b".,;:!?\"')")] = True
+#: Letters in every edition of Unicode. A piece of them, with a blank before it or not, is one match of the pattern.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_ONE_MATCH = re.compile(f" ?[{_LETTERS}]+")
+
+
+def _after_other_blank(buf: np.ndarray) -> np.ndarray:
+    """Offsets that follow a white-space character beyond ASCII (or the separators U+001C to U+001F)."""
+    lead = np.flatnonzero((buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)) | ((buf >= 0x1C) & (buf <= 0x1F)))
+    if not len(lead):
+        return lead
+    b0 = buf[lead]
+    b1, b2 = buf[np.minimum(lead + 1, len(buf) - 1)], buf[np.minimum(lead + 2, len(buf) - 1)]
+    two = (b0 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
+    three = ((b0 == 0xE1) & (b1 == 0x9A) & (b2 == 0x80)) | ((b0 == 0xE3) & (b1 == 0x80) & (b2 == 0x80)) | ((b0 == 0xE2) & (b1 == 0x81) & (b2 == 0x9F))
+    three |= (b0 == 0xE2) & (b1 == 0x80) & ((b2 <= 0x8A) | (b2 == 0xA8) | (b2 == 0xA9) | (b2 == 0xAF))
+    return np.concatenate([lead[b0 < 0x20] + 1, lead[two] + 2, lead[three] + 3])
+
+
+def piece_starts(buf: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Offsets at which texts may be cut without changing their ids: text starts, white space behind anything else, and
+    .,;:!?"') behind A-Z or a-z.
+
+    No match of a byte-level tokenizer's pattern holds white space behind another character or one of these signs behind
+    a letter, none looks back, and the only one that looks ahead ends in white space. So each match lies within one
+    piece and comes out the same there.
+    """
+    start = _BLANK[buf].copy()
+    start[1:] &= ~_BLANK[buf[:-1]]
+    start[1:] |= _SIGN[buf[1:]] & _LETTER[buf[:-1]]
+    other = _after_other_blank(buf)
+    start[other[other < len(buf)]] = False
+    start[doc[:-1][doc[:-1] < len(buf)]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
-    """Ids of a tokenizers file. With a rank file of the same vocabulary, texts of plain characters take the faster library.
+    """Ids of a tokenizers file. All ids are that library's; ids of short pieces of text are kept for the next time.
 
-    Byte-level BPE gives both the same ids. Texts with other characters, very long runs or the special token's string
-    go to the tokenizers file itself.
+    Texts are cut into pieces (piece_starts) where the file has a byte-level pattern and no normalizer; each distinct
+    piece is encoded once a batch, and one that is a single match by the file's model alone. With any other file, whole
+    texts are encoded.
     """
 
-    def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(path)
-        self.fast = None
-        if ranks_path:
-            import base64
+    def __init__(self, path: str):
+        import json
 
-            import tiktoken
+        from tokenizers import Tokenizer, pre_tokenizers
 
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("silt", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.full = Tokenizer.from_file(path)
+        self.model = self.full.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mapped = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(0x180) if i == 32 or _ONE_MATCH.fullmatch(chr(i))}
+        self.clear()
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        cut = told.get("pre_tokenizer") or {}
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"""[\s.,;:!?"')]""", t["content"])) and re.search(f"[^{_LETTERS}]", t["content"]) for t in told.get("added_tokens", ()))
+        self.cuts = plain and not told.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None and _PLAIN.fullmatch(text) and "<|" not in text and not _LONG_RUN.search(text):
-            return self.fast.encode_to_numpy(text, disallowed_special=())
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
-
-
-def encoder(path: str | None = None, ranks_path: str | None = None, pattern: str | None = None) -> Encoder:
+        return self.batch(pa.array([text]))[0]
+
+    def clear(self) -> None:
+        """kept: number of each kept piece; first, flat: where its ids begin, and the ids of all, end to end."""
+        self.kept: dict[bytes, int] = {}
+        self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _vocabulary(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, and where each piece's begin and how many they are."""
+        if len(self.kept) > KEPT_PIECES:
+            self.clear()
+        number = np.fromiter(map(self.kept.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = sorted(np.flatnonzero(number < 0).tolist(), key=lambda i: len(pieces[i]) > KEPT_BYTES)
+        texts = [pieces[i].decode() for i in new]
+        found = [[t.id for t in self.model.tokenize(text.translate(self.mapped))] if _ONE_MATCH.fullmatch(text) else None for text in texts]
+        rest = [k for k, f in enumerate(found) if f is None]
+        for k, e in zip(rest, self.full.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+        number[new] = np.arange(len(self.first) - 1, len(self.first) - 1 + len(new))
+        first = np.append(self.first, self.first[-1] + np.cumsum([len(f) for f in found], dtype=np.int64))
+        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32)])
+        short = sum(len(pieces[i]) <= KEPT_BYTES for i in new)  # these come first
+        self.kept.update((pieces[i], int(number[i])) for i in new[:short])
+        self.first = first[: len(self.first) + short]
+        self.flat = flat[: self.first[-1]]
+        return flat, first[number], first[number + 1] - first[number]
+
+    def _cut_ids(self, buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces of buf, and the number of each piece's."""
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(buf))), pa.py_buffer(buf)]).dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        flat, first, sizes = self._vocabulary(words.dictionary.to_pylist())
+        each = sizes[codes]
+        at = np.repeat(first[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return flat[at], each
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an array without nulls."""
+        if not self.cuts:
+            return [np.array(e.ids, np.uint32) for e in self.full.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        buf, doc = text_bytes(texts)
+        starts = piece_starts(buf, doc)
+        ids, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + CUT_BYTES)))
+            end = int(starts[to]) if to < len(starts) else len(buf)
+            some, each = self._cut_ids(buf[starts[at] : end], starts[at:to] - starts[at])
+            ids.append(some)
+            counts.append(each)
+            at = to
+        before = np.append(0, np.cumsum(np.concatenate(counts)))
+        return np.split(np.concatenate(ids), before[np.searchsorted(starts, doc[1:-1])]) if len(doc) > 1 else []
+
+
+def encoder(path: str | None = None) -> Encoder:
     """By default the installed public byte-level vocabulary; loaded once in each process."""
     import os
 
@@ -66,11 +156,11 @@ def encoder(path: str | None = None, ranks_path: str | None = None, pattern: str
     if path is None:
         import public_tokenizers as P
 
-        path, ranks_path, pattern = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
-    return process_cache(f"encoder {path}", lambda: Encoder(path, ranks_path, pattern))
+        path = P.path("byte_bpe_50k.json")
+    return process_cache(f"encoder {path}", lambda: Encoder(path))
 
 
-def tokenize(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: tuple = (), id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """Pieces of every text: full windows, then the rest. ids: little-endian unsigned 32-bit; piece numbers rows of the input.
 
     Null and empty texts have the end id alone. Repeated rows have pieces of their own. carry: a column that pieces
@@ -78,13 +168,13 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, to
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
-            for part in text_chunks(batch, "text", 1 << 20):
+            for part in text_chunks(batch, "text", CUT_BYTES):
                 rows: list[tuple] = []
                 carried = part.column("carried").to_pylist() if carry else [None] * part.num_rows
-                for doc, row, extra, text in zip(part.column("doc_id").to_pylist(), part.column("piece").to_pylist(), carried, part.column("text"), strict=True):
-                    ids = np.append(encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+                for doc, row, extra, found in zip(part.column("doc_id").to_pylist(), part.column("piece").to_pylist(), carried, encode.batch(part.column("text")), strict=True):
+                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(ids), capacity):
                         cut = ids[start : start + capacity]
                         rows.append((doc, row, start, len(cut), len(ids), cut.tobytes(), extra))

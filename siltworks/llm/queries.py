@@ -55,7 +55,8 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of docs with their places; ids reduced to their crc32."""
     pieces = packing.tokenize(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(pieces, docs.count()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    pieces = materialize(pieces, "pieces")
+    return packing.pack(pieces, pieces.count()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def packed_in_mix(docs: DataFrame) -> DataFrame:
