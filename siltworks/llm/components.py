@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is two joins on the node id and is written to the shared folder, so lineage stays short and nothing but a
-count and a checksum reaches the driver. Rounds grow with the logarithm of the longest path.
+Each round is written to the shared folder, so lineage stays short and nothing but a count and a checksum reaches the
+driver. Rounds grow with the logarithm of the longest path. Joins on a node go by (node, salt of its neighbour), and a
+node's smallest neighbour is sent to the salts that it has rows in, so that no hub's edges meet in one task.
 """
 
 from __future__ import annotations
@@ -12,17 +13,24 @@ from pyspark.sql import functions as F
 from siltworks.llm.common import materialize
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """large: link a node's larger neighbours to its smallest one; small: link its smaller neighbours (and itself) to that."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = down.union(down.select("v", "u")) if large else down
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = near.join(least, "u")
+#: Shares that a node's edges are dealt into.
+SALTS = 64
+
+
+def _with_least(down: DataFrame, on: str, other: str) -> DataFrame:
+    """down (u, v, with u > v) and m: the smallest neighbour below the node in column `on`, null where there is none."""
+    least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", on)
+    dealt = down.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    cells = dealt.select(on, "_salt").distinct().join(least, on)  # SALTS rows a node at most
+    return dealt.join(cells, [on, "_salt"], "left").drop("_salt")
+
+
+def _stars(down: DataFrame, large: bool) -> DataFrame:
+    """large: link a node's larger neighbours to its smallest one (or to itself); small: its smaller ones and itself."""
     if large:
-        out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+        return _with_least(down, "v", "u").select("u", F.coalesce("m", "v").alias("v")).distinct()
+    met = _with_least(down, "u", "v")
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

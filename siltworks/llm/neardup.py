@@ -4,12 +4,14 @@
    into BANDS band keys, and an odd sketch: a bitmap in which each (sample number, value) flips one bit. The population
    count of two sketches' XOR estimates how many samples differ, and so the similarity.
 2. Texts with equal sets form a class; only its smallest doc_id goes on, so exact copies cost nothing further.
-3. Classes that share a band key form a bucket; buckets with the same members in several bands are kept once. Within a
-   bucket all sketch pairs are compared in blocks, and a spanning forest of those that may reach the threshold is
-   emitted: at most one edge a member, never all pairs. The forest's components are candidate families. Any two
-   classes that share a bucket and pass the sketch lie in one family, so no link is lost to the forest.
-4. Each family's texts are brought together once (families over BLOCK members in pairs of blocks) and links are confirmed
-   on full sets; again only a spanning forest of the confirmed links is emitted, which has the same components.
+3. Classes that share a band key form a bucket; buckets with the same members in several bands are kept once (told by
+   size, ends and a sum of 40-bit hashes; as a class lies in BANDS buckets only, two that differ fall together with a
+   probability under 10^-9 a class). Within a bucket sketches are compared (spanning) until a spanning forest of the
+   pairs that may reach the threshold is known and emitted: at most one edge a member, never all pairs. The forest's
+   components are candidate families. Any two classes that share a bucket and pass the sketch lie in one family, so no
+   link is lost to the forest.
+4. Each family's texts are brought together (those over BLOCK members block by block, _confirm) and links are confirmed on
+   full sets; again only a spanning forest of the confirmed links is emitted, which has the same components.
 
 Bands, rows and the sketch's bound follow from the threshold (plan): a pair at it shares no band with probability 1e-6.
 At 0.85 that takes 36 bands of 7 samples and at 0.80 46 of 6. A pair at 0.85 falls below the sketch's bound with
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +60,10 @@ def plan(threshold: int) -> tuple[int, int, float]:
 
 BANDS, ROWS, SKETCH_BOUND = plan(THRESHOLD)
 SAMPLES = BANDS * ROWS
-#: Families with more members are confirmed in pairs of blocks of about half as many; so are larger buckets compared.
+#: Families with more members are confirmed in blocks of about half as many, and buckets with more compared in pairs of such.
 BLOCK, BUCKET = 2048, 8192
+#: Members of a large family that go to each of its blocks, and shares that rows of one bucket or family are dealt into.
+ANCHORS, SALTS = 16, 16
 
 SIGNATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
 
@@ -209,26 +213,39 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield now, pa.Table.from_batches(held)
 
 
-def sift_bucket(sketches: np.ndarray, bound: int, side: np.ndarray, block: int = 256) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs whose sketches differ in at most `bound` bits; compared in blocks of rows.
+def spanning(n: int, linked: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning forest of a graph on 0 to n - 1; linked(i): the nodes linked with i.
+
+    Asks for the links of a node, then of one outside the largest tree, until all such are known. Links that are not
+    asked for lie within that tree. A group whose members are nearly all linked with its first takes few questions.
+    """
+    forest, edges, waiting, i = Forest(n), [], np.ones(n, bool), 0
+    while True:
+        waiting[i] = False
+        hits = linked(i)
+        for j in hits[forest.roots()[hits] != forest.root(i)].tolist():
+            if forest.join(i, j):
+                edges.append((i, j))
+        roots = forest.roots()
+        rest = np.flatnonzero(waiting & (roots != np.argmax(np.bincount(roots))))
+        if not len(rest):
+            return edges
+        i = int(rest[0])
+
+
+def sift_bucket(sketches: np.ndarray, bound: int, side: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs whose sketches differ in at most `bound` bits.
 
     Pairs of one side are left out unless all are of one.
     """
     both = len(np.unique(side)) > 1
     words = np.ascontiguousarray(sketches).view(np.uint64)
-    forest, edges = Forest(len(words)), []
-    for at in range(0, len(words), block):
-        rows = words[at : at + block]
-        for to in range(0, at + len(rows), 4 * block):
-            near = np.bitwise_count(rows[:, None, :] ^ words[None, to : to + 4 * block, :]).sum(axis=2, dtype=np.int32) <= bound
-            if both:
-                near &= side[at : at + len(rows), None] != side[None, to : to + 4 * block]
-            roots = forest.roots()
-            near &= roots[at : at + len(rows), None] != roots[None, to : to + 4 * block]
-            for i, j in zip(*np.nonzero(near), strict=True):
-                if forest.join(at + int(i), to + int(j)):
-                    edges.append((at + int(i), to + int(j)))
-    return edges
+
+    def linked(i: int) -> np.ndarray:
+        near = np.bitwise_count(words ^ words[i]).sum(axis=1, dtype=np.int32) <= bound
+        return np.flatnonzero(near & (side != side[i]) if both else near)
+
+    return spanning(len(words), linked)
 
 
 def confirm_family(sets: list[np.ndarray], side: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -237,27 +254,22 @@ def confirm_family(sets: list[np.ndarray], side: np.ndarray, threshold: int = TH
     sizes = np.array([len(s) for s in sets])
     both = len(np.unique(side)) > 1
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    of = np.repeat(np.arange(n), sizes)
     order = np.argsort(codes, kind="stable")
-    holders, starts = of[order], np.concatenate([[0], np.cumsum(np.bincount(codes))])
+    holders, starts = np.repeat(np.arange(n), sizes)[order], np.concatenate([[0], np.cumsum(np.bincount(codes))])
     ends_of = np.cumsum(sizes)
-    forest, edges = Forest(n), []
-    for i in range(n):
-        roots = forest.roots()
-        others = roots != roots[i]
-        if both:
-            others &= side != side[i]
-        others &= (100 * np.minimum(sizes, sizes[i]) >= threshold * np.maximum(sizes, sizes[i])) & (np.arange(n) > i)
-        if not others.any():
-            continue
+
+    def linked(i: int) -> np.ndarray:
         mine = codes[ends_of[i] - sizes[i] : ends_of[i]]
-        count = starts[mine + 1] - starts[mine]
-        at = np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        shared = np.bincount(holders[at], minlength=n)
-        for j in np.flatnonzero(others & (100 * shared >= threshold * (sizes + sizes[i] - shared))):
-            if forest.join(i, int(j)):
-                edges.append((i, int(j)))
-    return edges
+        shared = np.zeros(n, np.int64)
+        for at in range(0, len(mine), 4096):  # holders of some shingles at a time, as long texts in large families have many
+            some = mine[at : at + 4096]
+            count = starts[some + 1] - starts[some]
+            place = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            shared += np.bincount(holders[place], minlength=n)
+        near = 100 * shared >= threshold * (sizes + sizes[i] - shared)
+        return np.flatnonzero(near & (side != side[i]) if both else near)
+
+    return spanning(n, linked)
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -280,7 +292,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 40))).alias("h")).where("n > 1 and least <> most")
     keys = materialize(full.groupBy("n", "least", "most", "h").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    members = _dealt(keyed.join(keys, "key").distinct(), "key", BUCKET).join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
+    members = _dealt(salted_join(keyed, keys, "key", ["rep"], "inner", SALTS).distinct(), "key", BUCKET).join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
     bound = _most_differing(least, bands * rows)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,19 +326,50 @@ def _dealt(members: DataFrame, group: str, most: int) -> DataFrame:
 
 
 def _confirm(texts: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
-    """Confirmed links (a spanning forest for each family or pair of its blocks) as u, v."""
-    sized = families.join(families.groupBy("family").agg(F.count("*").alias("n")), "family")
-    # Always a merge join: a broadcast of the families would fit small corpora only.
-    member = texts.join(_dealt(sized, "family", BLOCK).hint("merge"), F.col("doc_id") == F.col("rep"))
-    dealt = member.select("family", "low", "high", "side", "rep", "text")
+    """Confirmed links (a spanning forest for each family or block) as u, v.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 3):
-            rep, side = rows.column("rep").to_numpy(), rows.column("side").to_numpy()
-            sets = [s for batch in rows.to_batches() for part in text_chunks(batch, "text") for s in shingle_hashes(part.column("text"))]
-            if edges := confirm_family(sets, side, threshold):
-                a, b = np.array(edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["u", "v"])
+    A family over BLOCK members is first compared within blocks of about half as many, to each of which go some ANCHORS
+    of its members too. That joins nearly all of a true family. What lies outside the family's largest component then
+    meets every block; pairs within that component need no comparison.
+    """
 
-    by = ("family", "low", "high")
-    return dealt.repartition(*by).sortWithinPartitions(*by, "rep").mapInArrow(run, "u long, v long")
+    def links(dealt: DataFrame) -> DataFrame:
+        # Always a merge join: a broadcast of the families would fit small corpora only.
+        member = texts.join(dealt.hint("merge"), F.col("doc_id") == F.col("rep"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, rows in _groups(batches, 3):
+                rep, side = rows.column("rep").to_numpy(), rows.column("side").to_numpy()
+                sets = [s for batch in rows.to_batches() for part in text_chunks(batch, "text") for s in shingle_hashes(part.column("text"))]
+                if edges := confirm_family(sets, side, threshold):
+                    a, b = np.array(edges).T
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["u", "v"])
+
+        by = ("family", "low", "high")
+        return member.select(*by, "side", "rep", "text").repartition(*by).sortWithinPartitions(*by, "rep").mapInArrow(run, "u long, v long")
+
+    zero, half = F.lit(0), BLOCK // 2
+    counts = materialize(families.groupBy("family").agg(F.count("*").alias("n")), "family-sizes")
+    large = counts.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return links(families.select("family", "rep", zero.alias("side"), zero.alias("low"), zero.alias("high")))
+    sized = materialize(salted_join(families, counts, "family", ["rep"], "inner", SALTS), "sized")
+    whole = sized.where(F.col("n") <= BLOCK).select("family", "rep", zero.alias("side"), zero.alias("low"), zero.alias("high"))
+    blocks = F.ceil(F.col("n") / half).cast("int")
+    split = sized.where(F.col("n") > BLOCK).withColumn("low", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    anchor = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("n")) < ANCHORS
+    everywhere = split.where(anchor).select("family", "rep", F.explode(F.sequence(zero, blocks - 1)).alias("low"))
+    inside = split.select("family", "rep", "low").union(everywhere).distinct()
+    first = materialize(links(whole.union(inside.select("family", "rep", zero, "low", F.col("low").alias("high")))), "links")
+    # Members of split families outside their family's largest component.
+    joined = components(first.join(split.select(F.col("rep").alias("u")), "u", "left_semi"))
+    placed = split.join(joined, split.rep == joined.node, "left").select("family", "rep", "n", "low", F.coalesce("component", "rep").alias("part"))
+    placed = materialize(placed, "placed-members")
+    parts = placed.groupBy("family", "part").agg(F.count("*").alias("size"))
+    main = parts.groupBy("family").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("n"), F.max("size").alias("most"))
+    waits = F.ceil((F.col("n") - F.col("most")) / half).cast("int")
+    told = salted_join(placed.drop("n"), main.select("family", "main", "n", waits.alias("sides")).where("sides > 0"), "family", ["rep"], "inner", SALTS)
+    rest = told.where("part <> main").withColumn("s", F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("sides")).cast("int"))
+    rest = rest.select("family", "rep", zero.alias("side"), F.col("s").alias("low"), F.explode(F.sequence(zero, blocks - 1)).alias("high"))
+    rows = told.select("family", "rep", F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("sides") - 1)).alias("s"), F.col("low").alias("high")).withColumnRenamed("s", "low")
+    return first.union(links(rest.union(rows.select("family", "rep", "side", "low", "high"))))
