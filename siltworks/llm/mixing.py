@@ -81,8 +81,8 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     """docs with {prefix}block (number within the source, from 0), {prefix}slot and {prefix}position (both from 0, positions gapless).
 
     weights: positive whole numbers by source; others get default_weight. A null source is the source named "". Within a
-    source the order is by a hash bucket of the id, then the id; rows that tie (null or repeated ids) follow in any
-    order. An empty table stays empty. More than MAX_SOURCES sources or weights that sum to more than MAX_PERIOD are
+    source the order is by a hash bucket of the id, then the id, then (null or repeated ids) a hash of the whole row,
+    so that a repeated task places rows alike. An empty table stays empty. More than MAX_SOURCES sources or weights that sum to more than MAX_PERIOD are
     refused, as they would make the plan unbounded. docs may have any other columns, but none with the prefix.
     """
     weights = weights or {}
@@ -102,7 +102,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     plan = plan.select(F.col("source").alias(s), *(F.col(c).alias(f"{prefix}{c}") for c in ("base", "used", "slot", "missing", "weight", "period", "pattern")))
     before = Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select(s, b, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{prefix}start"))
-    within = F.row_number().over(Window.partitionBy(s, b).orderBy(F.col(id_col))) - 1
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"]
+    whole = F.xxhash64(*(F.col(f"`{c}`") for c in hashed))
+    within = F.row_number().over(Window.partitionBy(s, b).orderBy(F.col(id_col), whole)) - 1
     numbered = keyed.withColumn(f"{prefix}row", within).join(starts, [s, b]).withColumn(f"{prefix}row", F.col(f"{prefix}row") + F.col(f"{prefix}start"))
     block = F.floor(F.col(f"{prefix}row") / F.lit(block_rows)).cast("bigint")
     c = lambda name: F.col(f"{prefix}{name}")

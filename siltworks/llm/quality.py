@@ -8,7 +8,6 @@ probability of good quality is at least KEEP_AT.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from siltworks.llm.common import text_chunks, with_text
 from siltworks.llm.textcols import Words, char_ngrams, owner, padded, pair_buckets, split_words, sum_by, text_bytes, word_buckets, word_hashes
-from siltworks.llm.training import fit_logistic, fit_platt, labelled_sample, sigmoid
+from siltworks.llm.training import calibration_rows, fit_logistic, fit_platt, labelled_sample, sigmoid
 
 #: Buckets of hashed features, as a power of two, for each of words, pairs and grams of one length.
 BITS = 9
@@ -150,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_chars:
     if not sample.num_rows:
         return QualityModel(np.zeros(size), np.zeros(size), {g: np.zeros(size) for g in GRAMS}, 6.0, 1.0, 0.0)
     # Calibration rows last, so that both parts are views of one array.
-    held = np.array([zlib.crc32(b"calibrate %d" % d) % 5 == 0 for d in sample.column("doc_id").to_pylist()], bool)
+    held = calibration_rows(sample)
     sample = sample.take(np.argsort(held, kind="stable"))
     y = sample.column("y").to_numpy().astype(float)
     x, at = np.zeros((len(y), size * (2 + len(GRAMS))), np.float32), 0

@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +57,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def more_candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Runs of 16+ characters with a letter and a digit that touch no base span."""
-    out, at = [], 0
+    starts, ends = [b[0] for b in base], list(accumulate((b[1] for b in base), max))
+    out = []
     for m in _RUN.finditer(text):
-        while at < len(base) and base[at][1] <= m.start():
-            at += 1
-        run = m[0]
-        if any(b[0] < m.end() and m.start() < b[1] for b in base[at:]):
+        k = bisect_left(starts, m.end())
+        if k and ends[k - 1] > m.start():
             continue
+        run = m[0]
         if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
             out.append(m.span())
     return out

@@ -26,9 +26,15 @@ from pyspark.sql.window import Window
 from siltworks.llm.common import materialize
 
 K, SCALE = 10, 1024.0
-#: Pivots and rings a pivot (so PIVOTS * RINGS annuli at most), and the bound of the sample that sets them.
-PIVOTS, RINGS, SAMPLE = 24, 8, 2048
-BLOCK, QUERY_BLOCK, SALTS = 1024, 256, 4
+#: Fewest and most pivots, and rings a pivot (so MOST_PIVOTS * RINGS annuli at most). Pivots grow with the square root of
+#: the rows. They are set on a sample of SAMPLE rows, or SAMPLE_PIVOT for each pivot.
+LEAST_PIVOTS, MOST_PIVOTS, RINGS, SAMPLE, SAMPLE_PIVOT = 8, 1024, 8, 2048, 16
+#: Vectors a block, queries a block, blocks of an annulus that one task holds, and queries of an annulus gathered by one.
+BLOCK, QUERY_BLOCK, TASK_BLOCKS, TASK_QUERIES = 1024, 256, 4, 8192
+
+
+def pivots_for(rows: int) -> int:
+    return max(LEAST_PIVOTS, min(MOST_PIVOTS, int(rows**0.5 / 3)))
 
 
 def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -56,7 +62,7 @@ def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 class Pivots:
     """Pivot vectors and, for each, the ring edges."""
 
-    def __init__(self, sample: np.ndarray, pivots: int = PIVOTS, rings: int = RINGS):
+    def __init__(self, sample: np.ndarray, pivots: int = LEAST_PIVOTS, rings: int = RINGS):
         rng = np.random.default_rng(3)
         points = sample if len(sample) else np.zeros((1, sample.shape[1]))
         centres = points[rng.choice(len(points), min(pivots, len(points)), replace=False)]
@@ -92,6 +98,7 @@ class Bounds:
         self.pivots = pivots
         self.ids = np.array([r.annulus for r in rows], np.int64)
         self.count = np.array([r.n for r in rows], np.int64)
+        self.salts = np.maximum(1, -(-self.count // (BLOCK * TASK_BLOCKS)))
         self.low, self.high, self.norm = (np.array([r[k] for r in rows]) for k in ("low", "high", "norm"))
 
     def highest(self, q: np.ndarray) -> np.ndarray:
@@ -113,8 +120,9 @@ class Bounds:
 
 def build(vectors: DataFrame) -> tuple[DataFrame, DataFrame, Bounds]:
     """Index scaled() vectors: (vectors with their annulus, block rows, bounds). Both tables are written to the shared folder."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks()
-    pivots = Pivots(_matrix(rows) if len(rows) else np.zeros((0, 1)))
+    wanted = pivots_for(vectors.count())
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, SAMPLE_PIVOT * wanted)).select("vec").toArrow().column("vec").combine_chunks()
+    pivots = Pivots(_matrix(rows) if len(rows) else np.zeros((0, 1)), wanted)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +141,7 @@ def build(vectors: DataFrame) -> tuple[DataFrame, DataFrame, Bounds]:
             at = 0
             while at < len(annulus):
                 to = min(at + BLOCK, int(np.searchsorted(annulus, annulus[at], side="right")))
-                yield _packed(batch.slice(at, to - at), int(annulus[at]), number)
+                yield _packed(batch.slice(at, to - at), int(annulus[at]), number % int(bounds.salts[np.searchsorted(bounds.ids, annulus[at])]))
                 at, number = to, number + 1
 
     # Sorted as a whole, so that a block holds neighbours in distance and no annulus has to fit one task.
@@ -141,34 +149,38 @@ def build(vectors: DataFrame) -> tuple[DataFrame, DataFrame, Bounds]:
     return placed, materialize(ordered.mapInArrow(cut, PACKED), "blocks"), bounds
 
 
-PACKED = "annulus long, number long, n long, ids binary, vecs binary"
+PACKED = "annulus long, salt long, n long, ids binary, vecs binary"
 
 
-def _packed(rows: pa.RecordBatch, annulus: int, number: int) -> pa.RecordBatch:
+def _packed(rows: pa.RecordBatch, annulus: int, salt: int) -> pa.RecordBatch:
     x = _matrix(rows.column("vec"))
-    return pa.RecordBatch.from_arrays([pa.array([annulus]), pa.array([number]), pa.array([len(x)]), pa.array([rows.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["annulus", "number", "n", "ids", "vecs"])
+    return pa.RecordBatch.from_arrays([pa.array([annulus]), pa.array([salt]), pa.array([len(x)]), pa.array([rows.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["annulus", "salt", "n", "ids", "vecs"])
 
 
-def _visits(queries: DataFrame, bounds: Bounds, k: int, second: bool) -> DataFrame:
-    """Rows (annulus, vec_id, least, vec): which annuli a query visits. First wave: the best until k + 1 vectors are in them.
+def visits(q: np.ndarray, bounds: Bounds, k: int, least: np.ndarray | None = None) -> np.ndarray:
+    """[queries, annuli]: which annuli a query visits. First wave: the best until k + 1 vectors are in them.
 
-    Second wave: those of the others whose bound reaches `least`, the query's k-th score so far (null: all).
+    With least, the second wave: those of the others whose bound reaches a query's k-th score so far (nan: all).
     """
+    high = bounds.highest(q)
+    order = np.argsort(-high, axis=1, kind="stable")
+    held = np.cumsum(bounds.count[order], axis=1)
+    first = np.zeros(high.shape, bool)
+    np.put_along_axis(first, order, held - bounds.count[order] < k + 1, axis=1)
+    return first if least is None else ~first & ~(high < least[:, None])
+
+
+def _visits(queries: DataFrame, bounds: Bounds, k: int, second: bool) -> DataFrame:
+    """Rows (annulus, vec_id, least, vec) of visits(), some queries at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(bounds.ids):
-                continue
-            high = bounds.highest(_matrix(batch.column("vec")))
-            order = np.argsort(-high, axis=1, kind="stable")
-            held = np.cumsum(bounds.count[order], axis=1)
-            first = np.zeros(high.shape, bool)
-            np.put_along_axis(first, order, held - bounds.count[order] < k + 1, axis=1)
-            least = batch.column("least").to_numpy(zero_copy_only=False) if second else np.full(len(high), np.nan)
-            visit = ~first & ~(high < least[:, None]) if second else first
-            row, col = np.nonzero(visit)
-            if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(bounds.ids[col]), batch.column("vec_id").take(pa.array(row)), pa.array(least[row], from_pandas=True), batch.column("vec").take(pa.array(row))], names=["annulus", "vec_id", "least", "vec"])
+            for at in range(0, batch.num_rows if len(bounds.ids) else 0, QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                least = part.column("least").to_numpy(zero_copy_only=False) if second else None
+                row, col = np.nonzero(visits(_matrix(part.column("vec")), bounds, k, least))
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(bounds.ids[col]), part.column("vec_id").take(pa.array(row)), pa.array(least[row], from_pandas=True) if second else pa.nulls(len(row), pa.float64()), part.column("vec").take(pa.array(row))], names=["annulus", "vec_id", "least", "vec"])
 
     return queries.mapInArrow(run, "annulus long, vec_id long, least double, vec array<double>")
 
@@ -180,8 +192,11 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (whole(q) @ whole(v).T).astype(np.int64)
 
 
-def _wave(visits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """Up to k best (query_id, vec_id, score) of each query and block; ties go to the smaller vec_id."""
+def _wave(found: DataFrame, blocks: DataFrame, bounds: Bounds, k: int, asked: int) -> DataFrame:
+    """Up to k best (query_id, vec_id, score) of each query and block; ties go to the smaller vec_id.
+
+    found: visits of `asked` queries. A task holds some blocks of an annulus and streams the queries that visit it.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +207,8 @@ def _wave(visits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(at, to - at)
                 x = _matrix(part.column("vec"))
                 least = np.nan_to_num(part.column("least").to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array([int(annulus[at])]), pa.array([part.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([least.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["annulus", "q_ids", "q_least", "q_vecs"])
+                salts = int(bounds.salts[np.searchsorted(bounds.ids, annulus[at])])
+                yield pa.RecordBatch.from_arrays([pa.array([int(annulus[at])]), pa.array([salts]), pa.array([part.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([least.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["annulus", "salts", "q_ids", "q_least", "q_vecs"])
                 at = to
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +231,10 @@ def _wave(visits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
                 if len(row):
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[col]), pa.array(s[row, col])], names=["query_id", "vec_id", "score"])
 
-    packed = visits.repartition("annulus").sortWithinPartitions("annulus", "vec_id").mapInArrow(gather, "annulus long, q_ids binary, q_least binary, q_vecs binary")
-    left = blocks.withColumn("_salt", F.pmod("number", F.lit(SALTS)))
-    right = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    pairs = left.join(right, ["annulus", "_salt"]).select("ids", "vecs", "q_ids", "q_least", "q_vecs")
+    deal = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked // TASK_QUERIES))))
+    packed = found.repartition("annulus", deal).sortWithinPartitions("annulus", "vec_id").mapInArrow(gather, "annulus long, salts long, q_ids binary, q_least binary, q_vecs binary")
+    right = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    pairs = blocks.join(right, ["annulus", "salt"]).select("ids", "vecs", "q_ids", "q_least", "q_vecs")
     return pairs.mapInArrow(score, "query_id long, vec_id long, score long")
 
 
@@ -235,10 +251,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     """
     placed, blocks, bounds = build(scaled(vectors, id_col, vector_col))
     queries = placed.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    first = materialize(_wave(_visits(queries, bounds, k, second=False), blocks, k), "first")
+    asked = queries.count()
+    first = materialize(_wave(_visits(queries, bounds, k, second=False), blocks, bounds, k, asked), "first")
     best = _ranked(first, k)
     worst = F.min("score").cast("double")  # a little less, as doubles round large scores
     least = best.groupBy("query_id").agg(F.when(F.count("*") >= k, worst - F.abs(worst) * 1e-12).alias("least"))
     waiting = queries.join(least.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left").select("vec_id", "vec", "least")
-    second = _wave(_visits(waiting, bounds, k, second=True), blocks, k)
+    second = _wave(_visits(waiting, bounds, k, second=True), blocks, bounds, k, asked)
     return _ranked(first.union(second), k).select("query_id", "rank", "vec_id", "score")

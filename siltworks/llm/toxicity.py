@@ -20,7 +20,7 @@ from siltworks.llm import chains
 from siltworks.llm.chains import marginals
 from siltworks.llm.common import text_chunks, with_text
 from siltworks.llm.textcols import PUNCTUATION, Words, characters, edge_grams, lowered, owner, padded, split_words, sum_by, text_bytes, word_buckets, word_hashes
-from siltworks.llm.training import fit_platt, labelled_sample, sigmoid
+from siltworks.llm.training import calibration_rows, fit_platt, labelled_sample, sigmoid
 
 #: Buckets of hashed token features, as a power of two.
 BITS = 18
@@ -122,8 +122,16 @@ def _label_words(w: Words, features: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> ToxicityModel:
-    """Fit on at most `rows` labelled texts; where: which rows of labels may be used. Without toxic labels all scores are low."""
+    """Fit on at most `rows` labelled texts; where: which rows of labels may be used. Without toxic labels all scores are low.
+
+    A fifth of the texts serves calibration only, unless the others hold no toxic one.
+    """
     sample = labelled_sample(with_text(docs), labels, "toxic", rows, max_chars, where)
+    held = calibration_rows(sample)
+    if not sample.column("y").to_numpy()[~held].any():
+        held[:] = False
+    spare = sample.filter(pa.array(held)) if held.any() else sample
+    sample = sample.filter(pa.array(~held))
     y = sample.column("y").to_numpy().astype(np.int64)
     empty = ToxicityModel(np.zeros(0, np.int64), np.zeros(0), np.zeros((2, 2)), np.array([0.0, -6.0]), 1.0, 0.0)
     if not y.any():
@@ -146,8 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows:
     emit = weights[:-1, 1] - weights[:-1, 0]
     kept = np.abs(emit) > 1e-3
     model = ToxicityModel(ids[kept], emit[kept], trans, start, 1.0, 0.0)
-    each = [evidence(model.token_probability(t), t.bounds) for batch in sample.combine_chunks().to_batches() for part in text_chunks(batch, "text", 1 << 20) for t in [tokens(part.column("text"))]]
-    a, b = fit_platt(np.concatenate(each), y.astype(float))
+    each = [evidence(model.token_probability(t), t.bounds) for batch in spare.combine_chunks().to_batches() for part in text_chunks(batch, "text", 1 << 20) for t in [tokens(part.column("text"))]]
+    a, b = fit_platt(np.concatenate(each), spare.column("y").to_numpy().astype(float))
     model.a, model.b = max(a, 0.05), b
     return model
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,8 @@ def crc_of_id(column: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int, where: Column | None = None) -> pa.Table:
     """At most `rows` labelled texts of at most `max_chars` characters: doc_id, text, y, sorted by doc_id.
 
-    Rows with the smallest crc32 of their id are taken. A document with several labels counts with the largest.
+    Ids with the smallest crc32 are taken. A document with several labels counts with the largest, and of rows with one
+    id the one with the least text counts, so that the sample is the same each time.
     docs has doc_id and text. The bound makes the broadcast and what reaches the driver of known size.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -23,8 +26,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
         chosen = chosen.where(where)
     chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(crc_of_id(), "doc_id").limit(rows)
-    found = docs.where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").limit(2 * rows)
-    return found.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    found = docs.where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
+    return found.toArrow().sort_by("doc_id")
+
+
+def calibration_rows(sample: pa.Table) -> np.ndarray:
+    """Which rows of a labelled sample, about a fifth, serve calibration only; told by the id."""
+    return np.array([zlib.crc32(b"calibrate %d" % d) % 5 == 0 for d in sample.column("doc_id").to_pylist()], bool)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from siltworks.llm.topk import search
+from siltworks.llm.topk import MOST_PIVOTS, build, pivots_for, scaled, search, visits
 
 
 def brute(rows, every, k):
@@ -37,3 +37,29 @@ def test_few_rows(spark):
     assert run(spark, rows[:1]) == []
     assert run(spark, []) == []
     assert run(spark, [(0, [1e6, 3e5]), (1, [2e5, 1e3]), (2, [1.0, 1.0])]) == brute([(0, [1e6, 3e5]), (1, [2e5, 1e3]), (2, [1.0, 1.0])], 10, 10)
+
+
+def visited_share(spark, x, every=20, k=10):
+    """Share of all query-vector pairs in the annuli that the queries visit, with each query's true k-th score as the bound."""
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    _, _, bounds = build(scaled(df))
+    whole = np.floor(1024 * x.astype(np.float32).astype(float))
+    q = whole[::every]
+    scores = q @ whole.T
+    scores[np.arange(len(q)), np.arange(0, len(x), every)] = -np.inf
+    least = np.sort(scores, axis=1)[:, -k]
+    seen = visits(q, bounds, k) | visits(q, bounds, k, least)
+    assert bounds.count.sum() == len(x)
+    return float((seen * bounds.count).sum() / (len(q) * len(x)))
+
+
+def test_bounds_prune_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16))
+    tight = centres[rng.integers(0, 20, 2000)] + 0.05 * rng.normal(size=(2000, 16))
+    assert visited_share(spark, tight) < 0.25
+    assert visited_share(spark, rng.normal(size=(1000, 16))) > 0.5  # nothing to prune by
+
+
+def test_pivots_grow_with_the_rows():
+    assert [pivots_for(n) for n in (0, 500, 5130, 10**6, 10**9)] == [8, 8, 23, 333, MOST_PIVOTS]
