@@ -96,8 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline  # noqa: F401  it belongs to this subpackage
-
+    """All of them; pipeline needs corpus_pipeline.py when it runs."""
     return {f.__name__: f for f in (op1_mixing, op2_pii, op3_secrets, op4_toxicity, op5_quality, op6_neardup, op7_topk, op8_packing, op9_chat, op10_warc, pipeline)}
 
 

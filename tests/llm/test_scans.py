@@ -213,3 +213,22 @@ def test_threshold_keeps_the_recall_below_one_half(monkeypatch):
     held = [r for i, r in enumerate(rows) if i // 2 % 5 == 0 and r[3]]
     p = model.probability(np.array([secrets.encode(*r[:3]) for r in held]))
     assert model.threshold < 0.5 and (p >= model.threshold).mean() >= secrets.MIN_RECALL
+
+
+#: Lines written by hand, none by pii.LINES: text and the personal data that the field is to find in it.
+WRITTEN = (
+    ("Hello, this is Rebecca Thornton from accounting", ["Rebecca Thornton"]), ("please ring Michael Oduya at 415-555-0182 tomorrow", ["Michael Oduya", "415-555-0182"]),
+    ("You can reach Dr. Helen Park on (212) 555-0147", ["Helen Park", "(212) 555-0147"]), ("her SSN was 078-05-1120 on the form", ["078-05-1120"]), ("my social is 219-09-9999, thanks", ["219-09-9999"]),
+    ("Employee: Sanjay Gupta, phone 617-555-0110", ["Sanjay Gupta", "617-555-0110"]), ("Regards, Peter Novak", ["Peter Novak"]), ("Mobile 650 555 0199 after six", ["650 555 0199"]),
+    ("write to sales (at) shop (dot) com for prices", ["sales (at) shop (dot) com"]), ("My full name is Laura Bianchi", ["Laura Bianchi"]), ("fax us: 303.555.0134", ["303.555.0134"]), ("Mr. Olu Adeyemi called again", ["Olu Adeyemi"]),
+)
+CLEAN = ("the committee met on Tuesday and agreed", "Version 2.10 was released in 2019 with 14 fixes", "Paris is the capital of France", "Total: 12,500 units in Q3 2021", "call the function with three arguments", "At noon, the price rose to 1,204.50 dollars", "this is to say that to be or not to be", "See section 4.2 of the report from 2018-03-04")
+
+
+def test_field_on_lines_written_by_hand(spark):
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate([t for t, _ in WRITTEN] + list(CLEAN))), "doc_id long, text string")).collect()}
+    found = [(i, t[int(a) : int(z)]) for i, (t, _) in enumerate(WRITTEN) for _, a, z in (s.split(":") for s in got[i].split(",") if s)]
+    want = [(i, x) for i, (_, xs) in enumerate(WRITTEN) for x in xs]
+    assert len(set(found) & set(want)) >= 0.85 * len(want), sorted(set(want) - set(found))
+    assert len(set(found) & set(want)) >= 0.85 * len(found), sorted(set(found) - set(want))
+    assert not any(got[len(WRITTEN) + i] for i in range(len(CLEAN)))
