@@ -41,17 +41,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret found is replaced by [SECRET] and n_chars set anew; no document goes."""
+    """Every secret found is replaced by [SECRET] and n_chars set anew; no document goes.
+
+    Null and empty texts stay as they are; repeated rows are scanned each.
+    """
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their rows in the order of the mix: files by range of positions, rows within them by position."""
+    """All documents, their rows in the order of the mix: files by range of positions, rows within them by position.
+
+    A null source is the source named ""; rows that tie (null or repeated ids) follow by a hash of the row. Texts may be null.
+    """
     return mixing.in_order(docs, weights=queries.WEIGHTS, default_weight=queries.OTHER_WEIGHT)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document's ids lies in which sequence; sequence numbers follow the order of the mix."""
+    """Where each piece of each document's ids lies in which sequence; sequence numbers follow the order of the mix.
+
+    Null and empty texts have the end id alone; repeated rows have pieces each.
+    """
     return queries.packed_in_mix(docs)
 
 
