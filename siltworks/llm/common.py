@@ -80,8 +80,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread, how: str =
     """Equi-join whose left side may hold a third of its rows under one key.
 
     Left rows are dealt by (key, hash of spread mod salts); each right row is repeated once per salt.
-    Use it where right has one small row a key.
+    Use it where right has one small row a key. It is always a merge join: Spark's size check does not see the repeats.
     """
     a = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [key, "_salt"], how).drop("_salt")
+    return a.join(b.hint("merge"), [key, "_salt"], how).drop("_salt")

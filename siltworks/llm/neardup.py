@@ -61,7 +61,7 @@ def plan(threshold: int) -> tuple[int, int, float]:
 BANDS, ROWS, SKETCH_BOUND = plan(THRESHOLD)
 SAMPLES = BANDS * ROWS
 #: Families with more members are confirmed in blocks of about half as many, and buckets with more compared in pairs of such.
-BLOCK, BUCKET = 2048, 8192
+BLOCK, BUCKET = 512, 8192
 #: Members of a large family that go to each of its blocks, and shares that rows of one bucket or family are dealt into.
 ANCHORS, SALTS = 16, 16
 
