@@ -1,4 +1,4 @@
-"""python -m siltworks {map,scan,index,ask,chat,docs} PATH ..., config {set,get,list}, cache-clear PATH."""
+"""python -m siltworks {map,scan,index,ask,chat,docs} PATH ..., serve, config {set,get,list}, cache-clear PATH."""
 
 from __future__ import annotations
 
@@ -23,12 +23,12 @@ def _config(args: argparse.Namespace) -> None:
         print("\n".join(f"{k} = {shown(k)}" for k in Config.SAVED))
 
 
-def _chat(project) -> None:
+def _chat(project, completer) -> None:
     """Questions from the terminal until an empty line or "exit"; earlier turns go with each."""
     history: list[tuple[str, str]] = []
     index = project.index()
     while (question := input("> ").strip()) not in ("", "exit", "quit"):
-        answer = project.ask([question], history=history, index=index).first().answer
+        answer = project.ask([question], completer, history=history, index=index).first().answer
         history += [("user", question), ("assistant", answer or "")]
         print(answer)
 
@@ -51,6 +51,9 @@ def main() -> None:
             one.add_argument("--full", action="store_true")
         elif name == "index":
             one.add_argument("--json", help="write one nested JSON row a file to this folder")
+    one = commands.add_parser("serve")
+    one.add_argument("--host", default="127.0.0.1")
+    one.add_argument("--port", type=int, default=8000)
     config = commands.add_parser("config").add_subparsers(dest="action", required=True)
     config.add_parser("list")
     for action in ("set", "get"):
@@ -71,7 +74,17 @@ def main() -> None:
     if args.command == "cache-clear":
         print(f"{cache.clear(spark, args.path)} rows removed")
         return
-    project = Project.from_path(spark, args.path, Config.load(CONFIG_FILE), exclude=(args.out.split("/")[0],) if args.command == "docs" else ())
+    settings = Config.load(CONFIG_FILE)
+    if args.command == "serve":
+        from siltworks.server import Service, serve
+
+        server = serve(Service(spark, settings), args.host, args.port)
+        print(f"http://{args.host}:{server.server_port}/api/projects")
+        return server.serve_forever()
+    from siltworks.operators.completion import of_config
+
+    completer = of_config(settings)
+    project = Project.from_path(spark, args.path, settings, exclude=(args.out.split("/")[0],) if args.command == "docs" else ())
     if args.command == "map":
         rows = project.map(args.top)
         print("\n".join(rows.orderBy("rank").toJSON().collect()) if args.json else rows.orderBy("rank")._show_string(args.top, False))
@@ -83,11 +96,11 @@ def main() -> None:
         if args.json:
             project.indexed_files().write.mode("overwrite").json(args.json)
     elif args.command == "ask":
-        project.ask([" ".join(args.question)]).show(truncate=False)
+        project.ask([" ".join(args.question)], completer).show(truncate=False)
     elif args.command == "chat":
-        _chat(project)
+        _chat(project, completer)
     else:
-        print(project.export(args.out, form=args.form, wiki_links=args.wiki_links, full=args.full))
+        print(project.export(args.out, completer, form=args.form, wiki_links=args.wiki_links, full=args.full))
 
 
 if __name__ == "__main__":

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +22,76 @@ def offline(prompt: str) -> str:
     return json.dumps({"chars": len(prompt), "about": " ".join(prompt.split()[:8])})
 
 
-def complete(prompts: DataFrame, completer: Completer = offline) -> DataFrame:
-    """key, answer of prompts (key, prompt); a completer that fails gives null. Partitions set how many run at once."""
+SYSTEM = "You document source code. Keep to what the given material shows."
+
+
+@dataclass(frozen=True)
+class Client:
+    """A completer that posts to a chat endpoint. model is named as the provider knows it (sources.project.endpoint).
+
+    ask() also gives the usage that the provider counts. Errors are raised with the status and without the key.
+    """
+
+    address: str
+    model: str
+    api_key: str = ""
+    temperature: float = 0.3
+    max_tokens: int = 4096
+    timeout: float = 120.0
+    system: str = SYSTEM
+
+    def messages(self, prompt: str) -> list[dict]:
+        return [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}]
+
+    def _post(self, prompt: str, **more):
+        body = {"model": self.model, "messages": self.messages(prompt), "temperature": self.temperature, "max_tokens": self.max_tokens, **more}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
+        try:
+            return urllib.request.urlopen(urllib.request.Request(self.address, json.dumps(body).encode(), headers), timeout=self.timeout)  # noqa: S310
+        except urllib.error.HTTPError as e:
+            raise RuntimeError(f"{e.code}: {e.read().decode(errors='replace')}") from None
+
+    def ask(self, prompt: str) -> tuple[str, dict]:
+        """(text, usage) of one answer."""
+        with self._post(prompt) as answer:
+            told = json.loads(answer.read())
+        said = (told.get("choices") or [{}])[0].get("message") or {}
+        return said.get("content") or "", told.get("usage") or {}
+
+    def __call__(self, prompt: str) -> str:
+        return self.ask(prompt)[0]
+
+    def stream(self, prompt: str) -> Iterator[str]:
+        """The pieces of an answer as they come: lines that begin with "data:" hold JSON, [DONE] ends."""
+        with self._post(prompt, stream=True) as answer:
+            for line in answer:
+                told = line.decode().strip()
+                if not told.startswith("data:"):
+                    continue
+                if (body := told[5:].strip()) == "[DONE]":
+                    return
+                try:
+                    piece = json.loads(body)["choices"][0]["delta"].get("content")
+                except (ValueError, LookupError):
+                    continue
+                if piece:
+                    yield piece
+
+
+def of_config(config) -> Completer:
+    """The completer that a project's configuration names: offline, or a client of its provider."""
+    if config.model == "offline":
+        return offline
+    from siltworks.sources.project import endpoint
+
+    address, model = endpoint(config.model, config.api_key, config.api_base)
+    return Client(address, model, config.api_key)
+
+
+def complete(prompts: DataFrame, completer: Completer = offline, at_once: int | None = None) -> DataFrame:
+    """key, answer of prompts (key, prompt); a completer that fails gives null. at_once: how many run at once at most, as
+    partitions; without it the partitions at hand."""
+    prompts = prompts.repartition(at_once) if at_once else prompts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(prompt: str | None) -> str | None:

@@ -82,82 +82,86 @@ def symbol_page(symbols: DataFrame) -> DataFrame:
     return kinds.agg(F.concat(F.lit("# Symbols\n"), F.sum("n").cast("string"), F.lit(" symbols\n"), pick(F.collect_list(F.struct("kind", "t")))).alias("content"))
 
 
-def overview_page(report: DataFrame, histogram: DataFrame, name: str) -> DataFrame:
-    """One row (page_id index): name, languages, and how much of the tree was kept."""
-    langs = histogram.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n_files")).alias("o"), "language", "n_files"))), lambda x: F.concat(F.lit("- "), x["language"], F.lit(": "), x["n_files"])), "\n").alias("langs"))
-    note = F.when(F.col("kept") < F.col("candidates"), F.concat(F.lit("\nOnly "), "kept", F.lit(" of "), "candidates", F.lit(" files are covered."))).otherwise("")
-    return report.crossJoin(langs).select(F.lit("index").alias("page_id"), F.concat(F.lit(f"# {name}\n"), "langs", note).alias("content"))
+#: Lines that are lists, by what opens them; and headings and quotes, by the tag that holds their text.
+_LISTS = ((re.compile(r"- "), "ul"), (re.compile(r"\d+\. "), "ol"))
+_HEADS = (("# ", "h1"), ("## ", "h2"), ("### ", "h3"), ("> ", "blockquote"))
+_LINK = re.compile(r"\[(.+?)\]\((.+?)\)")
 
 
-def module_pages(rollup: DataFrame, exports: DataFrame) -> DataFrame:
-    """page_id modules/<name>, content: counts and up to five exported names of each module (exports: module, path, ord, name)."""
-    first = exports.groupBy("module").agg(F.slice(F.array_sort(F.collect_list(F.struct("path", "ord", "name"))), 1, 5).alias("s"))
-    names = F.array_join(F.transform("s", lambda x: F.concat(F.lit("- `"), x["name"], F.lit("`"))), "\n")
-    text = F.concat(F.lit("# "), "module", F.lit("\n"), F.col("files").cast("string"), F.lit(" files, "), F.col("symbols").cast("string"), F.lit(" symbols\n"), F.coalesce(names, F.lit("")))
-    return rollup.join(first, "module", "left").select(F.concat(F.lit("modules/"), "module").alias("page_id"), text.alias("content"))
+def _escaped(text: str) -> str:
+    return html.escape(text, quote=True).replace("&#x27;", "'")
 
 
-def markdown_to_html(text: str) -> str:
-    """A subset: fences, lists, headings to level 3, quotes, bold, code, links."""
+def page_of_link(page_id: str, target: str) -> str:
+    """The page id that a relative link to a .md file on a page means."""
+    parts: list[str] = []
+    for part in [*page_id.split("/")[:-1], *target.removesuffix(".md").split("/")]:
+        if part == "..":
+            parts = parts[:-1]
+        elif part not in ("", "."):
+            parts.append(part)
+    return "/".join(parts)
 
-    def inline(s: str) -> str:
-        s = html.escape(s, quote=True).replace("&#x27;", "'")
-        for pattern, new in ((r"`([^`]+)`", r"<code>\1</code>"), (r"\*\*([^*]+)\*\*", r"<strong>\1</strong>"), (r"\[([^\]]*)\]\(([^)]+)\)", r'<a href="\2">\1</a>')):
-            s = re.sub(pattern, new, s)
-        return s
 
-    out: list[str] = []
-    block = None
+def inline_html(text: str, page_id: str = "", pages: frozenset = frozenset()) -> str:
+    """Bold, code and links; a link to one of pages shows it (showPage)."""
+
+    def link(m: re.Match) -> str:
+        if m[2].endswith(".md") and (page := page_of_link(page_id, m[2])) in pages:
+            return f"""<a href="#" onclick="showPage('{page}')">{m[1]}</a>"""
+        return f'<a href="{m[2]}">{m[1]}</a>'
+
+    text = re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", _escaped(text))
+    return _LINK.sub(link, re.sub(r"`(.+?)`", r"<code>\1</code>", text))
+
+
+def _fence(language: str, rows: list[str]) -> str:
+    body = _escaped("\n".join(rows))
+    return f'<div class="mermaid">{body}</div>' if language == "mermaid" else f'<pre><code class="language-{language}">{body}</code></pre>'
+
 
-    def switch(to: str | None) -> None:
-        nonlocal block
-        if block != to:
-            out.extend([f"</{block}>"] if block else [])
-            out.extend([f"<{to}>"] if to else [])
-            block = to
+def markdown_to_html(text: str, page_id: str = "", pages: frozenset = frozenset()) -> str:
+    """A subset: fences with their language, diagrams, lists, headings to level 3, quotes, blank lines, inline_html().
 
-    fenced = False
+    A fence without an end holds the rest of the text.
+    """
+    out: list[str] = []
+    fence: tuple[str, list[str]] | None = None
+    listed = ""
     for line in text.split("\n"):
+        if fence is not None and not line.startswith("```"):
+            fence[1].append(line)
+            continue
+        tag, rest = next(((t, line[m.end() :]) for p, t in _LISTS if fence is None and (m := p.match(line))), ("", line))
+        if tag != listed and fence is None:
+            out += [f"</{listed}>"] * bool(listed) + [f"<{tag}>"] * bool(tag)
+            listed = tag
         if line.startswith("```"):
-            switch(None)
-            out.append("</code></pre>" if fenced else "<pre><code>")
-            fenced = not fenced
-        elif fenced:
-            out.append(html.escape(line, quote=True).replace("&#x27;", "'"))
-        elif m := re.match(r"(#{1,3}) (.*)", line):
-            switch(None)
-            out.append(f"<h{len(m[1])}>{inline(m[2])}</h{len(m[1])}>")
-        elif m := re.match(r"[-*] (.*)", line):
-            switch("ul")
-            out.append(f"<li>{inline(m[1])}</li>")
-        elif m := re.match(r"\d+\. (.*)", line):
-            switch("ol")
-            out.append(f"<li>{inline(m[1])}</li>")
-        elif line.startswith("> "):
-            switch("blockquote")
-            out.append(f"<p>{inline(line[2:])}</p>")
+            if fence is not None:
+                out.append(_fence(*fence))
+            fence = (line[3:].strip() or "text", []) if fence is None else None
+        elif tag:
+            out.append(f"<li>{inline_html(rest, page_id, pages)}</li>")
+        elif head := next((h for h in _HEADS if line.startswith(h[0])), None):
+            out.append(f"<{head[1]}>{inline_html(line[len(head[0]) :], page_id, pages)}</{head[1]}>")
         else:
-            switch(None)
-            out += [f"<p>{inline(line)}</p>"] if line.strip() else []
-    switch(None)
-    return "\n".join(out + ["</code></pre>"] * fenced)
+            out.append(f"<p>{inline_html(line, page_id, pages)}</p>" if line.strip() else "<br>")
+    if fence is not None:
+        out.append(_fence(*fence))
+    return "\n".join(out + [f"</{listed}>"] * bool(listed))
 
 
-def rendered(pages: DataFrame) -> DataFrame:
-    """page_id, html of pages (page_id, content)."""
+def rendered(pages: DataFrame, known: frozenset = frozenset()) -> DataFrame:
+    """page_id, html of pages (page_id, content); known: ids that links may show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([markdown_to_html(c or "") for c in batch.column("content").to_pylist()], pa.string())], names=["page_id", "html"])
+            ids = batch.column("page_id").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([markdown_to_html(c or "", i or "", known) for i, c in zip(ids, batch.column("content").to_pylist(), strict=True)], pa.string())], names=["page_id", "html"])
 
     return pages.select("page_id", "content").mapInArrow(run, "page_id string, html string")
 
 
-def as_json(pages: DataFrame, name: str) -> DataFrame:
-    """One row, json: {project_name, pages} with pages by id."""
-    return pages.agg(F.to_json(F.struct(F.lit(name).alias("project_name"), F.array_sort(F.collect_list(F.struct("page_id", "content"))).alias("pages"))).alias("json"))
-
-
 def export_json(pages: DataFrame, sidebar: str, name: str, path: str) -> bool:
     """pages (page_id, title, content) and the sidebar's text as one JSON file; left alone if nothing changed. True if it was written."""
     entries = [{"id": r.page_id, "title": r.title, "content": r.content} for r in pages.orderBy("page_id").toLocalIterator()]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions.columns import GRAPH_ROOTS, diagram_id, module_name
@@ -17,13 +21,27 @@ LOCAL_EDGES = 2_000_000
 DAMPING, TOLERANCE, MOST_ROUNDS = 0.85, 1e-6, 100
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back; cached on one machine without that setting."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under spark.checkpoint.dir. Without that setting a temporary one on a single machine; a cluster needs it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        return df.cache()
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_folder()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="siltworks-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to a folder under spark.checkpoint.dir and read back: lost executors cost a task, and lineage stays short."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -106,22 +124,20 @@ def _pagerank_cluster(nodes: DataFrame, flow: DataFrame) -> DataFrame:
     return rank
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame, method: str = "auto") -> DataFrame:
     """node, component (least member), size of every node that lies on a cycle of several nodes.
 
-    Nodes without a way in or out are trimmed on the cluster first. What remains is gathered by weak component; within
-    one, strong components come from a depth-first walk, so a weak component must fit a task (checked).
+    auto: up to LOCAL_EDGES distinct edges (counted) one task walks the graph depth first. Larger graphs are first
+    trimmed on the cluster of nodes without a way in or out; if too much is left, components are found there as well.
     """
     left = written(edges.where("src <> dst").select("src", "dst").distinct())
     size = left.count()
-    for _ in range(MOST_ROUNDS):
-        left = written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        now = left.count()
-        if now == size:
-            break
-        size = now
-    if size > LOCAL_EDGES:
-        raise ValueError(f"{size} edges are left after trimming; at most {LOCAL_EDGES} are searched for cycles")
+    if method == "auto":
+        if size > LOCAL_EDGES:
+            left, size = _trimmed(left, size)
+        method = "local" if size <= LOCAL_EDGES else "cluster"
+    if method == "cluster":
+        return _cycles_cluster(left)
     kind = edges.schema["src"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +154,50 @@ def cycles(edges: DataFrame) -> DataFrame:
     return left.select("src", "dst").repartition(1).mapInArrow(run, f"node {kind}, component {kind}, size long")
 
 
+def _trimmed(edges: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Edges between nodes that have a way in and a way out, and how many there are. Ends when a round removes under a hundredth."""
+    for _ in range(MOST_ROUNDS):
+        edges = written(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        before, size = size, edges.count()
+        if size > 0.99 * before:
+            break
+    return edges, size
+
+
+def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, label: the least label of start (node, label) that reaches a node along edges (src, dst) to a fixed point."""
+    now, state = start, None
+    while True:
+        step = now.join(edges.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), "label")
+        now = written(now.unionByName(step).groupBy("node").agg(F.min("label").alias("label")))
+        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first())
+        if new == state:
+            return now
+        state = new
+
+
+def _cycles_cluster(edges: DataFrame) -> DataFrame:
+    """cycles() by colouring: the least node that reaches a node colours it; within a colour, what reaches that node back is
+    its strong component. Found components leave the graph, and edges between colours with them."""
+    kind = edges.schema["src"].dataType.simpleString()
+    found = edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+    while True:
+        edges, size = _trimmed(edges, edges.count())
+        if not size:
+            break
+        nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+        colour = _spread(written(nodes.select("node", F.col("node").alias("label"))), edges)
+        inside = edges.join(colour.select(F.col("node").alias("src"), "label"), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("other")), "dst").where("label = other")
+        back = written(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        roots = colour.where("node = label")
+        mine = _spread(written(roots), back)
+        found = written(found.unionByName(mine.select("node", F.col("label").alias("component"))))
+        rest = inside.join(mine.select(F.col("node").alias("src")), "src", "left_anti").join(mine.select(F.col("node").alias("dst")), "dst", "left_anti")
+        edges = written(rest.select("src", "dst"))
+    size = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    return found.join(size, "component").select("node", "component", "size")
+
+
 def strong_components(after: dict) -> list[list]:
     """Two depth-first walks: finishing order, then the reversed edges in that order."""
     done, order = set(), []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,32 +77,37 @@ def inverse_frequencies(tf: DataFrame, n_chunks: int) -> DataFrame:
     return tf.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(float(n_chunks)) / (F.col("df") + 1)))
 
 
+TABLES = ("chunks", "tf", "idf", "norms")
+#: Tokens of all questions up to which they are sent to every task; told by a count.
+FEW_TOKENS = 100_000
+
+
 class Index:
     """Term counts, inverse frequencies and norms of chunks; tables may be saved and loaded as Parquet."""
 
-    def __init__(self, chunk_rows: DataFrame, tf: DataFrame, idf: DataFrame):
-        self.chunks, self.tf, self.idf = chunk_rows, tf, idf
-        weight = F.col("tf") * F.col("idf")
-        self.weights = tf.join(idf.select("token", "idf"), "token").select("path", "chunk", "token", weight.alias("w"))
-        self.norms = self.weights.groupBy("path", "chunk").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    def __init__(self, chunk_rows: DataFrame, tf: DataFrame, idf: DataFrame, norms: DataFrame):
+        self.chunks, self.tf, self.idf, self.norms = chunk_rows, tf, idf, norms
 
     @classmethod
     def build(cls, files: DataFrame) -> Index:
         rows = chunks(files)
         tf = written(term_counts(rows, ["path", "chunk"]))
-        return cls(rows, tf, inverse_frequencies(tf, rows.count()))
+        idf = written(inverse_frequencies(tf, rows.count()))
+        weight = F.col("tf") * F.col("idf")
+        weights = tf.join(idf.select("token", "idf"), "token").select("path", "chunk", weight.alias("w"))
+        return cls(rows, tf, idf, written(weights.groupBy("path", "chunk").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))))
 
     def save(self, folder: str) -> None:
-        for name in ("chunks", "tf", "idf"):
+        for name in TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
     @classmethod
     def load(cls, spark, folder: str) -> Index:
         """Refuses tables that don't belong together: term counts of chunks that aren't there."""
-        rows, tf, idf = (spark.read.parquet(f"{folder}/{n}") for n in ("chunks", "tf", "idf"))
-        if not tf.join(rows, ["path", "chunk"], "left_anti").isEmpty():
+        held = {n: spark.read.parquet(f"{folder}/{n}") for n in TABLES}
+        if not held["tf"].join(held["chunks"], ["path", "chunk"], "left_anti").isEmpty():
             raise ValueError("term counts without their chunk")
-        return cls(rows, tf, idf)
+        return cls(*(held[n] for n in TABLES))
 
 
 def retrieve(index: Index, questions: DataFrame, k: int = 5) -> DataFrame:
@@ -109,9 +115,12 @@ def retrieve(index: Index, questions: DataFrame, k: int = 5) -> DataFrame:
 
     Only chunks that share a token with a question meet it. Ties go by path and chunk.
     """
-    asked = term_counts(questions, ["question"]).join(index.idf.select("token", "idf"), "token").select("question", "token", "idf", (F.col("tf") * F.col("idf")).alias("q"))
+    wanted = written(term_counts(questions, ["question"]))
+    few = F.broadcast if wanted.count() <= FEW_TOKENS else (lambda df: df)
+    # Tokens that most chunks hold weigh nothing; they leave here, before anything is met.
+    asked = written(few(wanted).join(index.idf.select("token", "idf"), "token").where("idf <> 0").select("question", "token", "idf", (F.col("tf") * F.col("idf")).alias("q")))
     size = asked.groupBy("question").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    met = index.tf.join(asked, "token")
+    met = index.tf.join(few(asked), "token")
     dots = met.groupBy("question", "path", "chunk").agg(F.sum(F.col("q") * F.col("tf") * F.col("idf")).alias("dot"))
     scored = dots.join(index.norms, ["path", "chunk"]).join(size, "question").where("norm > 0 and q_norm > 0")
     scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 9))
@@ -130,10 +139,20 @@ def context(found: DataFrame, chunk_rows: DataFrame, questions: DataFrame) -> Da
 
 
 def fingerprint(files: DataFrame, root: str) -> DataFrame:
-    """One row: a digest of root and of every file's path, size and content digest, by path. 24 hex digits."""
-    one = F.concat(F.encode("path", "UTF-8"), F.encode(F.col("size").cast("string"), "UTF-8"), F.unhex(F.sha2("content", 256)))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", F.hex(one).alias("h")))), lambda x: x["h"])
-    return files.agg(F.substring(F.sha2(F.concat(F.encode(F.lit(root), "UTF-8"), F.unhex(F.array_join(parts, ""))), 256), 1, 24).alias("fingerprint"))
+    """One row: a digest of root and of every file's path, size and content digest, by path. 24 hex digits.
+
+    Files are sorted over the cluster; one task then reads their lines in order and keeps a running digest only.
+    """
+    line = F.concat(F.encode("path", "UTF-8"), F.encode(F.col("size").cast("string"), "UTF-8"), F.unhex(F.sha2("content", 256)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.sha256(root.encode())
+        for batch in batches:
+            for part in batch.column("line"):
+                digest.update(part.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()[:24]])], names=["fingerprint"])
+
+    return files.select("path", line.alias("line")).orderBy("path").select("line").coalesce(1).mapInArrow(run, "fingerprint string")
 
 
 def load_or_build(files: DataFrame, root: str, folder: str) -> Index:

@@ -34,13 +34,16 @@ ENTRYPOINT_NAMES = (
     "App.vue", "App.svelte", "manage.py", "wsgi.py", "asgi.py",
 )
 ENTRYPOINT_DIRS = ("cmd", "bin", "scripts", "entrypoints")
+# The language of each ending.
 LANGUAGES = {
-    "python": ".py .pyi", "javascript": ".js .mjs .cjs", "typescript": ".ts .mts", "jsx": ".jsx", "tsx": ".tsx", "html": ".html .htm", "css": ".css", "scss": ".scss", "less": ".less",
-    "json": ".json .jsonc", "yaml": ".yaml .yml", "toml": ".toml", "markdown": ".md .mdx", "text": ".txt .env", "rst": ".rst", "shell": ".sh .bash .zsh", "go": ".go", "rust": ".rs",
-    "java": ".java", "kotlin": ".kt .kts", "scala": ".scala", "c": ".c .h", "cpp": ".cpp .hpp .cc .cxx", "csharp": ".cs", "ruby": ".rb", "php": ".php", "r": ".r", "sql": ".sql",
-    "swift": ".swift", "lua": ".lua", "dart": ".dart", "vue": ".vue", "svelte": ".svelte", "zig": ".zig", "nim": ".nim", "elixir": ".ex .exs", "erlang": ".erl", "haskell": ".hs",
-    "ocaml": ".ml", "clojure": ".clj", "protobuf": ".proto", "graphql": ".graphql .gql", "terraform": ".tf", "hcl": ".hcl", "prisma": ".prisma", "astro": ".astro", "ini": ".cfg .ini",
-    "cmake": ".cmake", "gradle": ".gradle", "dockerfile": ".dockerfile",
+    ".py": "python", ".pyi": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".jsx": "jsx",
+    ".tsx": "tsx", ".html": "html", ".htm": "html", ".css": "css", ".scss": "scss", ".less": "less", ".json": "json", ".jsonc": "json", ".yaml": "yaml", ".yml": "yaml",
+    ".toml": "toml", ".md": "markdown", ".mdx": "markdown", ".txt": "text", ".env": "text", ".rst": "rst", ".sh": "shell", ".bash": "shell", ".zsh": "shell", ".go": "go",
+    ".rs": "rust", ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".cxx": "cpp",
+    ".cs": "csharp", ".rb": "ruby", ".php": "php", ".r": "r", ".sql": "sql", ".swift": "swift", ".lua": "lua", ".dart": "dart", ".vue": "vue", ".svelte": "svelte",
+    ".zig": "zig", ".nim": "nim", ".ex": "elixir", ".exs": "elixir", ".erl": "erlang", ".hs": "haskell", ".ml": "ocaml", ".clj": "clojure", ".proto": "protobuf",
+    ".graphql": "graphql", ".gql": "graphql", ".tf": "terraform", ".hcl": "hcl", ".prisma": "prisma", ".astro": "astro", ".cfg": "ini", ".ini": "ini", ".cmake": "cmake",
+    ".gradle": "gradle", ".dockerfile": "dockerfile",
 }
 
 MAX_FILE_SIZE, MAX_FILES = 200 * 1024, 1000
@@ -48,7 +51,7 @@ MAX_FILE_SIZE, MAX_FILES = 200 * 1024, 1000
 
 def language(path: Column) -> Column:
     name = F.lower(file_name(path))
-    known = F.create_map(*(F.lit(x) for lang, exts in LANGUAGES.items() for e in exts.split() for x in (e, lang)))
+    known = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
     ext = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
     return F.when((name == "dockerfile") | name.startswith("dockerfile."), "dockerfile").when(name == "makefile", "makefile").otherwise(F.coalesce(F.try_element_at(known, ext), F.lit("unknown")))
 
@@ -76,7 +79,7 @@ def parse_ignore(text: str, dirs: bool = False) -> list[tuple[str, bool]]:
     for line in (x.strip() for x in text.splitlines()):
         if not line or line.startswith("#"):
             continue
-        negated, body = line.startswith("!"), line.removeprefix("!")
+        negated, body = line.startswith("!"), line.removeprefix("!").strip().replace("\\", "/")
         if body.endswith("/"):
             if not dirs:
                 continue
@@ -171,5 +174,17 @@ def tree_rows(files: DataFrame) -> DataFrame:
     return files.select(F.explode(F.array_append(above, F.col("path"))).alias("entry")).distinct()
 
 
+def tree_text(files: DataFrame, most: int = 200) -> DataFrame:
+    """One row, text: the entries of tree_rows() in order, indented by depth; after `most` of them, how many more there are."""
+    rows = tree_rows(files)
+    bare = F.regexp_replace("entry", "/$", "")
+    depth = F.size(F.split(bare, "/")) - 1
+    line = F.concat(F.repeat(F.lit("  "), depth), file_name(bare), F.when(F.col("entry").endswith("/"), "/").otherwise(""))
+    top = rows.orderBy("entry").limit(most).agg(F.array_sort(F.collect_list(F.struct("entry", line.alias("t")))).alias("rows"))
+    more = rows.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
+    rest = F.when(F.col("more") > 0, F.concat(F.lit("\n  ... and "), F.col("more").cast("string"), F.lit(" more entries"))).otherwise("")
+    return top.crossJoin(more).select(F.concat(F.array_join(F.transform("rows", lambda x: x["t"]), "\n"), rest).alias("text"))  # one row each
+
+
 def language_histogram(files: DataFrame, top: int = 10) -> DataFrame:
     return files.groupBy("language").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes")).orderBy(F.desc("n_files"), "language").limit(top)

@@ -19,8 +19,12 @@ from siltworks.functions.columns import INDEX_ROOTS, count_of, module_name
 SCHEMA = "path string, ord long, name string, kind string, line long, end_line long, visibility string, params array<struct<name:string,type_hint:string>>, return_type string, doc_comment string, decorators array<string>, calls array<string>, fields array<string>"
 
 # Words that a call pattern finds but that call nothing.
-NOT_CALLS = frozenset("if for while def class return import from with as try except raise yield print async await lambda not and or in is else elif pass break continue".split())
-NOT_METHODS = frozenset("if for while switch catch return new function else try throw typeof await".split())
+NOT_CALLS = (
+    "if", "for", "while", "def", "class", "return", "import", "from", "with", "as", "try", "except", "raise", "yield", "print", "async", "await", "lambda", "not", "and", "or", "in", "is", "else", "elif", "pass", "break", "continue",
+)
+NOT_METHODS = (
+    "if", "for", "while", "switch", "catch", "return", "new", "function", "else", "try", "throw", "typeof", "await",
+)
 
 
 @dataclass(frozen=True)
@@ -323,9 +327,16 @@ def metrics(files: DataFrame) -> DataFrame:
     return out.select("path", "language", (F.col("_n") - F.col("comment_lines")).alias("code_lines"), "comment_lines", "blank_lines", "complexity")
 
 
-def symbol_index(symbols: DataFrame) -> DataFrame:
-    """name and the paths of its occurrences, in order of path and place, one for each."""
-    ordered = F.array_sort(F.collect_list(F.struct("path", "ord")))
+def symbol_index(symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """name and the paths of its occurrences, one for each, in the order of files (path, is_config, is_entrypoint) and place.
+
+    Files come as scan.in_order() has them: configs, entry points, others, each by path. Without files, all are others.
+    """
+    rank = F.lit(2)
+    if files is not None:
+        symbols = symbols.join(files.select("path", "is_config", "is_entrypoint"), "path")
+        rank = F.when(F.col("is_config"), 0).when(F.col("is_entrypoint"), 1).otherwise(2)
+    ordered = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "path", "ord")))
     return symbols.groupBy("name").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"), F.count("*").alias("n"))
 
 

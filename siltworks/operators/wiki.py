@@ -6,7 +6,9 @@ asked for again. Answers that don't parse leave defaults, so assembly never depe
 
 from __future__ import annotations
 
+import html
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -49,14 +51,14 @@ def module_hash(files: DataFrame) -> DataFrame:
 
 
 # ---- passes ---------------------------------------------------------------------------------------------------------
-def run_pass(prompts: DataFrame, known: DataFrame | None = None, completer: completion.Completer = completion.offline) -> tuple[DataFrame, DataFrame]:
+def run_pass(prompts: DataFrame, known: DataFrame | None = None, completer: completion.Completer = completion.offline, at_once: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(key, json of every prompt; rows to put into the cache). prompts: key, prompt; known: key, value of fresh cache rows.
 
     The cache key is the prompt's key and its content, so changed inputs ask again. Failures are not cached.
     """
     keyed = prompts.withColumn("key", F.concat("key", F.lit(":"), content_hash(F.col("prompt"))))
     hits, misses = cache.probe(keyed, known) if known is not None else (None, keyed)
-    new = graph.written(completion.with_json(completion.complete(misses, completer)).select("key", F.col("json").alias("value")))
+    new = graph.written(completion.with_json(completion.complete(misses, completer, at_once)).select("key", F.col("json").alias("value")))
     every = new if hits is None else new.unionByName(hits.select("key", "value"))
     bare = F.regexp_replace("key", ":[0-9a-f]{24}$", "")
     return every.select(bare.alias("key"), F.col("value").alias("json")), new.where("value is not null").withColumn("created_at", F.unix_micros(F.current_timestamp()) / 1e6)
@@ -70,24 +72,6 @@ def module_docs(answers: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 # ---- pages ----------------------------------------------------------------------------------------------------------
-def architecture_page(kind: str, components: list[tuple[str, str]], modules: DataFrame) -> DataFrame:
-    """page_id, content; components are (name, purpose), linked if a module bears the name. No kind, no page."""
-    spark = modules.sparkSession
-    rows = spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(components)], "ord long, name string, purpose string")
-    known = rows.join(modules.select(F.col("module").alias("name"), F.lit(True).alias("known")), "name", "left")
-    label = F.when(F.col("known"), F.concat(F.lit("["), "name", F.lit("](modules/"), "name", F.lit(".md)"))).otherwise(F.col("name"))
-    text = known.agg(ordered(F.collect_list(F.struct("ord", F.concat(F.lit("- "), label, F.lit(": "), "purpose").alias("t")))).alias("t"))
-    return text.where(F.lit(bool(kind))).select(F.lit("architecture").alias("page_id"), F.concat(F.lit(f"# Architecture\n{kind}\n"), "t").alias("content"))
-
-
-def reading_guide_page(ranked: DataFrame) -> DataFrame:
-    """page_id, content: the best files (rank, path, is_entrypoint, is_config) in reading order; no page without files."""
-    tag = F.when(F.col("is_entrypoint"), " (entry point)").when(F.col("is_config"), " (configuration)").otherwise("")
-    line = F.concat(F.col("rank").cast("string"), F.lit(". `"), "path", F.lit("`"), tag)
-    text = ranked.where(F.col("rank") <= GUIDE_FILES).agg(ordered(F.collect_list(F.struct("rank", line.alias("t")))).alias("t"))
-    return text.where("t <> ''").select(F.lit("reading-guide").alias("page_id"), F.concat(F.lit("# Reading guide\n"), "t").alias("content"))
-
-
 def dependency_page(ranked: DataFrame, degree: DataFrame, cycles: DataFrame, diagram: DataFrame) -> DataFrame:
     """One row (page_id, content): best files (rank, path), entry points, cycles, isolated files, module diagram.
 
@@ -117,9 +101,13 @@ def dependency_page(ranked: DataFrame, degree: DataFrame, cycles: DataFrame, dia
 PAGE_ORDER = {"index": 0, "architecture": 1, "reading-guide": 10, "dependencies": 11, "symbols": 12}
 
 
+def _place() -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in PAGE_ORDER.items() for x in kv)), F.col("page_id")), F.lit(2))
+
+
 def sidebar(pages: DataFrame) -> DataFrame:
     """One row, text: links to the pages (page_id, title) in their order, module pages indented under one heading."""
-    place = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in PAGE_ORDER.items() for x in kv)), F.col("page_id")), F.lit(2))
+    place = _place()
     inside = F.col("page_id").startswith("modules/")
     line = F.concat(F.when(inside, "  ").otherwise(""), F.lit("- ["), "title", F.lit("]("), "page_id", F.lit(".md)"))
     rows = pages.select(place.alias("place"), "page_id", line.alias("t"))
@@ -127,10 +115,28 @@ def sidebar(pages: DataFrame) -> DataFrame:
     return rows.unionByName(head).agg(ordered(F.collect_list(F.struct("place", "page_id", "t"))).alias("text"))
 
 
-def html_site(pages: DataFrame, name: str, path: str) -> bool:
-    """All rendered pages as one HTML file; left alone if nothing changed. True if it was written."""
-    body = "\n".join(f'<section id="{r.page_id}">\n{r.html}\n</section>' for r in docs.rendered(pages).orderBy("page_id").toLocalIterator())
-    text = f'<!doctype html>\n<html><head><meta charset="utf-8"><title>{name}</title></head><body>\n{body}\n</body></html>\n'
+_DRAW = '<script src="https://cdn.jsdelivr.net/npm/mermaid@11/dist/mermaid.min.js"></script>'
+_SHOW = """<script>
+function showPage(id) { document.querySelectorAll("section").forEach(s => s.hidden = s.id !== "page-" + id); if (window.mermaid) mermaid.run({ querySelector: "section:not([hidden]) .mermaid" }); }
+if (window.mermaid) mermaid.initialize({ startOnLoad: false });
+showPage(document.querySelector("section").id.slice(5));
+</script>"""
+
+
+def html_site(pages: DataFrame, name: str, path: str, side: str = "") -> bool:
+    """All rendered pages as one HTML file, one shown at a time, with the sidebar (text of sidebar()) as navigation.
+
+    A project's pages are few; they come to the driver one by one. Left alone if nothing changed. True if it was written.
+    """
+    known = frozenset(r.page_id for r in pages.select("page_id").toLocalIterator())
+    found = docs.rendered(pages, known).withColumn("place", _place()).orderBy("place", "page_id")
+    body = "\n".join(f'<section id="page-{r.page_id}" hidden>\n{r.html}\n</section>' for r in found.toLocalIterator())
+    nav = docs.markdown_to_html(re.sub(r"(?m)^ +", "", side), "", known)
+    head = f'<meta charset="utf-8"><title>{html.escape(name)}</title>{_DRAW}'
+    return _replaced(path, f"<!doctype html>\n<html><head>{head}</head><body>\n<nav>\n{nav}\n</nav>\n{body}\n{_SHOW if known else ''}\n</body></html>\n")
+
+
+def _replaced(path: str, text: str) -> bool:
     target = Path(path)
     if target.exists() and target.read_text() == text:
         return False
@@ -140,11 +146,13 @@ def html_site(pages: DataFrame, name: str, path: str) -> bool:
 
 
 def site_loader(folder: str, name: str) -> None:
-    """The two files that let a static host show the Markdown pages."""
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=True)
-    (root / "index.html").write_text(f'<!doctype html>\n<html><head><meta charset="utf-8"><title>{name}</title></head><body><pre id="page"></pre><script>fetch((location.hash.slice(1) || "index") + ".md").then(r => r.text()).then(t => document.getElementById("page").textContent = t)</script></body></html>\n')
-    (root / ".nojekyll").write_text("")
+    """The two files that let a static host show the Markdown pages, with sidebar and diagrams."""
+    base = "https://cdn.jsdelivr.net/npm/"
+    settings = json.dumps({"name": name, "homepage": "README.md", "loadSidebar": "_sidebar.md", "subMaxLevel": 2})
+    loads = "".join(f'<script src="{base}{x}"></script>\n' for x in ("docsify@4", "mermaid@11/dist/mermaid.min.js", "docsify-mermaid@2/dist/docsify-mermaid.js"))
+    text = f'<!doctype html>\n<html><head><meta charset="utf-8"><title>{html.escape(name)}</title><link rel="stylesheet" href="{base}docsify@4/lib/themes/vue.css"></head>\n<body><div id="app"></div>\n<script>window.$docsify = {settings}</script>\n{loads}<script>mermaid.initialize({{ startOnLoad: false }})</script></body></html>\n'
+    _replaced(f"{folder}/index.html", text)
+    _replaced(f"{folder}/.nojekyll", "")
 
 
 def stream_text(answers: DataFrame) -> DataFrame:
@@ -159,8 +167,3 @@ def usage_totals(answers: DataFrame) -> DataFrame:
     n = lambda k: F.coalesce(F.sum(F.get_json_object("body", f"$.usage.{k}").cast("long")), F.lit(0)).alias(k)
     return answers.agg(n("prompt_tokens"), n("completion_tokens"))
 
-
-def state_json(pages: DataFrame) -> str:
-    """The state file of a small project's pages (page_id, inputs), canonical order."""
-    return json.dumps({"version": 1, "pages": dict(sorted((r.page_id, r.inputs) for r in pages.toLocalIterator()))})
-

@@ -452,14 +452,9 @@ def render_html(spark, d):
 
 @query
 def stream_incremental(spark, d):
-    import tempfile
-
     from siltworks.streaming.reindex import run_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="silt-stream-")
-    import uuid
-
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = graph.shared_folder(spark, "stream")
     table = V.table(spark, d, "documents")
     run_available(spark, f"{d}/documents*.parquet", f"{root}/out", f"{root}/state", table.schema)
     return spark.read.parquet(f"{root}/out")

@@ -1,12 +1,9 @@
 """DuckDB SQL of the corpus engine's queries, written from the data's definition rather than from the Spark code."""
 
-from siltworks.operators.scan import LANGUAGES
-
 _EXT = "['.py', '.rs', '.ts', '.go', '.java', '.md', '.txt'][doc_id % 7 + 1]"
 _FILES = f"files AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || {_EXT} AS path, octet_length(encode(text))::BIGINT AS size, text AS content FROM documents)"
 _LANG = "CASE doc_id % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN 'typescript' WHEN 3 THEN 'go' WHEN 4 THEN 'java' WHEN 5 THEN 'markdown' ELSE 'text' END"
 _LINES = r"CASE WHEN content = '' THEN [] ELSE string_split_regex(regexp_replace(content, '\r?\n\z', ''), '\r?\n') END"
-assert LANGUAGES["python"].startswith(".py")
 _IGNORED = r"CASE WHEN regexp_matches(path, '(^|/)doc_.\.md(/|$)') OR path LIKE '%.txt' THEN TRUE WHEN path LIKE 'src1/en/%' THEN FALSE ELSE path LIKE 'src1/%' END"
 _MINI = f"(list_max(list_transform({_LINES}, lambda x: octet_length(encode(x)))) >= 1000 AND (len(list_filter({_LINES}, lambda x: trim(x, E' \\t\\r\\n') <> '')) <= 5 OR list_max(list_transform({_LINES}, lambda x: octet_length(encode(x)))) > octet_length(encode(content)) // 2))"
 _SCAN = f"""{_FILES},

@@ -31,6 +31,8 @@ class Project:
         config = config or helpers.Config()
         if helpers.is_url(root):
             root = str(helpers.fetch(root, pathlib.Path.home() / ".cache/siltworks"))
+        if not os.path.isdir(root):
+            raise NotADirectoryError(f"no folder at {root}")
         raw = read_tree(spark, root, maxFileSize=config.max_file_size, skipDirs=",".join((*scan.SKIP_DIRS, *exclude)))
         files = raw.withColumn("content", F.try_validate_utf8(F.coalesce(F.col("raw"), F.lit(b"")).cast("string")))
         files = files.withColumn("content", F.coalesce("content", F.lit("")))
@@ -46,6 +48,9 @@ class Project:
     def report(self) -> DataFrame:
         return scan.report(self.scanned)
 
+    def tree_text(self, most: int = 200) -> str:
+        return scan.tree_text(self.files, most).first().text
+
     def tree(self) -> DataFrame:
         return scan.tree_rows(self.files)
 
@@ -135,11 +140,13 @@ class Project:
         if form == "json":
             return docs.export_json(pages, side, self.name, f"{folder}/wiki.json")
         if form == "html":
-            return wiki.html_site(pages, self.name, f"{folder}/index.html")
+            return wiki.html_site(pages, self.name, f"{folder}/index.html", side)
         summary = docs.export_markdown(pages, folder, wiki_links, full)
         overview = pages.where("page_id = 'index'").first().content
         for name, text in (("_sidebar.md", side), ("README.md", docs.readme(overview, side, self.name, wiki_links))):
             (pathlib.Path(folder) / name).write_text(text)
+        if not wiki_links:
+            wiki.site_loader(folder, self.name)
         return summary
 
     def cycles(self) -> DataFrame:
@@ -148,29 +155,34 @@ class Project:
     def index(self) -> retrieval.Index:
         return retrieval.Index.build(self.files)
 
-    def ask(self, questions: list[str], completer: completion.Completer = completion.offline, k: int = 5, history: list[tuple[str, str]] = (), index: retrieval.Index | None = None) -> DataFrame:
+    def ask(self, questions: list[str], completer: completion.Completer = completion.offline, k: int = 5, history: list[tuple[str, str]] = (), index: retrieval.Index | None = None, prompts: list | None = None) -> DataFrame | None:
         """question, context and answer of each question. history: earlier (role, text) turns; the last 12 that count go along.
 
-        An index that was built or loaded before may be given.
+        An index that was built or loaded before may be given. With a list as prompts, it gets the prompts and nothing is asked.
         """
         asked = self.spark.createDataFrame(list(enumerate(questions)), "question long, content string")
         index = index or self.index()
         found = retrieval.context(retrieval.retrieve(index, asked, k), index.chunks, asked)
         turns = self.spark.createDataFrame([(0, n, *turn) for n, turn in enumerate(history)], "conv_id long, turn long, role string, text string")
         said = completion.chat_window(turns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(t["role"], F.lit(": "), t["text"], F.lit("\n"))), "").alias("said"))
-        prompts = found.join(asked, "question").crossJoin(F.broadcast(said))  # said is one row
-        answers = completion.complete(prompts.select(F.col("question").cast("string").alias("key"), F.concat("context", F.lit("\n\n"), "said", F.lit("Question: "), "content").alias("prompt")), completer)
+        whole = found.join(asked, "question").crossJoin(F.broadcast(said))  # said is one row
+        whole = whole.select(F.col("question").cast("string").alias("key"), F.concat("context", F.lit("\n\n"), "said", F.lit("Question: "), "content").alias("prompt"))
+        if prompts is not None:
+            prompts += [r.prompt for r in whole.orderBy(F.col("key").cast("long")).collect()]  # as many as questions
+            return None
+        answers = completion.complete(whole, completer)
         return found.join(answers, found.question.cast("string") == answers.key).select("question", "context", "answer")
 
-    def pages(self) -> DataFrame:
-        """page_id, content: overview, modules and the symbol index, with cross links."""
-        exported = self._symbols.where("visibility = 'public'").withColumn("module", symbols.module_name(F.col("path"), symbols.INDEX_ROOTS))
-        overview = docs.overview_page(self.report(), scan.language_histogram(self.files), self.name)
-        per_module = docs.module_pages(symbols.module_rollup(self.metrics(), self._symbols), exported)
-        index = docs.symbol_page(exported.select("kind", "module", "ord", "name", F.col("doc_comment").alias("description"))).select(F.lit("symbols").alias("page_id"), "content").where("content is not null")
-        page_of = F.concat(F.lit("modules/"), symbols.module_name(F.col("path"), symbols.INDEX_ROOTS))
-        targets = docs.link_targets(self.files.select("path", page_of.alias("page_id")), self._symbols.select("name", page_of.alias("page_id")))
-        return docs.linked(overview.unionByName(per_module).unionByName(index), targets)
+    def pages(self, completer: completion.Completer = completion.offline) -> DataFrame:
+        """page_id, content of every page."""
+        return self.document(completer)[0].select("page_id", "content")
+
+    def references(self, question: str, k: int = 5, index: retrieval.Index | None = None) -> list[dict]:
+        """The passages that an answer rests on, best first: path, line_start, line_end and the first 200 characters."""
+        index = index or self.index()
+        asked = self.spark.createDataFrame([(0, question)], "question long, content string")
+        rows = retrieval.retrieve(index, asked, k).join(index.chunks, ["path", "chunk"]).orderBy("rank")
+        return [r.asDict() for r in rows.select("path", "line_start", "line_end", F.substring("content", 1, 200).alias("snippet")).collect()]  # k rows
 
     def plan(self, old: DataFrame) -> DataFrame:
         """What an export would do, given the page_id, inputs of the last one."""

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CLONE_MB = 500
+# Variables that may hold a token for clones, in order.
+TOKEN_VARIABLES = ("GITHUB_TOKEN", "GH_TOKEN")
 _GIT = re.compile(r"^(?:https?://)?(?:www\.)?(github\.com|gitlab\.com|bitbucket\.org)/([^/\s]+)/([^/\s]+)$")
 
 
@@ -30,7 +32,7 @@ def is_url(target: str) -> bool:
 
 def clone_url(host: str, owner: str, repo: str, token: str | None = None) -> str:
     """With a token for github.com only."""
-    login = f"{token}@" if token and host == "github.com" else ""
+    login = f"x-access-token:{token}@" if token and host == "github.com" else ""
     return f"https://{login}{host}/{owner}/{repo}.git"
 
 
@@ -39,7 +41,11 @@ def dir_size_mb(folder: str | Path) -> int:
 
 
 def fetch(url: str, cache: str | Path, token: str | None = None, force: bool = False) -> Path:
-    """A shallow clone under cache/host/owner/repo; one that is there is used again. Too large ones are removed and refused."""
+    """A shallow clone under cache/host/owner/repo; one that is there is used again. Too large ones are removed and refused.
+
+    Without a token, the environment's (TOKEN_VARIABLES) is used.
+    """
+    token = token or next((os.environ[k] for k in TOKEN_VARIABLES if os.environ.get(k)), None)
     parts = parse_git_url(url)
     if parts is None:
         raise ValueError(f"not a repository address: {url}")

@@ -40,7 +40,7 @@ def test_lines_and_links(spark):
     assert value(spark, C.git_url(F.lit("https://example.org/o/r"))) is None
 
 
-@pytest.mark.parametrize(("rules", "path", "want"), [("*.log", "a/b.log", True), ("*.log\n!keep.log", "keep.log", False), ("build/", "build/x", False), ("a/*", "a/b/c", True), ("/foo", "x/foo", True), ("# c\n\nb?t", "bat/x", True)])
+@pytest.mark.parametrize(("rules", "path", "want"), [("*.log", "a/b.log", True), ("*.log\n!keep.log", "keep.log", False), ("build/", "build/x", False), ("a/*", "a/b/c", True), ("/foo", "x/foo", True), ("# c\n\nb?t", "bat/x", True), ("*.md\n! a.md", "a.md", False), ("a\\b.py", "a/b.py", True)])
 def test_ignore(spark, rules, path, want):
     assert value(spark, scan.ignored(F.lit(path), scan.parse_ignore(rules))) is want
     assert value(spark, scan.ignored(F.lit("build/x"), scan.parse_ignore("build/", dirs=True))) is True
@@ -90,6 +90,9 @@ def test_rank_on_the_cluster_equals_one_task(spark):
     many = {r.node: r.score for r in graph.pagerank(nodes, edges, "cluster").collect()}
     assert one.keys() == many.keys() and abs(sum(one.values()) - 1) < 1e-9 and all(abs(one[k] - many[k]) < 1e-9 for k in one)
     assert {(r.node, r.component, r.size) for r in graph.cycles(edges).collect()} == {(0, 0, 3), (1, 0, 3), (2, 0, 3), (6, 6, 2), (7, 6, 2)}
+    more = edges.union(spark.createDataFrame([(10, 11), (11, 10), (2, 10), (20, 21), (21, 22), (22, 20), (21, 20), (22, 6), (30, 20)], "src long, dst long"))
+    assert {tuple(r) for r in graph.cycles(more, "cluster").collect()} == {tuple(r) for r in graph.cycles(more, "local").collect()} and graph.cycles(more).count() == 10
+    assert graph.cycles(edges.limit(0), "cluster").isEmpty() and graph.cycles(spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long"), "cluster").isEmpty()
 
 
 @pytest.mark.parametrize(("text", "want"), [('{"a": 1}', '{"a": 1}'), ('```json\n[1]\n```', "[1]"), ('x {"a": [1]} y', '{"a": [1]}'), ("none", None), ("{bad [1, 2]", "[1, 2]")])
@@ -105,7 +108,9 @@ def test_pages(spark, tmp_path):
     assert docs.export_markdown(pages, str(tmp_path))["written"] == ["index", "m/f"]
     again = docs.export_markdown(pages.where("page_id = 'index'"), str(tmp_path))
     assert again == {"written": [], "kept": ["index"], "removed": ["m/f"]}
-    assert docs.markdown_to_html("# T\n- a\n> q\n`<b>`") == "<h1>T</h1>\n<ul>\n<li>a</li>\n</ul>\n<blockquote>\n<p>q</p>\n</blockquote>\n<p><code>&lt;b&gt;</code></p>"
+    assert docs.markdown_to_html("# T\n- a\n> q\n`<b>`") == "<h1>T</h1>\n<ul>\n<li>a</li>\n</ul>\n<blockquote>q</blockquote>\n<p><code>&lt;b&gt;</code></p>"
+    fenced = docs.markdown_to_html("```mermaid\ngraph LR\n```\n\n1. x\n```py\na<b\n```\n- [p](../modules/a.md) [q](z.md) **b**\n```\nopen", "modules/b", frozenset({"modules/a"}))
+    assert fenced.split("\n") == ['<div class="mermaid">graph LR</div>', "<br>", "<ol>", "<li>x</li>", "</ol>", '<pre><code class="language-py">a&lt;b</code></pre>', "<ul>", """<li><a href="#" onclick="showPage('modules/a')">p</a> <a href="z.md">q</a> <strong>b</strong></li>""", "</ul>", '<pre><code class="language-text">open</code></pre>']
 
 
 def test_cache(spark):

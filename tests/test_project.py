@@ -33,7 +33,7 @@ def test_project(spark, tmp_path):
 
 def test_helpers(spark, tmp_path):
     assert helpers.parse_git_url("https://gitlab.com/a/b.git/") == ("gitlab.com", "a", "b") and helpers.parse_git_url("x/y") is None
-    assert helpers.clone_url("github.com", "a", "b", "t") == "https://t@github.com/a/b.git" and "t@" not in helpers.clone_url("gitlab.com", "a", "b", "t")
+    assert helpers.clone_url("github.com", "a", "b", "t") == "https://x-access-token:t@github.com/a/b.git" and "t@" not in helpers.clone_url("gitlab.com", "a", "b", "t")
     assert helpers.mask("0123456789abcdef") == "01234567...cdef" and helpers.mask("short") == "***"
     config = helpers.Config(model="m", api_key="k", max_files=7)
     config.save(tmp_path / "c.json")
@@ -47,13 +47,6 @@ def test_helpers(spark, tmp_path):
 def test_wiki(spark, tmp_path):
     from siltworks.operators import wiki
 
-    modules = spark.createDataFrame([("core",)], "module string")
-    page = wiki.architecture_page("layered", [("core", "rules"), ("web", "pages")], modules).first()
-    assert page.content == "# Architecture\nlayered\n- [core](modules/core.md): rules\n- web: pages"
-    assert wiki.architecture_page("", [("core", "rules")], modules).isEmpty()
-    ranked = spark.createDataFrame([(1, "a.py", True, False), (2, "b.toml", False, True), (3, "c.py", False, False)], "rank int, path string, is_entrypoint boolean, is_config boolean")
-    assert wiki.reading_guide_page(ranked).first().content.endswith("1. `a.py` (entry point)\n2. `b.toml` (configuration)\n3. `c.py`")
-    assert wiki.reading_guide_page(ranked.limit(0)).isEmpty()
     prompts = spark.createDataFrame([("core", "describe it"), ("web", "and this")], "key string, prompt string")
     first, put = wiki.run_pass(prompts)
     assert first.count() == put.count() == 2
@@ -64,7 +57,11 @@ def test_wiki(spark, tmp_path):
     pages = spark.createDataFrame([("index", "# A")], "page_id string, content string")
     assert wiki.html_site(pages, "x", str(tmp_path / "x.html")) and not wiki.html_site(pages, "x", str(tmp_path / "x.html"))
     wiki.site_loader(str(tmp_path / "site"), "x")
-    assert (tmp_path / "site/index.html").exists()
+    assert "docsify" in (tmp_path / "site/index.html").read_text() and (tmp_path / "site/.nojekyll").exists()
+    many = spark.createDataFrame([("index", "# A\n[m](modules/a.md)"), ("modules/a", "[up](../index.md)\n```mermaid\ngraph LR\n```")], "page_id string, content string")
+    wiki.html_site(many, "<x>", str(tmp_path / "y.html"), "- [Overview](index.md)\n- Modules\n  - [a](modules/a.md)")
+    text = (tmp_path / "y.html").read_text()
+    assert text.count("showPage('modules/a')") == 2 and text.count("showPage('index')") == 2 and '<div class="mermaid">graph LR</div>' in text and "<title>&lt;x&gt;</title>" in text
 
 
 def test_warm_index(spark, tmp_path):
@@ -142,3 +139,81 @@ def test_imports_and_fields_by_language(spark):
     point, make, free = symbols.braced_symbols("rust", "/// A point.\n\npub struct Point {\n    pub x: i32,\n    y: i32,\n}\nimpl Point {\n    fn make(mut a: i32) {}\n}\nfn free() {}\n")
     assert (point.doc_comment, point.fields, make.kind, make.params, free.kind) == ("A point.", ["x", "y"], "method", [("a", "i32")], "function")
     assert symbols.braced_symbols("go", "type Box struct {\n\tw int\n\th int\n}\n")[0].fields == ["w", "h"]
+
+
+class Provider:
+    """A chat endpoint on this machine that keeps what it was sent."""
+
+    def __init__(self):
+        import http.server
+        import json
+        import threading
+
+        got = self.got = []
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                got.append((self.headers.get("Authorization"), body))
+                bad = "fail" in body["messages"][-1]["content"]
+                self.send_response(500 if bad else 200)
+                self.end_headers()
+                if bad:
+                    self.wfile.write(b"no")
+                elif body.get("stream"):
+                    self.wfile.write(b'data: {"choices": [{"delta": {"content": "a "}}]}\n\n: note\ndata: {"choices": [{"delta": {"content": "b"}}]}\n\ndata: [DONE]\n\n')
+                else:
+                    self.wfile.write(json.dumps({"choices": [{"message": {"content": '{"purpose": "said"}'}}], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}).encode())
+
+            def log_message(self, *args):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.base = f"http://127.0.0.1:{self.server.server_port}/v1"
+
+
+def test_client_posts(spark):
+    import pytest
+
+    from siltworks.operators import completion
+
+    provider = Provider()
+    client = completion.of_config(helpers.Config(model="m", api_key="k", api_base=provider.base))
+    assert client.ask("hello") == ('{"purpose": "said"}', {"prompt_tokens": 3, "completion_tokens": 2}) and "".join(client.stream("x")) == "a b"
+    key, body = provider.got[0]
+    assert key == "Bearer k" and body["model"] == "m" and [m["role"] for m in body["messages"]] == ["system", "user"] and {"temperature", "max_tokens"} <= set(body)
+    with pytest.raises(RuntimeError, match="500: no"):
+        client("fail")
+    rows = spark.createDataFrame([("a", "one"), ("b", "fail")], "key string, prompt string")
+    got = {r.key: r.answer for r in completion.complete(rows, client, 2).collect()}
+    assert got == {"a": '{"purpose": "said"}', "b": None} and completion.of_config(helpers.Config()) is completion.offline
+
+
+def test_server(spark, tmp_path):
+    import json
+    import threading
+    import urllib.request
+
+    from siltworks.server import Service, serve
+
+    for name, text in {"a.py": "import b\n\ndef run():\n    return 1\n", "b.py": "def help_me():\n    return 2\n", "c.py": "x = 1\n"}.items():
+        (tmp_path / name).write_text(text)
+    service = Service(spark, completer=lambda prompt: '{"purpose": "fine"}')
+    entry = service.start(str(tmp_path), wait=True)
+    events = list(service.progress(entry))
+    assert events[0] == {"step": "scan"} and {"step": "modules"} in events and events[-1] == {"status": "done"}
+    assert service.handle("GET", "/api/project/ffff")[0] == 404 and service.handle("POST", "/api/scan", {})[0] == 400
+    root = f"/api/project/{entry.id}"
+    assert "index" in {p["id"] for p in service.handle("GET", f"{root}/pages")[1]}
+    assert service.handle("GET", f"{root}/file/a.py")[1]["lines"] == 5 and service.handle("GET", f"{root}/files")[1] == {"tree": "a.py\nb.py\nc.py"}
+    said = list(service.handle("POST", f"{root}/chat", {"question": "help_me", "history": [{"role": "user", "content": "hi"}]})[1])
+    assert said[0]["references"][0]["path"] == "b.py" and said[1:] == [{"content": '{"purpose": "fine"}'}, {"done": True}]
+    assert service.start(str(tmp_path / "none"), wait=True).status == "error"
+    server = serve(service, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    assert json.load(urllib.request.urlopen(f"{base}{root}"))["status"] == "done"
+    lines = urllib.request.urlopen(f"{base}{root}/status").read().decode().split("\n\n")
+    assert lines[0] == 'data: {"step": "scan"}'
+    server.shutdown()
