@@ -138,9 +138,10 @@ def braced_end(rows: list[str], at: int) -> int:
     return at + 1
 
 
-def _typed(part: str) -> tuple[str, str | None]:
+def _typed(part: str, default: str = "=") -> tuple[str, str | None]:
+    """Name and type of a parameter; the type ends at `default`."""
     name, colon, hint = part.partition(":")
-    return (name.strip(), hint.partition("=")[0].strip()) if colon else (part.partition("=")[0].strip(), None)
+    return (name.strip(), hint.partition(default)[0].strip()) if colon else (part.partition("=")[0].strip(), None)
 
 
 def _docstring(rows: list[str], at: int) -> str | None:
@@ -258,7 +259,8 @@ def braced_symbols(language: str, text: str) -> list[Symbol]:
             if language in ("go", "java"):
                 params = [(p.split()[-1], " ".join(p.split()[:-1]) or None) if language == "java" else (p.split()[0], " ".join(p.split()[1:]) or None) for p in parts if p]
             else:
-                params = [_typed(p.removeprefix("mut ") if language == "rust" else p) for p in parts if ":" in p or language != "rust" and p]
+                bare = [re.sub(r"^(?:mut )+" if language == "rust" else r"^(?:\.\.\.)+", "", p) for p in parts]
+                params = [_typed(p, "\n") for p in bare if ":" in p or language != "rust" and p]  # no part holds a line end
             back = re.search(r"\)\s*->\s*(.+?)\s*\{", row) if language == "rust" else None
             out.append(Symbol(m["name"], kind, i + 1, braced_end(rows, i) if rule.block else i + 1, _visibility(language, m), params, back[1] if back else None))
             if language == "rust" and kind not in ("type_alias", "macro"):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siltworks.functions import columns as C
 from siltworks.operators import cache, completion, docs, graph, imports, retrieval, scan, symbols, wiki
-from siltworks.plans.oracles import ORACLES  # noqa: F401  part of the catalogue
+from siltworks.plans import details
+from siltworks.plans.oracles import ORACLES
 from siltworks.sources import views as V
 
 QUERIES: dict = {}
@@ -458,3 +459,7 @@ def stream_incremental(spark, d):
     table = V.table(spark, d, "documents")
     run_available(spark, f"{d}/documents*.parquet", f"{root}/out", f"{root}/state", table.schema)
     return spark.read.parquet(f"{root}/out")
+
+
+QUERIES |= details.QUERIES
+ORACLES |= details.ORACLES
