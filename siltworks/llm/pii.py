@@ -197,7 +197,7 @@ class PiiModel:
     tables: list
     trans: np.ndarray
     start: np.ndarray
-    margin: float = 0.0
+    margin: float = -np.inf
 
     def word_ids(self, vocab: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         bare, shape = _bare_and_shape(vocab)
@@ -207,20 +207,28 @@ class PiiModel:
         return spelled, known[coded.indices.to_numpy(zero_copy_only=False)]
 
     def _open(self, emit: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Lines whose best path may have a tag.
+        """Lines whose best path may have a run that is kept: one of a tag whose words' leads reach the margin, and of which
+        leaving "none" may pay.
 
         Leaving "none" for a run of words gains at most an entry, the words' leads, a step between each two and an exit;
-        the best run of a line follows from prefix sums. Lines where even that is negative are closed.
+        the best run of a line follows from prefix sums.
         """
         flat = self.trans - self.trans[0, 0]
         enter, inner, leave = max(flat[0, 1:].max(), (self.start - self.start[0])[1:].max()), flat[1:, 1:].max(), max(0.0, flat[1:, 0].max())
-        lead = emit[:, 1:].max(axis=1) - emit[:, 0] + inner
-        line = np.cumsum(first) - 1
-        total = np.append(0.0, np.cumsum(lead))
-        apart = 2 * (total.max() - total.min() + 1)
-        low = np.minimum.accumulate(total[:-1] - apart * line)
-        best = np.maximum.reduceat(total[1:] - apart * line - low, np.flatnonzero(first))
-        return best - inner + enter + leave > -0.01
+        lines, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+
+        def best(gain: np.ndarray) -> np.ndarray:
+            """The largest sum of a run of words in each line."""
+            total = np.append(0.0, np.cumsum(gain))
+            apart = 2 * (total.max() - total.min() + 1)
+            low = np.minimum.accumulate(total[:-1] - apart * lines)
+            return np.maximum.reduceat(total[1:] - apart * lines - low, starts)
+
+        lead = emit[:, 1:] - emit[:, :1]
+        kept = best(lead[:, 0]) >= self.margin - 0.01
+        for t in range(1, lead.shape[1]):
+            kept |= best(lead[:, t]) >= self.margin - 0.01
+        return kept & (best(lead.max(axis=1) + inner) - inner + enter + leave > -0.01)
 
     def tag(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Tag of each word, and by how much its own score exceeds that of "none"; lines are the sequences."""

@@ -232,3 +232,19 @@ def test_field_on_lines_written_by_hand(spark):
     assert len(set(found) & set(want)) >= 0.85 * len(want), sorted(set(want) - set(found))
     assert len(set(found) & set(want)) >= 0.85 * len(found), sorted(set(found) - set(want))
     assert not any(got[len(WRITTEN) + i] for i in range(len(CLEAN)))
+
+
+def test_closed_lines_hold_no_kept_run(spark):
+    rng = random.Random(31)
+    lines = [" ".join(words) for words, _ in pii.labelled_lines(copies=2, seed=41)] + [t for t, _ in WRITTEN] + list(CLEAN)
+    rng.shuffle(lines)
+    df = spark.createDataFrame([(i, "\n".join(lines[i::25])) for i in range(25)], "doc_id long, text string")
+    model = pii.train()
+    some = {r.doc_id: r.spans for r in pii.find(df, model).collect()}
+
+    class Open(pii.PiiModel):
+        def _open(self, emit, first):
+            return np.ones(int(first.sum()), bool)
+
+    every = {r.doc_id: r.spans for r in pii.find(df, Open(**vars(model))).collect()}
+    assert some == every and sum(map(len, some.values())) > 1000
