@@ -29,7 +29,7 @@ ORDERED_DOCS = 2048
 PIECES = "doc_id long, piece long, start long, length long, doc_tokens long, ids binary"
 
 #: Pieces of text whose ids a process keeps, the longest that it keeps in bytes, and bytes of text cut into pieces at once.
-KEPT_PIECES, KEPT_BYTES, CUT_BYTES = 1 << 19, 64, 8 << 20
+KEPT_PIECES, KEPT_BYTES, CUT_BYTES = 1 << 17, 64, 2 << 20
 _BLANK, _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[list(b"\x09\x0a\x0b\x0c\x0d\x20")] = True
 _LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
