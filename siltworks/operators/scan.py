@@ -130,13 +130,20 @@ def with_reason(files: DataFrame, max_file_size: int = MAX_FILE_SIZE, rules: lis
     return files.withColumn("language", language(F.col("path"))).withColumn("reason", reason)
 
 
+#: Files up to which a ranked cut is made without counting them first.
+SORTED_FILES = 1_000_000
+
+
 def cap(files: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     """Kept files over max_files get the reason priority: configs and entry points stay first, then code, then by path.
 
     The hard cap on scanned files comes before: kept rows after the first max(4 * max_files, max_files + 100) paths go.
-    The ranking reads paths alone; Spark cuts it to max_files rows a partition before they meet.
+    The ranking reads paths alone; Spark cuts it to max_files rows a partition before they meet. A cut that large takes
+    its memory at once, so over SORTED_FILES the kept rows are counted first, and nothing is ranked where all of them fit.
     """
     kept = files.where("reason is null").select("path", "language")
+    if max_files > SORTED_FILES and kept.count() <= max_files:
+        return files.select("path", *(c for c in files.columns if c != "path"))
     hard = max(4 * max_files, max_files + 100)
     early = kept.orderBy("path").limit(hard)
     order = F.when(is_config(F.col("path")) | is_entrypoint(F.col("path")), 0).when(F.col("language").isin(*CODE_LANGUAGES), 1).otherwise(2)
