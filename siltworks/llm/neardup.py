@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import materialize, salted_join, text_chunks, with_text
+from siltworks.llm.common import frugal, materialize, salted_join, text_chunks, with_text
 from siltworks.llm.components import components
 from siltworks.llm.textcols import lowered, split_words, text_bytes
 
@@ -147,6 +147,7 @@ def _most_differing(bound: float, samples: int = SAMPLES) -> int:
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Signature rows of doc_id, text. Texts without words have n_shingles 0 and null elsewhere."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, "text", 2 << 20):
@@ -337,6 +338,7 @@ def _confirm(texts: DataFrame, families: DataFrame, threshold: int) -> DataFrame
         # Always a merge join: a broadcast of the families would fit small corpora only.
         member = texts.join(dealt.hint("merge"), F.col("doc_id") == F.col("rep"))
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, rows in _groups(batches, 3):
                 rep, side = rows.column("rep").to_numpy(), rows.column("side").to_numpy()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import process_cache, text_chunks, with_text
+from siltworks.llm.common import frugal, process_cache, text_chunks, with_text
 from siltworks.llm.textcols import text_bytes
 
 CAPACITY, END_ID = 2048, 1
@@ -167,6 +167,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, to
     have too, as a string named carried. Other columns are ignored.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
@@ -239,6 +240,7 @@ def pack(pieces: DataFrame, rows: int, capacity: int = CAPACITY, shard_rows: int
     dealt = pieces.withColumn("_shard", shard)
     names = [*pieces.columns, "sequence_id", "offset"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[pa.RecordBatch], shard: int) -> list[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks()

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltworks.llm.common import text_chunks, with_text
+from siltworks.llm.common import frugal, text_chunks, with_text
 from siltworks.llm.textcols import Words, char_ngrams, owner, padded, pair_buckets, split_words, sum_by, text_bytes, word_buckets, word_hashes
 from siltworks.llm.training import calibration_rows, fit_logistic, fit_platt, labelled_sample, sigmoid
 
@@ -179,6 +179,7 @@ def score(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT, id_col
     Null and empty texts have no words and fail the base rules. Repeated rows are scored each. Other columns are ignored.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, "text"):
@@ -191,6 +192,7 @@ def score(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT, id_col
 def keep(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text is kept, with all their columns; verdicts as in score()."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, text_col):

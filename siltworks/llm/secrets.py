@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from siltworks.llm.common import process_cache, text_chunks, with_text
+from siltworks.llm.common import frugal, process_cache, text_chunks, with_text
 from siltworks.llm.training import fit_platt, sigmoid
 
 KINDS = ("assign", "access", "hex")
@@ -259,6 +259,7 @@ def find(docs: DataFrame, model: SecretModel | None = None, id_col: str = "doc_i
     """
     model = model or process_cache("secret-model", train)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = {k: i for i, k in enumerate((*KINDS, "cnn"))}
         show = lambda spans: ",".join(f"{k}:{a}:{z}" for a, z, k in spans)
@@ -280,6 +281,7 @@ def redact(docs: DataFrame, model: SecretModel | None = None, mark: str = "[SECR
     """
     model = model or process_cache("secret-model", train)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, text_col):
