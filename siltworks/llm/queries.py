@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, mixing, neardup, packing, pii, quality, secrets, topk, toxicity, warc
+from siltworks.llm import chat, exact, mixing, neardup, packing, pii, quality, secrets, topk, toxicity, warc
 from siltworks.llm.common import materialize, table
 from siltworks.llm.training import crc_of_id
 
@@ -89,6 +89,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.read(manifest, with_data=False))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them; pipeline needs corpus_pipeline.py when it runs."""
-    return {f.__name__: f for f in (op1_mixing, op2_pii, op3_secrets, op4_toxicity, op5_quality, op6_neardup, op7_topk, op8_packing, op9_chat, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_pii, op3_secrets, op4_toxicity, op5_quality, op6_neardup, op7_topk, op8_packing, op9_chat, op10_warc, op11_exact, pipeline)}
 
 
 OP6_SQL = r"""
@@ -136,7 +141,12 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8), lambd
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
 """
 
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """op2, op3, op4, op5, op8 and pipeline rest on trained models or a tokenizer, which SQL can't express; tests hold them against brute force."""
-    return {"op1_mixing": mixing.oracle(WEIGHTS, default_weight=OTHER_WEIGHT), "op6_neardup": OP6_SQL, "op7_topk": OP7_SQL, "op9_chat": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op1_mixing": mixing.oracle(WEIGHTS, default_weight=OTHER_WEIGHT), "op6_neardup": OP6_SQL, "op7_topk": OP7_SQL, "op9_chat": OP9_SQL, "op10_warc": OP10_SQL, "op11_exact": OP11_SQL}
