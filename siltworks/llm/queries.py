@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, exact, mixing, neardup, packing, pii, quality, secrets, topk, toxicity, warc
+from siltworks.llm import chat, exact, mixing, neardup, packing, pii, quality, secrets, topk, toxicity, trie, warc
 from siltworks.llm.common import materialize, table
 from siltworks.llm.training import crc_of_id
 
@@ -94,6 +94,10 @@ def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them; pipeline needs corpus_pipeline.py when it runs."""
-    return {f.__name__: f for f in (op1_mixing, op2_pii, op3_secrets, op4_toxicity, op5_quality, op6_neardup, op7_topk, op8_packing, op9_chat, op10_warc, op11_exact, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_pii, op3_secrets, op4_toxicity, op5_quality, op6_neardup, op7_topk, op8_packing, op9_chat, op10_warc, op11_exact, op13_trie, pipeline)}
 
 
 OP6_SQL = r"""
@@ -146,7 +150,21 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+# crc is the CRC-32 of the id's digits, bit by bit. Nodes are named by the digest of their turns' digests.
+OP13_SQL = """
+WITH t AS (SELECT conv_id, sha256(length(role) || ':' || role || text) AS k, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT DISTINCT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT) % 6 AS h FROM t),
+rebuilt AS (SELECT c.conv_id, 0 AS own, i, k, chars FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND i <= h UNION ALL SELECT c.conv_id, 1, i, k, chars FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+seqs AS (SELECT c.conv_id, coalesce(list(k ORDER BY own, i) FILTER (k IS NOT NULL), []) AS ks, coalesce(list(chars ORDER BY own, i) FILTER (k IS NOT NULL), []) AS cs FROM c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+members AS (SELECT conv_id, d, len(ks) = d AS ends, md5(array_to_string(ks[1:d], ',')) || d AS node, CASE WHEN d > 0 THEN md5(array_to_string(ks[1:d - 1], ',')) || (d - 1) END AS up, CASE WHEN d > 0 THEN cs[d] ELSE 0 END AS chars FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM seqs)),
+nodes AS (SELECT node, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY node),
+kids AS (SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT m.node, sum(n.saved) AS saved, count(*) FILTER (n.node NOT IN (SELECT up FROM kids)) AS leaves FROM nodes n JOIN members m ON m.conv_id = n.conv_id AND m.d <= n.depth GROUP BY m.node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes u ON u.node = n.up LEFT JOIN kids ON kids.up = n.node
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """op2, op3, op4, op5, op8 and pipeline rest on trained models or a tokenizer, which SQL can't express; tests hold them against brute force."""
-    return {"op1_mixing": mixing.oracle(WEIGHTS, default_weight=OTHER_WEIGHT), "op6_neardup": OP6_SQL, "op7_topk": OP7_SQL, "op9_chat": OP9_SQL, "op10_warc": OP10_SQL, "op11_exact": OP11_SQL}
+    return {"op1_mixing": mixing.oracle(WEIGHTS, default_weight=OTHER_WEIGHT), "op6_neardup": OP6_SQL, "op7_topk": OP7_SQL, "op9_chat": OP9_SQL, "op10_warc": OP10_SQL, "op11_exact": OP11_SQL, "op13_trie": OP13_SQL}
