@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, exact, mixing, neardup, packing, pii, quality, secrets, topk, toxicity, trie, warc
+from siltworks.llm import align, chat, exact, mixing, neardup, packing, pii, quality, secrets, topk, toxicity, trie, warc
 from siltworks.llm.common import materialize, table
 from siltworks.llm.training import crc_of_id
 
@@ -94,6 +94,10 @@ def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))[0]
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(trie.rebuilt(trie.sequences(table(spark, sf_dir, "conversations"))))
 
@@ -106,7 +110,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All of them; pipeline needs corpus_pipeline.py when it runs."""
-    return {f.__name__: f for f in (op1_mixing, op2_pii, op3_secrets, op4_toxicity, op5_quality, op6_neardup, op7_topk, op8_packing, op9_chat, op10_warc, op11_exact, op13_trie, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_pii, op3_secrets, op4_toxicity, op5_quality, op6_neardup, op7_topk, op8_packing, op9_chat, op10_warc, op11_exact, op12_align, op13_trie, pipeline)}
 
 
 OP6_SQL = r"""
@@ -166,5 +170,5 @@ FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes u ON u.node = n.up
 
 
 def oracle_sql() -> dict[str, str]:
-    """op2, op3, op4, op5, op8 and pipeline rest on trained models or a tokenizer, which SQL can't express; tests hold them against brute force."""
+    """op2, op3, op4, op5, op8, op12 and pipeline rest on trained models or a tokenizer, which SQL can't express; tests hold them against brute force."""
     return {"op1_mixing": mixing.oracle(WEIGHTS, default_weight=OTHER_WEIGHT), "op6_neardup": OP6_SQL, "op7_topk": OP7_SQL, "op9_chat": OP9_SQL, "op10_warc": OP10_SQL, "op11_exact": OP11_SQL, "op13_trie": OP13_SQL}
