@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -42,7 +42,8 @@ MIN_RECALL, FINDINGS = 0.98, 2400
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Texts without a match of this have no base span and no candidate.
 _ANY = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA|[A-Za-z0-9+/_=-]{16}"
 
@@ -55,17 +56,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def more_candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Runs of 16+ characters with a letter and a digit that touch no base span."""
+def more_candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, bool, bool]]:
+    """What of each run lies outside base spans: (start, end, whether a base span stands before, behind) of parts of LEAST
+    characters or more with a letter and a digit.
+
+    Signs at a cut are no part of what remains: they join it to the base span, whose own characters are no context.
+    """
     starts, ends = [b[0] for b in base], list(accumulate((b[1] for b in base), max))
     out = []
     for m in _RUN.finditer(text):
-        k = bisect_left(starts, m.end())
-        if k and ends[k - 1] > m.start():
-            continue
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-            out.append(m.span())
+        a, z = m.span()
+        k = bisect_right(ends, a)
+        while a < z:
+            to = min(z, starts[k]) if k < len(starts) else z
+            end = to
+            while end < z and end > a and not text[end - 1].isalnum():
+                end -= 1
+            part = text[a:end]
+            if end - a >= LEAST and any(c.isdigit() for c in part) and any(c.isalpha() for c in part):
+                out.append((a, end, a > m.start(), end < z))
+            if to == z:
+                break
+            a = max(a, ends[k])
+            k += 1
+            while a < z and not text[a].isalnum():
+                a += 1
     return out
 
 
@@ -237,10 +252,15 @@ def scan(texts: pa.Array, model: SecretModel) -> tuple[dict[int, list], dict[int
     for i in np.flatnonzero(pc.match_substring_regex(texts, _ANY).to_numpy(zero_copy_only=False)).tolist():
         text = texts[i].as_py()
         base[i] = base_spans(text)
-        for s in (*base[i], *((*c, "cnn") for c in more_candidates(text, base[i]))):
+        for s in base[i]:
             rows.append(i)
             spans.append(s)
             candidates.append((text, _ASSIGN.match(text, s[0]).start(2) if s[2] == "assign" else s[0], s[1]))
+        for a, z, cut, cut_behind in more_candidates(text, base[i]):
+            rows.append(i)
+            spans.append((a, z, "cnn"))
+            before, behind = " " if cut else text[max(0, a - BEFORE) : a], " " if cut_behind else text[z : z + AFTER]
+            candidates.append((f"{before}{text[a:z]}{behind}", len(before), len(before) + z - a) if cut or cut_behind else (text, a, z))
     sure = model.highest(candidates) >= model.threshold
     confirmed, added = np.zeros(len(texts), np.int64), {}
     for i, s, ok in zip(rows, spans, sure, strict=True):
