@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.sources.buckets import BucketTable
+
 DEFAULT_TTL_DAYS = 365
+#: Folders that a bucket of a Store may have before a put merges them.
+MOST_FOLDERS = 8
 
 
 def latest(kv: DataFrame, tie: str | None = None) -> DataFrame:
@@ -42,6 +46,40 @@ def clear(spark: SparkSession, path: str) -> int:
     return n
 
 
+class Store:
+    """A key-value table (key, value, created_at) that is put to often: rows are appended to the buckets of their keys, and
+    buckets of more than MOST_FOLDERS folders are merged, the newest row of a key staying. Readers of an earlier version
+    are not disturbed by that."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, most_folders: int = MOST_FOLDERS):
+        self.table, self.most_folders = BucketTable(spark, path, ("key",), buckets), most_folders
+
+    def put(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """rows: key, value, created_at. A batch (stream, number) that was put before changes nothing."""
+        self.table.append(rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), F.col("created_at").cast("double").alias("created_at")), batch)
+        self.table.compact(("created_at",), most_folders=self.most_folders)
+
+    def rows(self) -> DataFrame:
+        """The newest row of each key."""
+        held = self.table.read()
+        return latest(held if held is not None else self.table.spark.createDataFrame([], "key string, value string, created_at double"))
+
+    def fresh(self, now: Column | None = None, ttl_seconds: float = DEFAULT_TTL_DAYS * 86400) -> DataFrame:
+        return fresh(self.rows(), F.unix_micros(F.current_timestamp()) / 1e6 if now is None else now, ttl_seconds)
+
+    def expire(self, now: Column, ttl_seconds: float = DEFAULT_TTL_DAYS * 86400) -> None:
+        """Merge every bucket, leaving expired rows out, and delete what no longer counts."""
+        self.table.compact(("created_at",), now - F.col("created_at") <= ttl_seconds, most_folders=0)
+        self.table.vacuum()
+
+    def clear(self) -> int:
+        """Empty the table and say how many keys it held."""
+        n = self.rows().count()
+        if n:
+            self.table.clear()
+        return n
+
+
 def save_project(spark: SparkSession, path: str, project_id: str, data: str, now: float) -> None:
     put(spark.createDataFrame([(project_id, data, now)], "key string, value string, created_at double"), path)
 

@@ -14,6 +14,8 @@ from siltworks.plans import oracles
 from siltworks.project import Project
 from siltworks.sources import project as helpers
 from siltworks.sources import views as V
+from siltworks.sources.buckets import BucketTable
+from siltworks.streaming import reindex
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -334,12 +336,31 @@ def pass_with_cache(spark, d):
 
 @query("SELECT user_id::VARCHAR AS key, arg_max(props, event_id) AS value FROM events GROUP BY user_id")
 def project_blobs(spark, d):
-    """Rows put into a table in two appends and read back: the newest of each key."""
-    path = graph.shared_folder(spark, "blobs")
+    """Rows put into a table in 50 appends and read back: the newest of each key. No bucket keeps more folders than MOST_FOLDERS."""
+    store = cache.Store(spark, graph.shared_folder(spark, "blobs"), buckets=2)
     rows = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"), F.col("event_id").cast("double").alias("created_at"))
-    for part in (0, 1):
-        cache.put(rows.where(F.pmod(F.col("created_at").cast("long"), F.lit(2)) == part), path)
-    return cache.latest(spark.read.parquet(path)).select("key", "value")
+    for part in range(50):
+        store.put(rows.where(F.pmod(F.col("created_at").cast("long"), F.lit(50)) == part), ("events", part))
+    return store.rows().select("key", "value")
+
+
+_DROPPED = "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN text || chr(10) || 'changed' ELSE text END AS text, CASE WHEN doc_id % 4 < 2 THEN 2 ELSE 1 END AS seen FROM documents"
+
+
+@query(f"SELECT doc_id, seen, substr(sha256(text), 1, 24) AS content_hash, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM ({_DROPPED})")
+def stream_upsert(spark, d):
+    """Three drops: new documents; further and changed ones; the same ones, and old versions that come late. Each document stands once, as last changed."""
+    root = graph.shared_folder(spark, "upsert")
+    docs_ = V.table(spark, d, "documents").select("doc_id", "text")
+    kind, seen = F.col("doc_id") % 4, lambda n: F.lit(n).alias("seen")
+    first = docs_.where(kind != 0).select("doc_id", "text", seen(1))
+    second = docs_.where(kind < 2).select("doc_id", F.when(kind == 1, F.concat("text", F.lit("\nchanged"))).otherwise(F.col("text")).alias("text"), seen(2))
+    third = docs_.where(kind == 2).select("doc_id", "text", seen(3)).unionByName(docs_.where(kind == 1).select("doc_id", F.lit("late").alias("text"), seen(0)))
+    table = BucketTable(spark, f"{root}/table", ("doc_id",), buckets=8)
+    for drop in (first, second, third):
+        drop.write.mode("append").parquet(f"{root}/in")
+        reindex.run_upserts(spark, f"{root}/in", table, f"{root}/state", drop.schema, lambda rows: reindex.index_rows(rows, "seen"), ("seen",))
+    return table.read()
 
 
 @query("WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z_][\\p{L}\\p{M}\\p{Nd}\\p{Pc}]*')) AS token FROM benchmark) SELECT token, count(DISTINCT item_id) AS df FROM t GROUP BY token")
