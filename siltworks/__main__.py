@@ -39,6 +39,8 @@ def main() -> None:
     for name in ("map", "scan", "index", "ask", "chat", "docs", "cache-clear"):
         one = commands.add_parser(name)
         one.add_argument("path")
+        if name != "cache-clear":
+            one.add_argument("--cache", help="folder for what stays between calls; one that all machines share. By default below the home folder")
         if name == "map":
             one.add_argument("--top", type=int, default=50)
             one.add_argument("--json", action="store_true")
@@ -67,8 +69,8 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from siltworks.operators import cache
-    from siltworks.project import Project
-    from siltworks.sources.project import Config
+    from siltworks.project import Project, content_name
+    from siltworks.sources.project import Config, is_url
 
     spark = SparkSession.builder.appName("siltworks").config("spark.ui.enabled", "false").getOrCreate()
     if args.command == "cache-clear":
@@ -84,7 +86,8 @@ def main() -> None:
     from siltworks.operators.completion import of_config
 
     completer = of_config(settings)
-    project = Project.from_path(spark, args.path, settings, exclude=(args.out.split("/")[0],) if args.command == "docs" else ())
+    kept = args.cache or str(pathlib.Path.home() / ".cache" / "siltworks" / "tables" / content_name(args.path if is_url(args.path) else str(pathlib.Path(args.path).resolve())))
+    project = Project.from_path(spark, args.path, settings, exclude=(args.out.split("/")[0],) if args.command == "docs" else (), cache=kept)
     if args.command == "map":
         rows = project.map(args.top)
         print("\n".join(rows.orderBy("rank").toJSON().collect()) if args.json else rows.orderBy("rank")._show_string(args.top, False))

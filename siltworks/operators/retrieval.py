@@ -72,30 +72,75 @@ def term_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, tokens(F.col("content")).alias("_tokens")).mapInArrow(run, f"{kept}, token string, tf bigint")
 
 
+def with_idf(df: DataFrame, n_chunks: int) -> DataFrame:
+    """token, df, idf = ln(chunks / (df + 1)) of token, df."""
+    return df.withColumn("idf", F.log(F.lit(float(n_chunks)) / (F.col("df") + 1)))
+
+
 def inverse_frequencies(tf: DataFrame, n_chunks: int) -> DataFrame:
-    """token, df, idf = ln(chunks / (df + 1))."""
-    return tf.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(float(n_chunks)) / (F.col("df") + 1)))
+    return with_idf(tf.groupBy("token").agg(F.count("*").alias("df")), n_chunks)
 
 
 TABLES = ("chunks", "tf", "idf", "norms")
 #: Tokens of all questions up to which they are sent to every task; told by a count.
 FEW_TOKENS = 100_000
+#: Chunks that share a bound a token, about; a question's terms of the first wave; what a score may be off by.
+BLOCK, LEAD, SLACK = 64, 8, 1e-8
 
 
 class Index:
-    """Term counts, inverse frequencies and norms of chunks; tables may be saved and loaded as Parquet."""
+    """Term counts, inverse frequencies and norms of chunks; tables may be saved and loaded as Parquet.
+
+    postings: token, path, chunk, block, u (the token's weight over the chunk's norm); tops: token, block, top (its largest u
+    there). Both are made when a question is asked first.
+    """
 
-    def __init__(self, chunk_rows: DataFrame, tf: DataFrame, idf: DataFrame, norms: DataFrame):
-        self.chunks, self.tf, self.idf, self.norms = chunk_rows, tf, idf, norms
+    def __init__(self, chunk_rows: DataFrame, tf: DataFrame, idf: DataFrame, norms: DataFrame | None = None, postings: DataFrame | None = None, tops: DataFrame | None = None):
+        self.chunks, self.tf, self.idf = chunk_rows, tf, idf
+        self._norms, self._postings, self._tops = norms, postings, tops
 
     @classmethod
     def build(cls, files: DataFrame) -> Index:
         rows = chunks(files)
         tf = written(term_counts(rows, ["path", "chunk"]))
-        idf = written(inverse_frequencies(tf, rows.count()))
-        weight = F.col("tf") * F.col("idf")
-        weights = tf.join(idf.select("token", "idf"), "token").select("path", "chunk", weight.alias("w"))
-        return cls(rows, tf, idf, written(weights.groupBy("path", "chunk").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))))
+        return cls(rows, tf, written(inverse_frequencies(tf, rows.count())))
+
+    @classmethod
+    def of(cls, chunk_rows: DataFrame, tf: DataFrame, idf: DataFrame) -> Index:
+        return cls(chunk_rows, tf, idf)
+
+    def _weights(self) -> DataFrame:
+        return self.tf.join(self.idf.select("token", "idf"), "token").select("path", "chunk", "token", (F.col("tf") * F.col("idf")).alias("w"))
+
+    @property
+    def norms(self) -> DataFrame:
+        if self._norms is None:
+            self._norms = written(self._weights().groupBy("path", "chunk").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+        return self._norms
+
+    def _make_postings(self) -> DataFrame:
+        """One shuffle: a chunk's weights meet for its norm and leave with it."""
+        here = Window.partitionBy("path", "chunk")
+        held = self._weights().withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(here))).where("norm > 0 and w <> 0")
+        blocks = max(1, -(-self.chunks.count() // BLOCK))
+        return held.select("token", "path", "chunk", F.pmod(F.xxhash64("path", F.floor(F.col("chunk") / BLOCK)), F.lit(blocks)).alias("block"), (F.col("w") / F.col("norm")).alias("u"))
+
+    @staticmethod
+    def _make_tops(postings: DataFrame) -> DataFrame:
+        """A weight and the question's have the same sign, so the larger distance from 0 bounds their product."""
+        return postings.groupBy("token", "block").agg(F.max(F.abs("u")).alias("top"))
+
+    @property
+    def postings(self) -> DataFrame:
+        if self._postings is None:
+            self._postings = written(self._make_postings())
+        return self._postings
+
+    @property
+    def tops(self) -> DataFrame:
+        if self._tops is None:
+            self._tops = written(self._make_tops(self.postings))
+        return self._tops
 
     def save(self, folder: str) -> None:
         for name in TABLES:
@@ -109,21 +154,73 @@ class Index:
             raise ValueError("term counts without their chunk")
         return cls(*(held[n] for n in TABLES))
 
+    def save_weights(self, folder: str) -> None:
+        """norms, tops and, last, postings; idf must be there."""
+        self.norms.write.mode("overwrite").parquet(f"{folder}/norms")
+        self.tops.write.mode("overwrite").parquet(f"{folder}/tops")
+        self.postings.write.mode("overwrite").parquet(f"{folder}/postings")
+
+    @classmethod
+    def with_weights(cls, chunk_rows: DataFrame, tf: DataFrame, folder: str) -> Index:
+        read = lambda name: chunk_rows.sparkSession.read.parquet(f"{folder}/{name}")
+        return cls(chunk_rows, tf, *map(read, ("idf", "norms", "postings", "tops")))
+
+
+def _asked(index: Index, questions: DataFrame) -> tuple[DataFrame, object]:
+    """question, token, q (its share of the question's weight vector, of length 1) of every token that an index knows; how to send them."""
+    wanted = written(term_counts(questions, ["question"]))
+    few = F.broadcast if wanted.count() <= FEW_TOKENS else (lambda df: df)
+    # Tokens that weigh nothing leave here, before anything is met.
+    asked = few(wanted).join(index.idf.select("token", "idf"), "token").where("idf <> 0").select("question", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("question")))
+    return written(asked.select("question", "token", (F.col("w") / length).alias("q"))), few
+
+
+def _met(index: Index, terms: DataFrame, few) -> DataFrame:
+    """question, path, chunk, block, part: what the terms (question, token, q) add to the score of each chunk that holds one."""
+    return index.postings.join(few(terms), "token").groupBy("question", "path", "chunk", "block").agg(F.sum(F.col("q") * F.col("u")).alias("part"))
+
+
+def _scores(index: Index, pairs: DataFrame, asked: DataFrame, few) -> DataFrame:
+    """question, path, chunk, score of pairs (question, path, chunk), over all of the question's terms."""
+    held = index.postings.join(pairs, ["path", "chunk"]).join(few(asked), ["question", "token"])
+    return held.groupBy("question", "path", "chunk").agg(F.round(F.sum(F.col("q") * F.col("u")), 9).alias("score"))
+
+
+def waves(index: Index, questions: DataFrame, k: int = 5) -> dict[str, DataFrame]:
+    """The two waves of retrieve(): lead terms and needed terms (question, token, q), candidates (question, path, chunk), asked terms.
+
+    Wave one meets the LEAD terms of each question with the largest bounds; the exact scores of the k best chunks found
+    so give a score that k chunks reach. Terms whose bounds, smallest first, add up to less than that can't lift a
+    chunk to it alone: wave two meets the other ones only, and keeps a chunk if its part and the bounds of the rest, in
+    its block, reach the score. Nothing that could be among the k best is left out.
+    """
+    asked, few = _asked(index, questions)
+    best = index.tops.groupBy("token").agg(F.max("top").alias("top"))
+    terms = written(few(asked).join(best, "token").select("question", "token", "q", (F.abs("q") * F.col("top")).alias("bound")))
+    by_question = Window.partitionBy("question")
+    lead = terms.withColumn("place", F.row_number().over(by_question.orderBy(F.desc("bound"), "token"))).where(F.col("place") <= LEAD)
+    first = _met(index, lead.select("question", "token", "q"), few)
+    probes = first.withColumn("place", F.row_number().over(by_question.orderBy(F.desc("part"), "path", "chunk"))).where(F.col("place") <= k)
+    probed = _scores(index, written(probes.select("question", "path", "chunk")), asked, few)
+    reached = written(probed.groupBy("question").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("question", F.when(F.col("n") >= k, F.col("least") - SLACK).otherwise(0.0).alias("reached")))
+    under = F.sum("bound").over(by_question.orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0))
+    judged = written(few(terms.withColumn("under", under)).join(reached, "question").withColumn("needed", F.col("under") >= F.col("reached")))
+    needed, rest = (judged.where(c).select("question", "token", "q") for c in ("needed", "not needed"))
+    second = _met(index, needed, few)
+    spare = few(rest).join(index.tops, "token").groupBy("question", "block").agg(F.sum(F.abs("q") * F.col("top")).alias("spare"))
+    kept = second.join(spare, ["question", "block"], "left").join(F.broadcast(reached) if few is F.broadcast else reached, "question")
+    candidates = kept.where(F.col("part") + F.coalesce("spare", F.lit(0.0)) >= F.col("reached")).select("question", "path", "chunk")
+    return {"asked": asked, "lead": lead.select("question", "token", "q"), "needed": needed, "candidates": candidates, "few": few}
+
 
 def retrieve(index: Index, questions: DataFrame, k: int = 5) -> DataFrame:
     """question, rank, path, chunk, score: for each question (question, content) the k most similar chunks with a score over 0.
 
-    Only chunks that share a token with a question meet it. Ties go by path and chunk.
+    Exact, by two waves over bounded postings. Ties go by path and chunk.
     """
-    wanted = written(term_counts(questions, ["question"]))
-    few = F.broadcast if wanted.count() <= FEW_TOKENS else (lambda df: df)
-    # Tokens that most chunks hold weigh nothing; they leave here, before anything is met.
-    asked = written(few(wanted).join(index.idf.select("token", "idf"), "token").where("idf <> 0").select("question", "token", "idf", (F.col("tf") * F.col("idf")).alias("q")))
-    size = asked.groupBy("question").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    met = index.tf.join(few(asked), "token")
-    dots = met.groupBy("question", "path", "chunk").agg(F.sum(F.col("q") * F.col("tf") * F.col("idf")).alias("dot"))
-    scored = dots.join(index.norms, ["path", "chunk"]).join(size, "question").where("norm > 0 and q_norm > 0")
-    scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 9))
+    found = waves(index, questions, k)
+    scored = _scores(index, written(found["candidates"]), found["asked"], found["few"])
     by = Window.partitionBy("question").orderBy(F.desc("score"), "path", "chunk")
     best = scored.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k).where("score > 0")
     return best.select("question", "rank", "path", "chunk", F.round("score", 6).alias("score"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import columns as C
-from siltworks.operators import cache, docs, graph, imports, passes, retrieval, scan, symbols, wiki
+from siltworks.operators import cache, docs, graph, imports, incremental, passes, retrieval, scan, symbols, wiki
 from siltworks.plans import oracles
 from siltworks.project import Project
 from siltworks.sources import project as helpers
@@ -372,6 +372,37 @@ def index_saved(spark, d):
     return retrieval.Index.load(spark, path).idf.select("token", "df")
 
 
+# Documents before and after a change of about 3 percent: some changed, some gone, some new. One digit of the id decides.
+_AFTER = "SELECT doc_id, source, lang, CASE WHEN doc_id % 100 = 7 THEN text || chr(10) || 'one changed line' ELSE text END AS text FROM documents WHERE doc_id % 100 <> 8"
+_AFTER_CHUNKS = oracles._CHUNKS.replace("FROM documents)", f"FROM ({_AFTER}))")
+
+
+def _two_states(spark, d) -> tuple[DataFrame, DataFrame]:
+    files, digit = V.files_documents(spark, d), F.col("doc_id") % 100
+    changed = F.when(digit == 7, F.concat("content", F.lit("\none changed line"))).otherwise(F.col("content"))
+    return files.where(digit != 9), files.where(digit != 8).withColumn("content", changed)
+
+
+@query(f"WITH {_AFTER_CHUNKS} SELECT path, chunk, round(norm, 5) AS norm FROM norms")
+def index_followed(spark, d):
+    """The norms of an index that was built over one state of the files and brought to the next: those of a full build."""
+    before, after = _two_states(spark, d)
+    store = incremental.IndexStore(spark, graph.shared_folder(spark, "followed"))
+    store.update(before)
+    return store.index(after).norms.select("path", "chunk", F.round("norm", 5).alias("norm"))
+
+
+@query("SELECT 1::BIGINT AS step, count(*) FILTER (doc_id % 100 <> 9) AS parsed, 0::BIGINT AS removed FROM documents UNION ALL SELECT 2, count(*) FILTER (doc_id % 100 IN (7, 9)), count(*) FILTER (doc_id % 100 IN (7, 8)) FROM documents UNION ALL SELECT 3, 0, 0")
+def files_parsed(spark, d):
+    """How many files are parsed, and how many rows leave, when symbols are kept by path and content: at first, after a change, without one."""
+    before, after = (x.withColumn("language", scan.language(F.col("path"))) for x in _two_states(spark, d))
+    kept, told = incremental.FileCache(spark, graph.shared_folder(spark, "parsed"), "symbols", symbols.extract), []
+    for step, files in enumerate((before, after, after), 1):
+        kept.update(files)
+        told.append((step, kept.parsed, kept.removed))  # two counts a step
+    return spark.createDataFrame(told, "step long, parsed long, removed long")
+
+
 _MODELS = [("deepseek/deepseek-chat", "", ""), ("x/y", "sk-or-1", ""), ("m", "k", "http://h/v1/"), ("anthropic/claude", "k", ""), ("plain", "", ""), ("gemini/g/h", "", "")]
 
 

@@ -3,28 +3,38 @@
 from __future__ import annotations
 
 import pathlib
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions.columns import content_hash, line_count
-from siltworks.operators import cache, completion, docs, graph, imports, passes, retrieval, scan, symbols, wiki
+from siltworks.operators import cache, completion, docs, graph, imports, incremental, passes, retrieval, scan, symbols, wiki
 from siltworks.sources import project as helpers
 from siltworks.sources.tree import read_tree
 
 
+def content_name(text: str) -> str:
+    """text as part of a folder's name."""
+    return re.sub(r"[^A-Za-z0-9.]+", "-", text)
+
+
 class Project:
-    """files has path, size, content, raw; rules are parsed ignore rules."""
+    """files has path, size, content, raw; rules are parsed ignore rules.
+
+    cache: a folder (on a cluster, one that all machines share) where symbols, imports, the retrieval index and answers to
+    prompts stay from call to call, so that only changed files are parsed and only changed prompts asked.
+    """
 
-    def __init__(self, spark: SparkSession, files: DataFrame, name: str, rules: list | None = None, config: helpers.Config | None = None, exclude: tuple = ()):
-        self.spark, self.name, self.config = spark, name, config or helpers.Config()
+    def __init__(self, spark: SparkSession, files: DataFrame, name: str, rules: list | None = None, config: helpers.Config | None = None, exclude: tuple = (), cache: str | None = None):
+        self.spark, self.name, self.config, self.cache = spark, name, config or helpers.Config(), cache
         self.progress: list[str] = []
         judged = scan.with_reason(files, self.config.max_file_size, rules, exclude, raw="raw")
         self.scanned = graph.written(scan.cap(judged, self.config.max_files).drop("raw"))
 
     @classmethod
-    def from_path(cls, spark: SparkSession, root: str, config: helpers.Config | None = None, exclude: tuple = ()) -> Project:
+    def from_path(cls, spark: SparkSession, root: str, config: helpers.Config | None = None, exclude: tuple = (), cache: str | None = None) -> Project:
         """A local folder, or a repository's address (cloned to a cache folder first)."""
         import os
 
@@ -37,7 +47,7 @@ class Project:
         files = raw.withColumn("content", F.try_validate_utf8(F.coalesce(F.col("raw"), F.lit(b"")).cast("string")))
         files = files.withColumn("content", F.coalesce("content", F.lit("")))
         rules = [r for n in (".gitignore", ".siltignore") if os.path.isfile(f"{root}/{n}") for r in scan.parse_ignore(open(f"{root}/{n}", encoding="utf-8", errors="ignore").read())]
-        project = cls(spark, files, pathlib.Path(root).resolve().name, rules, config, exclude)
+        project = cls(spark, files, pathlib.Path(root).resolve().name, rules, config, exclude, cache)
         project.name = helpers.guess_name(scan.in_order(project.files), root)
         return project
 
@@ -54,9 +64,15 @@ class Project:
     def tree(self) -> DataFrame:
         return scan.tree_rows(self.files)
 
+    def _parsed(self, name: str, parse) -> DataFrame:
+        """parse(files), from the cache where there is one."""
+        if self.cache is None:
+            return graph.written(parse(self.files))
+        return incremental.FileCache(self.spark, self.cache, name, parse).rows(self.files)
+
     @cached_property
     def imports(self) -> DataFrame:
-        return graph.written(imports.resolve(imports.extract(self.files), self.files))
+        return graph.written(imports.resolve(self._parsed("imports", imports.extract), self.files))
 
     def edges(self) -> DataFrame:
         return imports.edges(self.imports)
@@ -76,7 +92,7 @@ class Project:
 
     @cached_property
     def _symbols(self) -> DataFrame:
-        return graph.written(symbols.extract(self.files))
+        return self._parsed("symbols", symbols.extract)
 
     def symbols(self) -> DataFrame:
         return self._symbols
@@ -117,8 +133,17 @@ class Project:
         return passes.totals(self)
 
     def document(self, completer: completion.Completer = completion.offline, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(page_id, title, content of every page; rows for the cache): all generation passes, then assembly."""
-        return passes.document(self, completer, known)
+        """(page_id, title, content of every page; rows for the cache): all generation passes, then assembly.
+
+        Without known rows, the cache's are used and the new ones put there.
+        """
+        if known is not None or self.cache is None:
+            return passes.document(self, completer, known)
+        store = cache.Store(self.spark, f"{self.cache}/answers-{content_name(self.config.model)}")
+        pages, rows = passes.document(self, completer, store.fresh().select("key", "value"))
+        pages = graph.written(pages)
+        store.put(rows)
+        return pages, rows
 
     def progress_since(self, seen: int = 0) -> list[tuple[int, str]]:
         """Steps from the one numbered `seen` on; the last is "done"."""
@@ -153,7 +178,7 @@ class Project:
         return graph.cycles(self.edges())
 
     def index(self) -> retrieval.Index:
-        return retrieval.Index.build(self.files)
+        return retrieval.Index.build(self.files) if self.cache is None else incremental.IndexStore(self.spark, f"{self.cache}/index").index(self.files)
 
     def ask(self, questions: list[str], completer: completion.Completer = completion.offline, k: int = 5, history: list[tuple[str, str]] = (), index: retrieval.Index | None = None, prompts: list | None = None) -> DataFrame | None:
         """question, context and answer of each question. history: earlier (role, text) turns; the last 12 that count go along.
