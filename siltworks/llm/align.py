@@ -29,7 +29,9 @@ from siltworks.llm.packing import KEPT_BYTES, KEPT_PIECES, Encoder
 from siltworks.llm.textcols import sum_by, text_bytes
 
 #: Tokens of the left side in a part at most, or one group if that is longer.
-PART_TOKENS = 700_000
+PART_TOKENS = 400_000
+#: Bytes of text in a chunk, about; a longer text stands alone.
+CHUNK = 1 << 20
 #: Distinct id pairs up to which their counts are sent to every task (a long, two longs and a hash entry each); beyond, they are joined by shuffle.
 MOST_PAIRS = 1 << 20
 SALTS = 32
@@ -107,12 +109,13 @@ class PieceSide:
         entries = words.dictionary.to_pylist()
         if len(self.kept) > KEPT_PIECES:
             self.kept = {}
-        new = [w for w in entries if w not in self.kept]
+        ids = list(map(self.kept.get, entries))
+        new = [k for k, i in enumerate(ids) if i is None]
         # The model puts a space before each text, so the piece's own first one is left out; it puts none before an empty text.
-        found = self.model.encode([w[1:].decode() for w in new], num_threads=1) if new else []
-        fresh = {w: ids or [self.space] for w, ids in zip(new, found, strict=True)}
-        ids = [fresh[w] if w in fresh else self.kept[w] for w in entries]
-        self.kept.update((w, i) for w, i in fresh.items() if len(w) <= KEPT_BYTES)
+        found = self.model.encode([entries[k][1:].decode() for k in new], num_threads=1) if new else []
+        for k, got in zip(new, found, strict=True):
+            ids[k] = got or [self.space]
+        self.kept.update((entries[k], ids[k]) for k in new if len(entries[k]) <= KEPT_BYTES)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat, first = np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum()), np.cumsum(sizes) - sizes
         codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -197,13 +200,40 @@ LINKS = """
 CREATE OR REPLACE TEMP TABLE links AS SELECT a.e, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.e >= b.e WHERE a.e = b.e;
 CREATE OR REPLACE TEMP TABLE told AS SELECT d.doc, (l.a::BIGINT << 32) | l.b AS pair, count(*) AS n FROM links l ASOF JOIN d ON l.e <= d.e GROUP BY ALL
 """
-#: Tokens of both sides, group by group, left before right: each with what stands behind it in the text of groups.
-GROUPS = """
-WITH ends AS (SELECT e, id, 0 AS side FROM a UNION ALL SELECT e, id, 1 FROM b),
-marked AS (SELECT ends.*, l.e IS NOT NULL AS cut FROM ends LEFT JOIN links l ON l.e = ends.e),
-numbered AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY side ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS g FROM marked)
-SELECT g, id::VARCHAR || CASE WHEN NOT cut THEN ',' WHEN side = 0 THEN '|' ELSE ';' END AS x FROM numbered ORDER BY g, side, e
+#: A side's tokens in order: whether its group ends with it, and how many groups ended before.
+NUMBERED = """
+SELECT t.e, t.id, cut, (sum(cut) OVER (ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - cut AS g
+FROM (SELECT t.e, t.id, (l.e IS NOT NULL)::INT AS cut FROM {} t LEFT JOIN links l ON l.e = t.e ORDER BY t.e) t
 """
+#: Decimal ids, each with room for what stands behind it.
+_DECIMALS: dict[int, Vocabulary] = {}
+
+
+def _decimals(most: int) -> Vocabulary:
+    if most not in _DECIMALS:
+        _DECIMALS[most] = Vocabulary([b"%d," % i for i in range(most)])
+    return _DECIMALS[most]
+
+
+def groups_text(con, n_left: int, n_right: int) -> tuple[memoryview, np.ndarray, np.ndarray]:
+    """The groups of a part as text, `a1,a2|b1;` one after the other; where each token begins there (tokens group by group, left before right), and its group."""
+    left, right = (con.execute(NUMBERED.format(side)).fetchnumpy() for side in ("a", "b"))
+    counts = [np.bincount(side["g"], minlength=int(left["g"][-1]) + 1) for side in (left, right)]
+    before = [np.cumsum(c) - c for c in counts]
+    n, place = len(left["g"]) + len(right["g"]), []
+    place = [np.arange(len(left["g"])) + before[1][left["g"]], np.arange(len(right["g"])) + (before[0] + counts[0])[right["g"]]]
+    size, group = np.empty(n, np.int64), np.empty(n, np.int64)
+    words = [_decimals(n_left), _decimals(n_right)]
+    for side, at, word in zip((left, right), place, words, strict=True):
+        size[at], group[at] = word.sizes[side["id"]], side["g"]
+    first = np.append(0, np.cumsum(size))
+    out = np.empty(int(first[-1]), np.uint8)
+    for side, at, word, end in zip((left, right), place, words, b"|;", strict=True):
+        for x in range(0, len(at), 100_000):
+            some, ids = at[x : x + 100_000], side["id"][x : x + 100_000]
+            out[np.repeat(first[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(size[some].sum())] = word.joined(ids)
+        out[first[at[side["cut"] > 0] + 1] - 1] = end
+    return memoryview(out), first, group
 
 
 def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -230,10 +260,8 @@ def _told(part: pa.RecordBatch, left: ByteSide, right: PieceSide, most: int) ->
         yield _batch({"kind": np.full(len(by_doc["n"]), 1), "row": rows[by_doc["doc"]], "pair": by_doc["pair"], "n": by_doc["n"]}, _TOLD)
         pairs = con.execute("SELECT pair, sum(n)::BIGINT AS n FROM told GROUP BY pair").fetchnumpy()
         yield _batch({"kind": np.full(len(pairs["n"]), 2), "pair": pairs["pair"], "n": pairs["n"]}, _TOLD)
-        text = con.sql(GROUPS).to_arrow_table().combine_chunks()
-        x = pa.concat_arrays(text.column("x").chunks).cast(pa.large_string())
-        data, at = memoryview(x.buffers()[2]), np.frombuffer(x.buffers()[1], np.int64)
-        g, first = text.column("g").to_numpy(), 0
+        data, at, g = groups_text(con, len(left.vocabulary.sizes), len(right.vocabulary.sizes))
+        first = 0
         for doc, _, _, n_a, n_b, ended in piece.spans:
             last = first + n_a + n_b
             running.update(data[at[first] : at[last] - ended])
@@ -253,7 +281,7 @@ def _chunked(docs: DataFrame, left: str | None, right: str | None, work: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = sides(left, right)
         for batch in batches:
-            for part in text_chunks(batch, "text"):
+            for part in text_chunks(batch, "text", CHUNK):
                 yield from work(part, a, b)
 
     return with_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
