@@ -15,7 +15,7 @@ from siltworks.project import Project
 from siltworks.sources import project as helpers
 from siltworks.sources import views as V
 from siltworks.sources.buckets import BucketTable
-from siltworks.streaming import reindex
+from siltworks.streaming import expiry, reindex
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -372,6 +372,22 @@ def index_saved(spark, d):
     return retrieval.Index.load(spark, path).idf.select("token", "df")
 
 
+_CACHED = "WITH kv AS (SELECT user_id || ':' || event_type AS key, props AS value, ts AS put_at, event_id FROM events), newest AS (SELECT * FROM kv QUALIFY row_number() OVER (PARTITION BY key ORDER BY put_at DESC, event_id DESC) = 1)"
+
+
+@query(f"{_CACHED} SELECT key, value FROM newest WHERE epoch_ms(put_at) + 86400000 >= (SELECT max(epoch_ms(put_at)) FROM kv)")
+def stream_expiry(spark, d):
+    """The events as puts into a key-value stream, in two drops by time: what is live at the end, a day being an entry's life."""
+    root = graph.shared_folder(spark, "expiry")
+    puts = graph.written(V.table(spark, d, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("key"), F.col("props").alias("value"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("long").alias("tie")))
+    half = puts.agg(F.timestamp_micros(((F.min(F.unix_micros("at")) + F.max(F.unix_micros("at"))) / 2).cast("long"))).first()[0]
+    table = BucketTable(spark, f"{root}/table", ("key",), buckets=8)
+    for drop in (puts.where(F.col("at") <= F.lit(half)), puts.where(F.col("at") > F.lit(half))):
+        drop.write.mode("append").parquet(f"{root}/in")
+        expiry.run_expiring(spark, spark.readStream.schema(puts.schema).parquet(f"{root}/in"), table, f"{root}/state", 86400)
+    return expiry.live(table).select("key", "value")
+
+
 # Documents before and after a change of about 3 percent: some changed, some gone, some new. One digit of the id decides.
 _AFTER = "SELECT doc_id, source, lang, CASE WHEN doc_id % 100 = 7 THEN text || chr(10) || 'one changed line' ELSE text END AS text FROM documents WHERE doc_id % 100 <> 8"
 _AFTER_CHUNKS = oracles._CHUNKS.replace("FROM documents)", f"FROM ({_AFTER}))")
