@@ -235,21 +235,46 @@ def context(found: DataFrame, chunk_rows: DataFrame, questions: DataFrame) -> Da
     return questions.select("question").join(got, "question", "left").select("question", F.coalesce("context", F.lit("No matching passages were found.")).alias("context"))
 
 
+#: Bytes of a run of lines, about.
+RUN_BYTES = 1 << 20
+
+
 def fingerprint(files: DataFrame, root: str) -> DataFrame:
     """One row: a digest of root and of every file's path, size and content digest, by path. 24 hex digits.
 
-    Files are sorted over the cluster; one task then reads their lines in order and keeps a running digest only.
+    Lines are sorted by range over the cluster; each range becomes numbered runs of about RUN_BYTES, and one task digests the
+    runs by number, whatever order they come in. It holds one run at a time and refuses a gap.
     """
     line = F.concat(F.encode("path", "UTF-8"), F.encode(F.col("size").cast("string"), "UTF-8"), F.unhex(F.sha2("content", 256)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = hashlib.sha256(root.encode())
+        held, size, number, part = [], 0, 0, None
+        cut = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["part", "number", "run"])
         for batch in batches:
-            for part in batch.column("line"):
-                digest.update(part.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()[:24]])], names=["fingerprint"])
+            for part, text in zip(batch.column("part").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                held.append(text)
+                size += len(text)
+                if size >= RUN_BYTES:
+                    yield cut()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield cut()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, at = hashlib.sha256(), (-1, -1)
+        for batch in batches:
+            for part, number, text in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "run")), strict=True):
+                if (part, number) != (at[0], at[1] + 1) and not (part > at[0] and number == 0):
+                    raise ValueError(f"run {number} of range {part} does not follow {at}")
+                total.update(text)
+                at = (part, number)
+        yield pa.RecordBatch.from_arrays([pa.array([total.hexdigest()[:24]])], names=["fingerprint"])
 
-    return files.select("path", line.alias("line")).orderBy("path").select("line").coalesce(1).mapInArrow(run, "fingerprint string")
+    spark = files.sparkSession
+    ranged = files.select("path", line.alias("line")).repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").sortWithinPartitions("path")
+    runs = written(ranged.select(F.spark_partition_id().alias("part"), "line").mapInArrow(run, "part int, number long, run binary"))
+    first = spark.range(1).select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("number"), F.encode(F.lit(root), "UTF-8").alias("run"))
+    return first.unionByName(runs).repartition(1).sortWithinPartitions("part", "number").mapInArrow(digest, "fingerprint string")
 
 
 def load_or_build(files: DataFrame, root: str, folder: str) -> Index:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltworks.functions.columns import file_name, line_count, lines, trimmed
+from siltworks.operators import ranges
 
 # Names, endings and lists that decide results.
 SKIP_DIRS = (
@@ -130,24 +130,17 @@ def with_reason(files: DataFrame, max_file_size: int = MAX_FILE_SIZE, rules: lis
     return files.withColumn("language", language(F.col("path"))).withColumn("reason", reason)
 
 
-#: Files up to which a ranked cut is made without counting them first.
-SORTED_FILES = 1_000_000
-
-
 def cap(files: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     """Kept files over max_files get the reason priority: configs and entry points stay first, then code, then by path.
 
     The hard cap on scanned files comes before: kept rows after the first max(4 * max_files, max_files + 100) paths go.
-    The ranking reads paths alone; Spark cuts it to max_files rows a partition before they meet. A cut that large takes
-    its memory at once, so over SORTED_FILES the kept rows are counted first, and nothing is ranked where all of them fit.
+    Both cuts rank paths by range over the cluster, whatever the limits are.
     """
     kept = files.where("reason is null").select("path", "language")
-    if max_files > SORTED_FILES and kept.count() <= max_files:
-        return files.select("path", *(c for c in files.columns if c != "path"))
     hard = max(4 * max_files, max_files + 100)
-    early = kept.orderBy("path").limit(hard)
+    early = ranges.first_rows(kept, ["path"], hard)
     order = F.when(is_config(F.col("path")) | is_entrypoint(F.col("path")), 0).when(F.col("language").isin(*CODE_LANGUAGES), 1).otherwise(2)
-    best = early.orderBy(order, "path").limit(max_files).select("path", F.lit(True).alias("_best"))
+    best = ranges.first_rows(early, [order, F.col("path")], max_files).select("path", F.lit(True).alias("_best"))
     out = files.join(best, "path", "left")
     return out.withColumn("reason", F.when(F.col("reason").isNull() & F.col("_best").isNull(), "priority").otherwise(F.col("reason"))).drop("_best")
 
@@ -155,9 +148,9 @@ def cap(files: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
 def report(files: DataFrame) -> DataFrame:
     """One row of counts over with_reason() (and cap())."""
     n = lambda *names: F.count_if(F.col("reason").isin(*names))
-    big = F.array_sort(F.collect_list(F.when(F.col("reason") == "oversized", F.col("path"))))
+    big = files.where("reason = 'oversized'").select("path").orderBy("path").limit(3).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("oversized"))
     candidates = F.count_if(F.col("reason").isNull() | ~F.col("reason").isin("skipped", "ignored", "sensitive", "suffix"))
-    return files.agg(candidates.alias("candidates"), F.count_if(F.col("reason").isNull()).alias("kept"), n("oversized").alias("oversized_count"), n("binary").alias("binary_count"), n("minified").alias("minified_count"), n("priority").alias("priority_dropped"), F.array_join(F.slice(big, 1, 3), ",").alias("oversized"))
+    return files.agg(candidates.alias("candidates"), F.count_if(F.col("reason").isNull()).alias("kept"), n("oversized").alias("oversized_count"), n("binary").alias("binary_count"), n("minified").alias("minified_count"), n("priority").alias("priority_dropped")).crossJoin(F.broadcast(big))  # one row each
 
 
 def described(files: DataFrame, preview_lines: int = 2) -> DataFrame:
@@ -169,9 +162,10 @@ def described(files: DataFrame, preview_lines: int = 2) -> DataFrame:
 
 
 def in_order(files: DataFrame) -> DataFrame:
-    """Adds ord: configs, then entry points, then others, by path. For one project; its rows are ranked in one task."""
+    """Adds ord: configs, then entry points, then others, by path."""
     kind = F.when(is_config(F.col("path")), 0).when(is_entrypoint(F.col("path")), 1).otherwise(2)
-    return files.withColumn("ord", (F.row_number().over(Window.orderBy(kind, "path")) - 1).cast("long"))
+    keys = ranges.numbered(files.select("path"), [kind, F.col("path")])
+    return files.join(keys, "path")
 
 
 def tree_rows(files: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from siltworks.operators import ranges
 
 EXTENSIONS = (".py", ".rs", ".ts", ".go", ".java", ".md", ".txt")
 
@@ -55,8 +56,7 @@ def graph_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst: the user of each error event and of the event after it."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    after = F.lead("user_id").over(Window.orderBy("ts", "event_id"))  # one small time line; use a keyed window on larger ones
-    return e.withColumn("dst", after).where("event_type = 'error' and user_id <> dst").select(F.col("user_id").alias("src"), "dst")
+    return ranges.with_next(e, ["ts", "event_id"], "user_id", "dst").where("event_type = 'error' and user_id <> dst").select(F.col("user_id").alias("src"), "dst")
 
 
 def kv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
