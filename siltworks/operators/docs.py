@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.sources.pages import write_pages
 from siltworks.functions.columns import strip_md_links
 
 
@@ -181,27 +182,9 @@ def readme(overview: str, sidebar: str, name: str, wiki_links: bool = False) ->
 
 
 def export_markdown(pages: DataFrame, folder: str, wiki_links: bool = False, full: bool = False) -> dict[str, list[str]]:
-    """Write a project's pages below a local folder; only new and changed ones are written (all of them if full), and vanished ones removed.
+    """Write a project's pages below a folder that all machines see; only new and changed ones are written (all of them if full), and vanished ones removed.
 
-    Pages are few and small by nature; they come to the driver one by one. Returns page ids by action.
+    Tasks write drafts and the commit puts them in place, so a failed export leaves the last one. Returns page ids by action.
     """
-    root, summary = Path(folder), {"written": [], "kept": [], "removed": []}
-    state_file = root / ".state.json"
-    state = json.loads(state_file.read_text()) if state_file.exists() else {}
-    old = state.get("pages", {}) if state.get("version") == 1 else {}
-    new = {}
     text = strip_md_links(F.col("content")) if wiki_links else F.col("content")
-    for page, content, inputs in pages.select("page_id", text, F.sha2(text, 256)).orderBy("page_id").toLocalIterator():
-        new[page] = inputs
-        path = root / f"{page}.md"
-        same = not full and old.get(page) == inputs and path.exists()
-        if not same:
-            path.parent.mkdir(parents=True, exist_ok=True)
-            path.write_text(content)
-        summary["kept" if same else "written"].append(page)
-    for page in sorted(set(old) - set(new)):
-        (root / f"{page}.md").unlink(missing_ok=True)
-        summary["removed"].append(page)
-    root.mkdir(parents=True, exist_ok=True)
-    state_file.write_text(json.dumps({"version": 1, "pages": new}))
-    return summary
+    return write_pages(pages.select("page_id", text.alias("content"), F.sha2(text, 256).alias("inputs")), folder, full)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltworks.functions.columns import INDEX_ROOTS, module_name
 from siltworks.operators import completion, docs, graph, scan, symbols, wiki
@@ -92,6 +93,27 @@ def guide_page(answer: DataFrame) -> DataFrame:
     return answer.where(F.size(d["steps"]) > 0).select(F.lit("reading-guide").alias("page_id"), text.alias("content"))
 
 
+#: Symbols that a module's line in the summary names.
+NAMED_SYMBOLS = 5
+
+
+def module_summary(files: DataFrame, own: DataFrame) -> DataFrame:
+    """module, files, line of every module: how many files and symbols it has, its first symbols, its files.
+
+    files: path, module; own: path, ord, name of symbols. Order is that of the files, then of the symbols in them. The first
+    symbols are a ranked cut, which each task makes for itself before rows move.
+    """
+    placed = scan.in_order(files.select("path", "module")).withColumnRenamed("ord", "file")
+    held = own.select("path", "ord", "name").join(placed, "path")
+    place = F.row_number().over(Window.partitionBy("module").orderBy("file", "ord"))
+    named = held.withColumn("place", place).where(F.col("place") <= NAMED_SYMBOLS).groupBy("module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    counted = held.groupBy("module").agg(F.count("*").alias("n"))
+    paths = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "path"))), lambda x: x["path"]), ", ")
+    whole = placed.groupBy("module").agg(F.count("*").alias("files"), paths.alias("paths")).join(counted, "module", "left").join(named, "module", "left")
+    line = F.concat(F.lit("- "), "module", F.lit(" ("), F.col("files").cast("string"), F.lit(" files, "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" symbols)"), F.coalesce(F.concat(F.lit(" \u2014 "), "names"), F.lit("")), F.lit("\n  Files: "), "paths")
+    return whole.select("module", "files", line.alias("line"))
+
+
 # ---- the passes --------------------------------------------------------------------------------------------------------
 def _prompt(task: str, body: Column, language: str) -> Column:
     return F.concat(F.lit(completion.prompt(task, "", language)), body)
@@ -122,6 +144,10 @@ def document(project, completer: completion.Completer = completion.offline, know
     modules = run(asked.select(F.col("module").alias("key"), _prompt("Describe this module. Fields: " + MODULE, F.concat("module", F.lit("\n"), _or_empty(F.col("context"))), language).alias("prompt")), MODULE)
     purposes = sizes.join(modules.withColumnRenamed("key", "module"), "module", "left").agg(F.array_join(F.array_sort(F.collect_list(F.concat("module", F.lit(": "), _or_empty(F.col("d.purpose"))))), "\n").alias("purposes"))
 
+    lines = module_summary(project.files.select("path", module_name(F.col("path"), INDEX_ROOTS).alias("module")), own)
+    summary = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("files"), "module", "line"))), lambda x: x["line"]), "\n").alias("summary"))
+    purposes = graph.written(summary.crossJoin(purposes).select(F.concat("summary", F.lit("\n\n"), "purposes").alias("purposes")))  # one row each
+
     project.progress.append("architecture")
     architecture = run(purposes.select(F.lit("architecture").alias("key"), _prompt("Describe the architecture. Fields: " + ARCHITECTURE, F.col("purposes"), language).alias("prompt")), ARCHITECTURE).select("d")
 

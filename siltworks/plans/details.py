@@ -317,6 +317,12 @@ def symbol_page(spark, d):
     return docs.symbol_page(rows)
 
 
+@query(f"WITH {oracles._SYN}, f AS (SELECT path, 'n' || n AS module FROM paths), s AS (SELECT f.module, f.path, ord, name, row_number() OVER (PARTITION BY f.module ORDER BY f.path, ord) AS place FROM sym JOIN f USING (path)) SELECT f.module, count(*) AS files, '- ' || f.module || ' (' || count(*) || ' files, ' || any_value((SELECT count(*) FROM s WHERE s.module = f.module)) || ' symbols) \u2014 ' || any_value((SELECT string_agg(name, ', ' ORDER BY place) FROM s WHERE s.module = f.module AND place <= 5)) || chr(10) || '  Files: ' || string_agg(path, ', ' ORDER BY path) AS line FROM f GROUP BY f.module")
+def module_summary(spark, d):
+    files = V.files_synth(spark, d).withColumn("language", scan.language(F.col("path")))
+    return passes.module_summary(files.select("path", C.module_name(F.col("path"), C.INDEX_ROOTS).alias("module")), symbols.extract(files))
+
+
 # ---- passes, cache, tables -----------------------------------------------------------------------------------------
 @query("SELECT item_id::VARCHAR AS key, CASE WHEN item_id % 3 = 0 THEN '{\"cached\": ' || item_id || '}' WHEN item_id % 3 = 1 THEN '{\"asked\": ' || length(text) || '}' END AS json, item_id % 3 = 1 AS cached_now FROM benchmark")
 def pass_with_cache(spark, d):
