@@ -15,7 +15,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltworks.llm.common import frugal, materialize, process_cache, salted_join, text_chunks, with_text
-from siltworks.llm.packing import KEPT_BYTES, KEPT_PIECES, Encoder
+from siltworks.llm.packing import _ONE_MATCH, KEPT_BYTES, Encoder, piece_starts
 from siltworks.llm.textcols import sum_by, text_bytes
 
 #: Tokens of the left side in a part at most, or one group if that is longer.
 PART_TOKENS = 400_000
 #: Bytes of text in a chunk, about; a longer text stands alone.
 CHUNK = 1 << 20
+#: Pieces of text whose ids a process keeps of each side.
+KEPT = 3 << 17
 #: Distinct id pairs up to which their counts are sent to every task (a long, two longs and a hash entry each); beyond, they are joined by shuffle.
 MOST_PAIRS = 1 << 20
 SALTS = 32
@@ -60,31 +62,75 @@ class Vocabulary:
         return self.bytes[np.repeat(self.first[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
-class ByteSide(Encoder):
-    """A byte-level file of the tokenizers library over space + text; strings of special tokens are plain text."""
+class Kept:
+    """Ids of pieces of text. Each distinct piece of a chunk is looked up once; short ones stay for the next chunks."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list]):
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        """number: of each kept piece; first, flat: where its ids begin, and the ids of all, end to end."""
+        self.number: dict[bytes, int] = {}
+        self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def tokens(self, buf: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> Tokens:
+        """starts: where the pieces begin, the texts' own starts (doc) among them."""
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(buf))), pa.py_buffer(buf)]).dictionary_encode()
+        pieces = words.dictionary.to_pylist()
+        if len(self.number) > KEPT:
+            self.clear()
+        number = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = sorted(np.flatnonzero(number < 0).tolist(), key=lambda i: len(pieces[i]) > KEPT_BYTES)
+        found = self.encode([pieces[i] for i in new])
+        number[new] = np.arange(len(self.first) - 1, len(self.first) - 1 + len(new))
+        first = np.append(self.first, self.first[-1] + np.cumsum([len(f) for f in found], dtype=np.int64))
+        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32)])
+        short = sum(len(pieces[i]) <= KEPT_BYTES for i in new)  # these come first
+        self.number.update((pieces[i], int(number[i])) for i in new[:short])
+        self.first = first[: len(self.first) + short]
+        self.flat = flat[: self.first[-1]]
+        codes = number[words.indices.to_numpy(zero_copy_only=False)]
+        each = first[codes + 1] - first[codes]
+        ids = flat[np.repeat(first[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        return Tokens(ids, sum_by(each, np.searchsorted(starts, doc)))
+
+
+class ByteSide:
+    """A byte-level file of the tokenizers library over space + text; strings of special tokens are plain text.
+
+    Texts are cut where packing.Encoder cuts them, which gives whole texts' ids.
+    """
 
     def __init__(self, path: str):
-        super().__init__(path)
-        self.full.encode_special_tokens = True
+        self.inner = Encoder(path)
+        self.inner.full.encode_special_tokens = True
         # The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on, in order.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        entries = [b""] * self.full.get_vocab_size()
-        for entry, i in self.full.get_vocab().items():
+        entries = [b""] * self.inner.full.get_vocab_size()
+        for entry, i in self.inner.full.get_vocab().items():
             entries[i] = bytes(shown[c] for c in entry) if all(c in shown for c in entry) else entry.encode()
-        self.vocabulary = Vocabulary(entries)
+        self.vocabulary, self.kept = Vocabulary(entries), Kept(self._encode)
+
+    def _encode(self, pieces: list[bytes]) -> list:
+        texts = [p.decode() for p in pieces]
+        found = [[t.id for t in self.inner.model.tokenize(t.translate(self.inner.mapped))] if self.inner.cuts and _ONE_MATCH.fullmatch(t) else None for t in texts]
+        rest = [k for k, f in enumerate(found) if f is None]
+        for k, e in zip(rest, self.inner.full.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+        return found
 
     def tokens(self, spaced: pa.Array) -> Tokens:
-        found = self.batch(spaced)
-        return Tokens(np.concatenate([np.zeros(0, np.uint32), *found]).astype(np.int64), np.fromiter(map(len, found), np.int64, len(found)))
+        buf, doc = text_bytes(spaced)
+        return self.kept.tokens(buf, doc, piece_starts(buf, doc) if self.inner.cuts else doc[:-1])
 
 
 class PieceSide:
     """A sentencepiece model over text, before which it puts a space itself.
 
-    Texts are cut before each space that follows something else, and each distinct piece is encoded once a chunk; short ones
-    are kept. That gives whole texts' ids where no entry of the model holds a space behind something else, so that
-    no merge crosses such a cut; with another model whole texts are encoded.
+    Texts are cut before each space that follows something else. That gives whole texts' ids where no entry of the model
+    holds a space behind something else, so that no merge crosses such a cut; with another model whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -93,9 +139,13 @@ class PieceSide:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.space = self.model.piece_to_id("▁")
+        self.space = [self.model.piece_to_id("▁")]
         self.vocabulary = Vocabulary([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
-        self.kept: dict[bytes, list[int]] = {}
+        self.kept = Kept(self._encode)
+
+    def _encode(self, pieces: list[bytes]) -> list:
+        """The model puts a space before each text, so the piece's own first one is left out; it puts none before an empty text."""
+        return [ids or self.space for ids in self.model.encode([p[1:].decode() for p in pieces], num_threads=1)] if pieces else []
 
     def tokens(self, spaced: pa.Array) -> Tokens:
         buf, doc = text_bytes(spaced)
@@ -104,24 +154,7 @@ class PieceSide:
         if self.cuts and len(buf):
             start[1:-1] = blank[1:] & ~blank[:-1]
         start[doc[:-1]] = True
-        starts = np.flatnonzero(start[: len(buf)])
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(buf))), pa.py_buffer(buf)]).dictionary_encode()
-        entries = words.dictionary.to_pylist()
-        if len(self.kept) > KEPT_PIECES:
-            self.kept = {}
-        ids = list(map(self.kept.get, entries))
-        new = [k for k, i in enumerate(ids) if i is None]
-        # The model puts a space before each text, so the piece's own first one is left out; it puts none before an empty text.
-        found = self.model.encode([entries[k][1:].decode() for k in new], num_threads=1) if new else []
-        for k, got in zip(new, found, strict=True):
-            ids[k] = got or [self.space]
-        self.kept.update((entries[k], ids[k]) for k in new if len(entries[k]) <= KEPT_BYTES)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, first = np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum()), np.cumsum(sizes) - sizes
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        each = sizes[codes]
-        all_ids = flat[np.repeat(first[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
-        return Tokens(all_ids, sum_by(each, np.searchsorted(starts, doc)))
+        return self.kept.tokens(buf, doc, np.flatnonzero(start[: len(buf)]))
 
 
 def sides(left: str | None, right: str | None) -> tuple[ByteSide, PieceSide]:
@@ -202,7 +235,7 @@ CREATE OR REPLACE TEMP TABLE told AS SELECT d.doc, (l.a::BIGINT << 32) | l.b AS
 """
 #: A side's tokens in order: whether its group ends with it, and how many groups ended before.
 NUMBERED = """
-SELECT t.e, t.id, cut, (sum(cut) OVER (ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - cut AS g
+SELECT id, cut, (sum(cut) OVER (ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - cut AS g
 FROM (SELECT t.e, t.id, (l.e IS NOT NULL)::INT AS cut FROM {} t LEFT JOIN links l ON l.e = t.e ORDER BY t.e) t
 """
 #: Decimal ids, each with room for what stands behind it.
