@@ -104,6 +104,7 @@ def main() -> None:
         _chat(project, completer)
     else:
         print(project.export(args.out, completer, form=args.form, wiki_links=args.wiki_links, full=args.full))
+        print(project.usage().first().asDict())
 
 
 if __name__ == "__main__":

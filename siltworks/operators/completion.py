@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -88,22 +89,74 @@ def of_config(config) -> Completer:
     return Client(address, model, config.api_key)
 
 
-def complete(prompts: DataFrame, completer: Completer = offline, at_once: int | None = None) -> DataFrame:
-    """key, answer of prompts (key, prompt); a completer that fails gives null. at_once: how many run at once at most, as
-    partitions; without it the partitions at hand."""
+#: Status codes after which a call is worth repeating.
+PASSING = ("429", "500", "502", "503", "504")
+ASKED = "key string, answer string, prompt_tokens long, completion_tokens long, calls int, error string"
+
+
+class Pace:
+    """Lets through so many calls a second, with as many saved up at most; None: all of them."""
+
+    def __init__(self, per_second: float | None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rate, self.clock, self.sleep = per_second, clock, sleep
+        self.saved, self.at = max(1.0, per_second or 0), clock()
+
+    def wait(self) -> None:
+        if self.rate is None:
+            return
+        now = self.clock()
+        self.saved, self.at = min(max(1.0, self.rate), self.saved + (now - self.at) * self.rate), now
+        if self.saved < 1:
+            self.sleep((1 - self.saved) / self.rate)
+            self.saved, self.at = 1.0, self.clock()
+        self.saved -= 1
+
+
+def ask(completer: Completer, prompt: str, pace: Pace, attempts: int, back_off: float) -> tuple:
+    """(answer, prompt tokens, completion tokens, calls, error) of one prompt. What passes (PASSING) is asked again after a doubling wait."""
+    error = None
+    for n in range(attempts):
+        pace.wait()
+        try:
+            text, usage = completer.ask(prompt) if hasattr(completer, "ask") else (completer(prompt), {})
+            return text, int(usage.get("prompt_tokens") or 0), int(usage.get("completion_tokens") or 0), n + 1, None
+        except Exception as e:  # noqa: BLE001  a provider's errors are its own
+            error = f"{type(e).__name__}: {e}"
+            if not str(e).startswith(PASSING) or n + 1 == attempts:
+                return None, 0, 0, n + 1, error
+            pace.sleep(back_off * 2**n)
+    return None, 0, 0, attempts, error
+
+
+def asked(prompts: DataFrame, completer: Completer = offline, at_once: int | None = None, per_second: float | None = None, attempts: int = 4, back_off: float = 1.0) -> DataFrame:
+    """key, answer of prompts (key, prompt), with the tokens that the provider counted, how often it was called, and the error
+    where the answer is null.
+
+    at_once: how many calls run at once at most, as partitions (without it the partitions at hand). per_second: calls a
+    second of all partitions together; each gets its share. A task that is repeated calls again.
+    """
     prompts = prompts.repartition(at_once) if at_once else prompts
+    share = per_second / (at_once or 1) if per_second else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(prompt: str | None) -> str | None:
-            try:
-                return completer(prompt or "")
-            except Exception:  # noqa: BLE001  a provider's errors are its own
-                return None
-
+        pace = Pace(share)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([one(p) for p in batch.column("prompt").to_pylist()], pa.string())], names=["key", "answer"])
+            rows = [(k, *ask(completer, p or "", pace, attempts, back_off)) for k, p in zip(batch.column("key").to_pylist(), batch.column("prompt").to_pylist(), strict=True)]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[c.split()[0] for c in ASKED.split(", ")])
+
+    return prompts.select("key", "prompt").mapInArrow(run, ASKED)
+
 
-    return prompts.select("key", "prompt").mapInArrow(run, "key string, answer string")
+def usage(answers: DataFrame, *by: str) -> DataFrame:
+    """prompts, calls, tokens and failures of asked() rows, in all or by some columns."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return answers.groupBy(*by).agg(F.count("*").alias("prompts"), total("calls"), total("prompt_tokens"), total("completion_tokens"), F.count("error").alias("failures"))
+
+
+def complete(prompts: DataFrame, completer: Completer = offline, at_once: int | None = None) -> DataFrame:
+    """key, answer of prompts (key, prompt); a completer that fails gives null (asked() tells why). at_once: as in asked()."""
+    return asked(prompts, completer, at_once).select("key", "answer")
 
 
 def recover_json(text: str) -> str | None:

@@ -128,7 +128,7 @@ def document(project, completer: completion.Completer = completion.offline, know
     language, new = project.config.language, []
 
     def run(prompts: DataFrame, schema: str) -> DataFrame:
-        answers, rows = wiki.run_pass(prompts, known, completer, project.config.concurrency if completer is not completion.offline else None)
+        answers, rows = wiki.run_pass(prompts, known, completer, project.config.concurrency if completer is not completion.offline else None, project.asked)
         new.append(rows)
         return answers.select("key", F.from_json("json", schema).alias("d"))
 

@@ -51,14 +51,18 @@ def module_hash(files: DataFrame) -> DataFrame:
 
 
 # ---- passes ---------------------------------------------------------------------------------------------------------
-def run_pass(prompts: DataFrame, known: DataFrame | None = None, completer: completion.Completer = completion.offline, at_once: int | None = None) -> tuple[DataFrame, DataFrame]:
+def run_pass(prompts: DataFrame, known: DataFrame | None = None, completer: completion.Completer = completion.offline, at_once: int | None = None, told: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(key, json of every prompt; rows to put into the cache). prompts: key, prompt; known: key, value of fresh cache rows.
 
-    The cache key is the prompt's key and its content, so changed inputs ask again. Failures are not cached.
+    The cache key is the prompt's key and its content, so changed inputs ask again. Failures are not cached. With a list
+    as told, it gets the rows of completion.asked() for what was asked.
     """
     keyed = prompts.withColumn("key", F.concat("key", F.lit(":"), content_hash(F.col("prompt"))))
     hits, misses = cache.probe(keyed, known) if known is not None else (None, keyed)
-    new = graph.written(completion.with_json(completion.complete(misses, completer, at_once)).select("key", F.col("json").alias("value")))
+    answers = graph.written(completion.asked(misses, completer, at_once))
+    if told is not None:
+        told.append(answers)
+    new = graph.written(completion.with_json(answers.select("key", "answer")).select("key", F.col("json").alias("value")))
     every = new if hits is None else new.unionByName(hits.select("key", "value"))
     bare = F.regexp_replace("key", ":[0-9a-f]{24}$", "")
     return every.select(bare.alias("key"), F.col("value").alias("json")), new.where("value is not null").withColumn("created_at", F.unix_micros(F.current_timestamp()) / 1e6)

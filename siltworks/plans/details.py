@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import columns as C
-from siltworks.operators import cache, docs, graph, imports, incremental, passes, retrieval, scan, symbols, wiki
+from siltworks.operators import cache, docs, graph, imports, incremental, passes, ranges, retrieval, scan, symbols, wiki
 from siltworks.plans import oracles
 from siltworks.project import Project
 from siltworks.sources import project as helpers
@@ -464,8 +464,8 @@ def project_totals(spark, d):
 @query("SELECT 'n' || s_nationkey AS module, count(*) AS files, row_number() OVER (ORDER BY count(*) DESC, 'n' || s_nationkey) AS place FROM supplier GROUP BY s_nationkey")
 def modules_in_order(spark, d):
     """The modules of a project, the one with most files first."""
-    rows = _project(spark, d).modules().select("module", "files").collect()  # a page's list: one row a module
-    return spark.createDataFrame([(r.module, r.files, i + 1) for i, r in enumerate(rows)], "module string, files long, place long")
+    placed = ranges.numbered(_project(spark, d).modules().select("module", "files"), [F.desc("files"), F.col("module")], "place")
+    return placed.withColumn("place", F.col("place") + 1)
 
 
 @query(f"WITH {oracles._SYN}, {oracles._MODS} SELECT 'index' AS page_id, 'Overview' AS title UNION ALL SELECT 'symbols', 'Symbols' UNION ALL SELECT 'dependencies', 'Dependencies' WHERE EXISTS (FROM mods) UNION ALL SELECT DISTINCT 'modules/n' || n, 'n' || n FROM sup")

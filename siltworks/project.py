@@ -30,6 +30,7 @@ class Project:
     def __init__(self, spark: SparkSession, files: DataFrame, name: str, rules: list | None = None, config: helpers.Config | None = None, exclude: tuple = (), cache: str | None = None):
         self.spark, self.name, self.config, self.cache = spark, name, config or helpers.Config(), cache
         self.progress: list[str] = []
+        self.asked: list[DataFrame] = []
         judged = scan.with_reason(files, self.config.max_file_size, rules, exclude, raw="raw")
         self.scanned = graph.written(scan.cap(judged, self.config.max_files).drop("raw"))
 
@@ -145,6 +146,13 @@ class Project:
         store.put(rows)
         return pages, rows
 
+    def usage(self) -> DataFrame:
+        """One row: prompts asked so far by document(), calls, tokens and failures."""
+        rows = self.spark.createDataFrame([], completion.ASKED)
+        for more in self.asked:
+            rows = rows.unionByName(more)
+        return completion.usage(rows)
+
     def progress_since(self, seen: int = 0) -> list[tuple[int, str]]:
         """Steps from the one numbered `seen` on; the last is "done"."""
         return list(enumerate(self.progress))[seen:]
