@@ -84,15 +84,18 @@ def inverse_frequencies(tf: DataFrame, n_chunks: int) -> DataFrame:
 TABLES = ("chunks", "tf", "idf", "norms")
 #: Tokens of all questions up to which they are sent to every task; told by a count.
 FEW_TOKENS = 100_000
-#: Chunks that share a bound a token, about; a question's terms of the first wave; what a score may be off by.
-BLOCK, LEAD, SLACK = 64, 8, 1e-8
+#: Classes of norm a doubling; a question's terms of the first wave; chunks a question probed for each of its k; what a score may be off by.
+CLASSES, LEAD, PROBES, SLACK = 4, 8, 4, 1e-8
+#: Terms by class of norm up to which they are sent to every task.
+FEW_TERMS = 1_000_000
 
 
 class Index:
     """Term counts, inverse frequencies and norms of chunks; tables may be saved and loaded as Parquet.
 
     postings: token, path, chunk, block, u (the token's weight over the chunk's norm); tops: token, block, top (its largest u
-    there). Both are made when a question is asked first.
+    there). A block is a class of norms: in short chunks a token weighs much, and they must not set the bound of long ones.
+    Both are made when a question is asked first.
     """
 
     def __init__(self, chunk_rows: DataFrame, tf: DataFrame, idf: DataFrame, norms: DataFrame | None = None, postings: DataFrame | None = None, tops: DataFrame | None = None):
@@ -122,8 +125,7 @@ class Index:
         """One shuffle: a chunk's weights meet for its norm and leave with it."""
         here = Window.partitionBy("path", "chunk")
         held = self._weights().withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(here))).where("norm > 0 and w <> 0")
-        blocks = max(1, -(-self.chunks.count() // BLOCK))
-        return held.select("token", "path", "chunk", F.pmod(F.xxhash64("path", F.floor(F.col("chunk") / BLOCK)), F.lit(blocks)).alias("block"), (F.col("w") / F.col("norm")).alias("u"))
+        return held.select("token", "path", "chunk", F.floor(F.log2("norm") * CLASSES).cast("int").alias("block"), (F.col("w") / F.col("norm")).alias("u"))
 
     @staticmethod
     def _make_tops(postings: DataFrame) -> DataFrame:
@@ -177,8 +179,8 @@ def _asked(index: Index, questions: DataFrame) -> tuple[DataFrame, object]:
 
 
 def _met(index: Index, terms: DataFrame, few) -> DataFrame:
-    """question, path, chunk, block, part: what the terms (question, token, q) add to the score of each chunk that holds one."""
-    return index.postings.join(few(terms), "token").groupBy("question", "path", "chunk", "block").agg(F.sum(F.col("q") * F.col("u")).alias("part"))
+    """question, path, chunk, part: what the terms (question, token, q) add to the score of each chunk that holds one."""
+    return index.postings.join(few(terms), "token").groupBy("question", "path", "chunk").agg(F.sum(F.col("q") * F.col("u")).alias("part"))
 
 
 def _scores(index: Index, pairs: DataFrame, asked: DataFrame, few) -> DataFrame:
@@ -188,30 +190,32 @@ def _scores(index: Index, pairs: DataFrame, asked: DataFrame, few) -> DataFrame:
 
 
 def waves(index: Index, questions: DataFrame, k: int = 5) -> dict[str, DataFrame]:
-    """The two waves of retrieve(): lead terms and needed terms (question, token, q), candidates (question, path, chunk), asked terms.
+    """The two waves of retrieve(): lead terms and needed terms (question, token, q, by block), candidates (question, path, chunk), asked terms.
 
-    Wave one meets the LEAD terms of each question with the largest bounds; the exact scores of the k best chunks found
-    so give a score that k chunks reach. Terms whose bounds, smallest first, add up to less than that can't lift a
-    chunk to it alone: wave two meets the other ones only, and keeps a chunk if its part and the bounds of the rest, in
-    its block, reach the score. Nothing that could be among the k best is left out.
+    Wave one meets the LEAD heaviest terms of each question; the exact scores of the best chunks found so give a score that
+    k chunks reach. Terms whose bounds in a block, smallest first, add up to less than that can't lift a chunk of the
+    block to it alone: wave two meets the other ones only, and keeps a chunk if its part and the bounds of the rest reach
+    the score. Nothing that could be among the k best is left out.
     """
     asked, few = _asked(index, questions)
-    best = index.tops.groupBy("token").agg(F.max("top").alias("top"))
-    terms = written(few(asked).join(best, "token").select("question", "token", "q", (F.abs("q") * F.col("top")).alias("bound")))
     by_question = Window.partitionBy("question")
-    lead = terms.withColumn("place", F.row_number().over(by_question.orderBy(F.desc("bound"), "token"))).where(F.col("place") <= LEAD)
-    first = _met(index, lead.select("question", "token", "q"), few)
-    probes = first.withColumn("place", F.row_number().over(by_question.orderBy(F.desc("part"), "path", "chunk"))).where(F.col("place") <= k)
+    lead = asked.withColumn("place", F.row_number().over(by_question.orderBy(F.desc(F.abs("q")), "token"))).where(F.col("place") <= LEAD).select("question", "token", "q")
+    first = _met(index, lead, few)
+    probes = first.withColumn("place", F.row_number().over(by_question.orderBy(F.desc("part"), "path", "chunk"))).where(F.col("place") <= PROBES * k)
     probed = _scores(index, written(probes.select("question", "path", "chunk")), asked, few)
-    reached = written(probed.groupBy("question").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("question", F.when(F.col("n") >= k, F.col("least") - SLACK).otherwise(0.0).alias("reached")))
-    under = F.sum("bound").over(by_question.orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0))
-    judged = written(few(terms.withColumn("under", under)).join(reached, "question").withColumn("needed", F.col("under") >= F.col("reached")))
-    needed, rest = (judged.where(c).select("question", "token", "q") for c in ("needed", "not needed"))
-    second = _met(index, needed, few)
-    spare = few(rest).join(index.tops, "token").groupBy("question", "block").agg(F.sum(F.abs("q") * F.col("top")).alias("spare"))
-    kept = second.join(spare, ["question", "block"], "left").join(F.broadcast(reached) if few is F.broadcast else reached, "question")
-    candidates = kept.where(F.col("part") + F.coalesce("spare", F.lit(0.0)) >= F.col("reached")).select("question", "path", "chunk")
-    return {"asked": asked, "lead": lead.select("question", "token", "q"), "needed": needed, "candidates": candidates, "few": few}
+    placed = probed.withColumn("place", F.row_number().over(by_question.orderBy(F.desc("score")))).where(F.col("place") == k)
+    reached = placed.select("question", (F.col("score") - SLACK).alias("reached"))
+    terms = few(asked).join(index.tops, "token").select("question", "token", "q", "block", (F.abs("q") * F.col("top")).alias("bound"))
+    in_block = Window.partitionBy("question", "block")
+    under = F.sum("bound").over(in_block.orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0))
+    judged = terms.withColumn("under", under).join(reached, "question", "left").withColumn("reached", F.coalesce("reached", F.lit(0.0)))
+    judged = judged.withColumn("needed", F.col("under") >= F.col("reached"))
+    judged = written(judged.withColumn("spare", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))).over(in_block), F.lit(0.0))))
+    needed = judged.where("needed").select("question", "token", "block", "q", "spare", "reached")
+    sent = F.broadcast if few is F.broadcast and judged.count() <= FEW_TERMS else (lambda df: df)
+    second = index.postings.join(sent(needed), ["token", "block"]).groupBy("question", "path", "chunk").agg(F.sum(F.col("q") * F.col("u")).alias("part"), F.first("spare").alias("spare"), F.first("reached").alias("reached"))
+    candidates = second.where(F.col("part") + F.col("spare") >= F.col("reached")).select("question", "path", "chunk")
+    return {"asked": asked, "lead": lead, "needed": needed, "candidates": candidates, "few": few}
 
 
 def retrieve(index: Index, questions: DataFrame, k: int = 5) -> DataFrame:
