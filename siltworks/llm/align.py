@@ -233,10 +233,11 @@ LINKS = """
 CREATE OR REPLACE TEMP TABLE links AS SELECT a.e, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.e >= b.e WHERE a.e = b.e;
 CREATE OR REPLACE TEMP TABLE told AS SELECT d.doc, (l.a::BIGINT << 32) | l.b AS pair, count(*) AS n FROM links l ASOF JOIN d ON l.e <= d.e GROUP BY ALL
 """
-#: A side's tokens in order: whether its group ends with it, and how many groups ended before.
+#: A side's tokens in order: whether its group ends with it, and how many groups ended before. Without an order of its own
+#: the window runs over the rows as they come, which they do in order; groups_text() checks that.
 NUMBERED = """
-SELECT id, cut, (sum(cut) OVER (ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - cut AS g
-FROM (SELECT t.e, t.id, (l.e IS NOT NULL)::INT AS cut FROM {} t LEFT JOIN links l ON l.e = t.e ORDER BY t.e) t
+SELECT e, id, cut, (sum(cut) OVER ({order}ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - cut AS g
+FROM (SELECT t.e, t.id, (l.e IS NOT NULL)::INT AS cut FROM {side} t LEFT JOIN links l ON l.e = t.e ORDER BY t.e) t
 """
 #: Decimal ids, each with room for what stands behind it.
 _DECIMALS: dict[int, Vocabulary] = {}
@@ -248,9 +249,16 @@ def _decimals(most: int) -> Vocabulary:
     return _DECIMALS[most]
 
 
+def _numbered(con, side: str) -> dict[str, np.ndarray]:
+    told = con.execute(NUMBERED.format(side=side, order="")).fetchnumpy()
+    if (np.diff(told["e"]) <= 0).any():
+        told = con.execute(NUMBERED.format(side=side, order="ORDER BY e ") + " ORDER BY e").fetchnumpy()
+    return told
+
+
 def groups_text(con, n_left: int, n_right: int) -> tuple[memoryview, np.ndarray, np.ndarray]:
     """The groups of a part as text, `a1,a2|b1;` one after the other; where each token begins there (tokens group by group, left before right), and its group."""
-    left, right = (con.execute(NUMBERED.format(side)).fetchnumpy() for side in ("a", "b"))
+    left, right = (_numbered(con, side) for side in ("a", "b"))
     counts = [np.bincount(side["g"], minlength=int(left["g"][-1]) + 1) for side in (left, right)]
     before = [np.cumsum(c) - c for c in counts]
     n, place = len(left["g"]) + len(right["g"]), []
