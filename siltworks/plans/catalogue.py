@@ -195,7 +195,9 @@ SNIPPETS = {
 
 @query
 def snippet_symbols(spark, d):
-    rows = spark.createDataFrame([(f"snippet.{k}", k, v) for k, v in SNIPPETS.items()], "path string, language string, content string")
+    """Each supplier has a file of each snippet."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("language"), F.lit(v).alias("content")) for k, v in SNIPPETS.items())))
+    rows = V.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), each.alias("r")).select(F.concat(F.lit("snippet"), "k", F.lit("."), "r.language").alias("path"), "r.language", "r.content")
     return symbols.extract(rows).select("path", "ord", "name", "kind", "line", "end_line", "visibility")
 
 

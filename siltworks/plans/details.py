@@ -5,6 +5,7 @@ Their inputs are made from whole tables by a rule, one file a row, and their SQL
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -300,12 +301,13 @@ def overview_page(spark, d):
     return passes.overview_page(answer, scan_counts(spark, d), "unnamed")
 
 
-_GUIDE = '{"introduction": "Start here.", "steps": [{"order": 1, "title": "Main", "files": ["a.py", "b.py"], "explanation": "It runs.", "time_estimate": "5 min"}, {"title": "Rest"}], "tips": ["slowly"]}'
+_GUIDE = '{"introduction": "NN files.", "steps": [{"order": 1, "title": "Main", "files": ["a.py", "b.py"], "explanation": "It runs.", "time_estimate": "5 min"}, {"title": "Rest"}], "tips": ["slowly"]}'
 
 
-@query("SELECT 'reading-guide' AS page_id, '# Reading Guide' || chr(10) || chr(10) || 'Start here.' || chr(10) || chr(10) || '## Steps' || chr(10) || '1. **Main** (5 min)' || chr(10) || '   It runs.' || chr(10) || '   `a.py`, `b.py`' || chr(10) || '2. **Rest**' || chr(10) || chr(10) || '## Tips' || chr(10) || '- slowly' AS content")
+@query("SELECT 'reading-guide' AS page_id, '# Reading Guide' || chr(10) || chr(10) || count(*) || ' files.' || chr(10) || chr(10) || '## Steps' || chr(10) || '1. **Main** (5 min)' || chr(10) || '   It runs.' || chr(10) || '   `a.py`, `b.py`' || chr(10) || '2. **Rest**' || chr(10) || chr(10) || '## Tips' || chr(10) || '- slowly' AS content FROM supplier")
 def guide_page(spark, d):
-    rows = spark.createDataFrame([("guide", _GUIDE), ("none", '{"steps": []}')], "key string, json string")
+    n = V.table(spark, d, "supplier").agg(F.count("*").cast("string").alias("n"))
+    rows = n.select(F.explode(F.array(F.struct(F.lit("guide").alias("key"), F.replace(F.lit(_GUIDE), F.lit("NN"), F.col("n")).alias("json")), F.struct(F.lit("none").alias("key"), F.lit('{"steps": []}').alias("json")))).alias("r")).select("r.*")
     return passes.guide_page(_answers(rows, passes.GUIDE).select("d"))
 
 
@@ -425,20 +427,37 @@ def files_parsed(spark, d):
     return spark.createDataFrame(told, "step long, parsed long, removed long")
 
 
-_MODELS = [("deepseek/deepseek-chat", "", ""), ("x/y", "sk-or-1", ""), ("m", "k", "http://h/v1/"), ("anthropic/claude", "k", ""), ("plain", "", ""), ("gemini/g/h", "", "")]
+# Model, key and address as configured, and what they must come to.
+_MODELS = [("deepseek/deepseek-chat", "", "", "https://api.deepseek.com", "deepseek-chat"), ("x/y", "sk-or-1", "", "https://openrouter.ai/api/v1", "x/y"), ("m", "k", "http://h/v1/", "http://h/v1", "m"), ("anthropic/claude", "k", "", "https://api.anthropic.com/v1", "claude"), ("plain", "", "", "https://api.openai.com/v1", "plain"), ("gemini/g/h", "", "", "https://generativelanguage.googleapis.com/v1beta", "g")]
+_TOLD = f"[{', '.join(repr(m[3]) for m in _MODELS)}][s_suppkey % 6 + 1] || '/chat/completions' AS address, [{', '.join(repr(m[4]) for m in _MODELS)}][s_suppkey % 6 + 1] || CASE s_suppkey % 6 WHEN 0 THEN '' WHEN 3 THEN '' WHEN 5 THEN '' ELSE s_suppkey::VARCHAR END AS model"
 
 
-@query("SELECT n, address, model FROM (VALUES (0::BIGINT, 'https://api.deepseek.com/chat/completions', 'deepseek-chat'), (1, 'https://openrouter.ai/api/v1/chat/completions', 'x/y'), (2, 'http://h/v1/chat/completions', 'm'), (3, 'https://api.anthropic.com/v1/chat/completions', 'claude'), (4, 'https://api.openai.com/v1/chat/completions', 'plain'), (5, 'https://generativelanguage.googleapis.com/v1beta/chat/completions', 'g')) t(n, address, model)")
-def endpoints(spark, d):
-    return spark.createDataFrame([(i, *helpers.endpoint(*m)) for i, m in enumerate(_MODELS)], "n long, address string, model string")
+def _by_python(rows: DataFrame, names: list[str], work, schema: str) -> DataFrame:
+    """key and the strings that a helper of the driver's makes of a row's strings."""
+
+    def run(batches):
+        for batch in batches:
+            out = [work(*row) for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else [[]] * (schema.count(",")))) ], names=[c.split()[0] for c in schema.split(", ")])
+
+    return rows.select("key", *names).mapInArrow(run, schema)
 
 
-_KEYS = ["0123456789abcdef", "0123456789ab", "0123456789abc", ""]
+@query(f"SELECT s_suppkey AS key, {_TOLD} FROM supplier")
+def endpoints(spark, d):
+    """Each supplier a configuration; models that are passed on whole have its key behind them."""
+    k = F.col("s_suppkey")
+    whole = F.when((k % 6).isin(1, 2, 4), k.cast("string")).otherwise("")
+    rows = V.table(spark, d, "supplier").select(k.alias("key"), F.concat(_by_rule("s_suppkey", [m[0] for m in _MODELS]), whole).alias("model"), *(_by_rule("s_suppkey", [m[i] for m in _MODELS]).alias(n) for i, n in ((1, "api_key"), (2, "api_base"))))
+    return _by_python(rows, ["model", "api_key", "api_base"], helpers.endpoint, "key long, address string, model string")
 
 
-@query("SELECT n, masked FROM (VALUES (0::BIGINT, '01234567...cdef'), (1, '***'), (2, '01234567...9abc'), (3, '***')) t(n, masked)")
+@query("WITH k AS (SELECT s_suppkey AS key, substr(sha256(s_suppkey::VARCHAR), 1, (s_suppkey % 20)::INT) AS secret FROM supplier) SELECT key, CASE WHEN length(secret) <= 12 THEN '***' ELSE substr(secret, 1, 8) || '...' || substr(secret, length(secret) - 3) END AS masked FROM k")
 def masked_keys(spark, d):
-    return spark.createDataFrame([(i, helpers.mask(k)) for i, k in enumerate(_KEYS)], "n long, masked string")
+    """Keys of 0 to 19 characters."""
+    k = F.col("s_suppkey")
+    rows = V.table(spark, d, "supplier").select(k.alias("key"), F.substr(F.sha2(k.cast("string"), 256), F.lit(1), (k % 20).cast("int")).alias("secret"))
+    return _by_python(rows, ["secret"], lambda s: (helpers.mask(s),), "key long, masked string")
 
 
 # ---- a whole project over the synthetic modules ----------------------------------------------------------------------

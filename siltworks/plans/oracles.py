@@ -99,11 +99,11 @@ ORACLES = {
     "exports": f"WITH {_SYN} SELECT path, string_agg(name, ',' ORDER BY ord) AS exports FROM sym WHERE visibility = 'public' GROUP BY path",
     "call_graph": f"WITH {_SYN} SELECT DISTINCT c.path AS from_file, c.name AS from_symbol, s.path AS to_file, s.name AS to_symbol FROM calls c JOIN sym s ON s.name = c.called WHERE c.path <> s.path",
     "ambiguous_names": f"WITH {_SYN} SELECT name, count(*) AS n FROM sym GROUP BY name HAVING count(*) > 1",
-    "snippet_symbols": """SELECT 'snippet.' || a AS path, b::BIGINT AS ord, c AS name, d AS kind, e::BIGINT AS line, f::BIGINT AS end_line, g AS visibility FROM (VALUES
+    "snippet_symbols": """SELECT 'snippet' || s_suppkey || '.' || a AS path, b::BIGINT AS ord, c AS name, d AS kind, e::BIGINT AS line, f::BIGINT AS end_line, g AS visibility FROM (VALUES
 ('rust', 0, 'open', 'function', 1, 3, 'public'), ('rust', 1, 'Point', 'struct', 4, 6, 'private'), ('rust', 2, 'Shape', 'enum', 7, 7, 'public'), ('rust', 3, 'fn', 'constant', 8, 8, 'private'), ('rust', 4, 'len', 'method', 10, 12, 'public'), ('rust', 5, 'twice', 'macro', 14, 14, 'private'),
 ('typescript', 0, 'Box', 'class', 1, 5, 'public'), ('typescript', 1, 'fill', 'method', 2, 4, 'private'), ('typescript', 2, 'pour', 'method', 3, 3, 'public'), ('typescript', 3, 'add', 'function', 6, 8, 'public'), ('typescript', 4, 'plain', 'function', 7, 8, 'private'), ('typescript', 5, 'Shape', 'interface', 9, 10, 'private'), ('typescript', 6, 'Id', 'type_alias', 11, 11, 'private'),
 ('go', 0, 'Open', 'function', 3, 4, 'public'), ('go', 1, 'fill', 'method', 5, 6, 'private'), ('go', 2, 'Box', 'struct', 7, 8, 'public'), ('go', 3, 'Shape', 'interface', 9, 10, 'public'), ('go', 4, 'Id', 'type_alias', 11, 11, 'public'),
-('java', 0, 'Box', 'class', 1, 6, 'public'), ('java', 1, 'size', 'constant', 2, 2, 'private'), ('java', 2, 'fill', 'method', 3, 5, 'public'), ('java', 3, 'pour', 'method', 4, 4, 'public'), ('java', 4, 'Shape', 'interface', 7, 8, 'public')) t(a, b, c, d, e, f, g)""",
+('java', 0, 'Box', 'class', 1, 6, 'public'), ('java', 1, 'size', 'constant', 2, 2, 'private'), ('java', 2, 'fill', 'method', 3, 5, 'public'), ('java', 3, 'pour', 'method', 4, 4, 'public'), ('java', 4, 'Shape', 'interface', 7, 8, 'public')) t(a, b, c, d, e, f, g), supplier""",
     "pagerank_trade": f"WITH RECURSIVE {_pagerank('SELECT n_nationkey::BIGINT AS node FROM nation', 'SELECT * FROM trade', f'trade AS ({_TRADE})')} SELECT node, round(score, 6) AS score FROM final",
     "degrees": f"WITH {_USERS}, nodes AS (SELECT src AS node FROM ue UNION SELECT dst FROM ue) SELECT node, (SELECT count(*) FROM ue WHERE dst = node) AS n_in, (SELECT count(*) FROM ue WHERE src = node) AS n_out FROM nodes",
     "entry_points": f"WITH {_SYN}, {_DEG} SELECT node, n_in, n_out FROM deg WHERE n_in <= 1 AND n_out > 0",
