@@ -67,17 +67,29 @@ class Pivots:
         points = sample if len(sample) else np.zeros((1, sample.shape[1]))
         centres = points[rng.choice(len(points), min(pivots, len(points)), replace=False)]
         for _ in range(6):
-            near = np.argmin(self._apart(points, centres), axis=1)
+            near, _ = self._nearest(points, centres)
             centres = np.stack([points[near == p].mean(axis=0) if (near == p).any() else centres[p] for p in range(len(centres))])
         self.at, self.rings = np.floor(centres), rings
-        apart = self._apart(points, self.at)
-        near = np.argmin(apart, axis=1)
-        own = apart[np.arange(len(points)), near]
+        near, own = self._nearest(points, self.at)
         self.edges = np.stack([np.quantile(own[near == p], np.linspace(0, 1, rings + 1)[1:-1]) if (near == p).any() else np.zeros(rings - 1) for p in range(len(self.at))])
 
     @staticmethod
     def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T, 0))
+        out = np.empty((len(a), len(b)))
+        for at in range(0, len(a), QUERY_BLOCK):  # temporaries stay small beside the result
+            part = a[at : at + QUERY_BLOCK]
+            out[at : at + QUERY_BLOCK] = np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * part @ b.T, 0))
+        return out
+
+    @classmethod
+    def _nearest(cls, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of a, which row of b is nearest and how far it is; some rows at a time."""
+        found = [(np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(a), QUERY_BLOCK):
+            apart = cls._apart(a[at : at + QUERY_BLOCK], b)
+            near = np.argmin(apart, axis=1)
+            found.append((near, apart[np.arange(len(near)), near]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         width = max(x.shape[1], self.at.shape[1])
@@ -85,9 +97,8 @@ class Pivots:
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Annulus of each row and its distance to that annulus's pivot."""
-        apart = self.distances(x)
-        near = np.argmin(apart, axis=1)
-        own = apart[np.arange(len(x)), near]
+        width = max(x.shape[1], self.at.shape[1])
+        near, own = self._nearest(_wider(x, width), _wider(self.at, width))
         return near * self.rings + (own[:, None] > self.edges[near]).sum(axis=1), own
 
 
@@ -98,15 +109,17 @@ class Bounds:
         self.pivots = pivots
         self.ids = np.array([r.annulus for r in rows], np.int64)
         self.count = np.array([r.n for r in rows], np.int64)
-        self.salts = np.maximum(1, -(-self.count // (BLOCK * TASK_BLOCKS)))
+        self.of = self.ids // pivots.rings
+        #: Pivots that hold vectors, the first annulus of each, and among how many tasks its blocks are dealt.
+        self.held, self.starts = np.unique(self.of, return_index=True)
+        self.salts = np.maximum(1, -(-(np.add.reduceat(self.count, self.starts) if len(self.ids) else self.count) // (BLOCK * TASK_BLOCKS)))
         self.low, self.high, self.norm = (np.array([r[k] for r in rows]) for k in ("low", "high", "norm"))
 
     def highest(self, q: np.ndarray) -> np.ndarray:
         """[queries, annuli] upper bounds of inner products, with room for rounding."""
-        at = self.ids // self.pivots.rings
-        apart = self.pivots.distances(q)[:, at]
+        apart = self.pivots.distances(q)[:, self.of]
         width = max(q.shape[1], self.pivots.at.shape[1])
-        inner = (_wider(q, width) @ _wider(self.pivots.at, width).T)[:, at]
+        inner = (_wider(q, width) @ _wider(self.pivots.at, width).T)[:, self.of]
         size = np.sqrt((q * q).sum(axis=1))[:, None]
         # Distances are known to about a millionth of the vectors' sizes.
         slack = 1e-6 * (size + self.norm[None] + 1)
@@ -117,6 +130,13 @@ class Bounds:
         best = np.minimum(np.minimum(by_gap, by_pivot), by_norm)
         return best + 1e-6 * (np.abs(best) + size * self.norm[None]) + 1
 
+    def rings(self, visited: np.ndarray) -> np.ndarray:
+        """[queries, held pivots]: the visited rings of each, one bit a ring, of [queries, annuli]."""
+        return np.add.reduceat(visited * (1 << self.ids % self.pivots.rings), self.starts, axis=1)
+
+    def dealt(self, pivot: int) -> int:
+        return int(self.salts[np.searchsorted(self.held, pivot)])
+
 
 def build(vectors: DataFrame) -> tuple[DataFrame, DataFrame, Bounds]:
     """Index scaled() vectors: (vectors with their annulus, block rows, bounds). Both tables are written to the shared folder."""
@@ -141,7 +161,8 @@ def build(vectors: DataFrame) -> tuple[DataFrame, DataFrame, Bounds]:
             at = 0
             while at < len(annulus):
                 to = min(at + BLOCK, int(np.searchsorted(annulus, annulus[at], side="right")))
-                yield _packed(batch.slice(at, to - at), int(annulus[at]), number % int(bounds.salts[np.searchsorted(bounds.ids, annulus[at])]))
+                pivot, ring = divmod(int(annulus[at]), pivots.rings)
+                yield _packed(batch.slice(at, to - at), pivot, ring, number % bounds.dealt(pivot))
                 at, number = to, number + 1
 
     # Sorted as a whole, so that a block holds neighbours in distance and no annulus has to fit one task.
@@ -149,12 +170,12 @@ def build(vectors: DataFrame) -> tuple[DataFrame, DataFrame, Bounds]:
     return placed, materialize(ordered.mapInArrow(cut, PACKED), "blocks"), bounds
 
 
-PACKED = "annulus long, salt long, n long, ids binary, vecs binary"
+PACKED = "pivot long, ring long, salt long, n long, ids binary, vecs binary"
 
 
-def _packed(rows: pa.RecordBatch, annulus: int, salt: int) -> pa.RecordBatch:
+def _packed(rows: pa.RecordBatch, pivot: int, ring: int, salt: int) -> pa.RecordBatch:
     x = _matrix(rows.column("vec"))
-    return pa.RecordBatch.from_arrays([pa.array([annulus]), pa.array([salt]), pa.array([len(x)]), pa.array([rows.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["annulus", "salt", "n", "ids", "vecs"])
+    return pa.RecordBatch.from_arrays([pa.array([pivot]), pa.array([ring]), pa.array([salt]), pa.array([len(x)]), pa.array([rows.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["pivot", "ring", "salt", "n", "ids", "vecs"])
 
 
 def visits(q: np.ndarray, bounds: Bounds, k: int, least: np.ndarray | None = None) -> np.ndarray:
@@ -171,18 +192,19 @@ def visits(q: np.ndarray, bounds: Bounds, k: int, least: np.ndarray | None = Non
 
 
 def _visits(queries: DataFrame, bounds: Bounds, k: int, second: bool) -> DataFrame:
-    """Rows (annulus, vec_id, least, vec) of visits(), some queries at a time."""
+    """Rows (pivot, rings, vec_id, least, vec) of visits(), some queries at a time; a vector goes to a pivot once for all its rings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows if len(bounds.ids) else 0, QUERY_BLOCK):
                 part = batch.slice(at, QUERY_BLOCK)
                 least = part.column("least").to_numpy(zero_copy_only=False) if second else None
-                row, col = np.nonzero(visits(_matrix(part.column("vec")), bounds, k, least))
+                rings = bounds.rings(visits(_matrix(part.column("vec")), bounds, k, least))
+                row, col = np.nonzero(rings)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(bounds.ids[col]), part.column("vec_id").take(pa.array(row)), pa.array(least[row], from_pandas=True) if second else pa.nulls(len(row), pa.float64()), part.column("vec").take(pa.array(row))], names=["annulus", "vec_id", "least", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bounds.held[col]), pa.array(rings[row, col]), part.column("vec_id").take(pa.array(row)), pa.array(least[row], from_pandas=True) if second else pa.nulls(len(row), pa.float64()), part.column("vec").take(pa.array(row))], names=["pivot", "rings", "vec_id", "least", "vec"])
 
-    return queries.mapInArrow(run, "annulus long, vec_id long, least double, vec array<double>")
+    return queries.mapInArrow(run, "pivot long, rings long, vec_id long, least double, vec array<double>")
 
 
 def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -195,27 +217,31 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 def _wave(found: DataFrame, blocks: DataFrame, bounds: Bounds, k: int, asked: int) -> DataFrame:
     """Up to k best (query_id, vec_id, score) of each query and block; ties go to the smaller vec_id.
 
-    found: visits of `asked` queries. A task holds some blocks of an annulus and streams the queries that visit it.
+    found: visits of `asked` queries. A task holds some blocks of a pivot and streams the queries that visit it.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            annulus = batch.column("annulus").to_numpy()
+            pivot = batch.column("pivot").to_numpy()
             at = 0
-            while at < len(annulus):
-                to = min(at + QUERY_BLOCK, int(np.searchsorted(annulus, annulus[at], side="right")))
+            while at < len(pivot):
+                to = min(at + QUERY_BLOCK, int(np.searchsorted(pivot, pivot[at], side="right")))
                 part = batch.slice(at, to - at)
                 x = _matrix(part.column("vec"))
                 least = np.nan_to_num(part.column("least").to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
-                salts = int(bounds.salts[np.searchsorted(bounds.ids, annulus[at])])
-                yield pa.RecordBatch.from_arrays([pa.array([int(annulus[at])]), pa.array([salts]), pa.array([part.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([least.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["annulus", "salts", "q_ids", "q_least", "q_vecs"])
+                rings = part.column("rings").to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([int(pivot[at])]), pa.array([bounds.dealt(int(pivot[at]))]), pa.array([part.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([rings.tobytes()], pa.binary()), pa.array([least.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["pivot", "salts", "q_ids", "q_rings", "q_least", "q_vecs"])
                 at = to
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (x for at in range(batch.num_rows) for x in batch.slice(at, 1).to_pylist()):
                 ids, q_ids, least = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_least"])
                 v, q = np.frombuffer(r["vecs"]).reshape(len(ids), -1), np.frombuffer(r["q_vecs"]).reshape(len(q_ids), -1)
+                here = np.flatnonzero(np.frombuffer(r["q_rings"], np.int64) >> r["ring"] & 1)
+                if not len(here):
+                    continue
+                q_ids, least, q = q_ids[here], least[here], q[here]
                 width = max(v.shape[1], q.shape[1])
                 s = _exact(_wider(q, width), _wider(v, width))
                 own = q_ids[:, None] == ids[None]
@@ -232,9 +258,10 @@ def _wave(found: DataFrame, blocks: DataFrame, bounds: Bounds, k: int, asked: in
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[col]), pa.array(s[row, col])], names=["query_id", "vec_id", "score"])
 
     deal = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked // TASK_QUERIES))))
-    packed = found.repartition("annulus", deal).sortWithinPartitions("annulus", "vec_id").mapInArrow(gather, "annulus long, salts long, q_ids binary, q_least binary, q_vecs binary")
+    packed = found.repartition("pivot", deal).sortWithinPartitions("pivot", "vec_id").mapInArrow(gather, "pivot long, salts long, q_ids binary, q_rings binary, q_least binary, q_vecs binary")
     right = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    pairs = blocks.join(right, ["annulus", "salt"]).select("ids", "vecs", "q_ids", "q_least", "q_vecs")
+    # Always a merge join: sizes are judged before vectors are packed and repeated by pivot, so either side may look small.
+    pairs = blocks.join(right.hint("merge"), ["pivot", "salt"]).select("ring", "ids", "vecs", "q_ids", "q_rings", "q_least", "q_vecs")
     return pairs.mapInArrow(score, "query_id long, vec_id long, score long")
 
 

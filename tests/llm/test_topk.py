@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from siltworks.llm.topk import MOST_PIVOTS, build, pivots_for, scaled, search, visits
+from siltworks.llm.topk import MOST_PIVOTS, _visits, _wave, build, pivots_for, scaled, search, visits
 
 
 def brute(rows, every, k):
@@ -63,3 +63,16 @@ def test_bounds_prune_clustered_vectors(spark):
 
 def test_pivots_grow_with_the_rows():
     assert [pivots_for(n) for n in (0, 500, 5130, 10**6, 10**9)] == [8, 8, 23, 333, MOST_PIVOTS]
+
+
+def test_no_side_of_the_search_is_broadcast(spark):
+    """Vectors repeated by pivot are far larger than the sizes Spark knows of; sent to the driver whole they filled it."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(400, 8)).tolist())], "vec_id long, embedding array<double>")
+    placed, blocks, bounds = build(scaled(df))
+    queries = placed.where("vec_id % 10 = 0").select("vec_id", "vec", F.lit(None).cast("double").alias("least"))
+    found = _visits(queries, bounds, 10, second=True)
+    assert found.count() == 40 * len(bounds.held) < 40 * len(bounds.ids)  # all visit all: a vector goes to a pivot once
+    plan = _wave(found, blocks, bounds, 10, 40)
+    plan.collect()
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
