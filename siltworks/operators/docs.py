@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.sources.pages import write_pages
+from siltworks.functions.batches import frugal, text_slices
 from siltworks.functions.columns import strip_md_links
 
 
@@ -39,11 +40,11 @@ def linked(pages: DataFrame, targets: DataFrame) -> DataFrame:
     own = links(pages, targets).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("span", "target"))).alias("_links"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [link_text(i, c or "", dict(m or [])) for i, c, m in zip(*(batch.column(n).to_pylist() for n in ("page_id", "content", "_links")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.string())], names=["page_id", "content"])
+        for part in text_slices(batches, "content"):
+            out = [link_text(i, c or "", dict(m or [])) for i, c, m in zip(*(part.column(n).to_pylist() for n in ("page_id", "content", "_links")), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(out, pa.string())], names=["page_id", "content"])
 
-    return pages.select("page_id", "content").join(own, "page_id", "left").mapInArrow(run, "page_id string, content string")
+    return pages.select("page_id", "content").join(own, "page_id", "left").mapInArrow(frugal(run), "page_id string, content string")
 
 
 def href(here: str, there: str) -> str:
@@ -156,11 +157,11 @@ def rendered(pages: DataFrame, known: frozenset = frozenset()) -> DataFrame:
     """page_id, html of pages (page_id, content); known: ids that links may show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("page_id").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([markdown_to_html(c or "", i or "", known) for i, c in zip(ids, batch.column("content").to_pylist(), strict=True)], pa.string())], names=["page_id", "html"])
+        for part in text_slices(batches, "content"):
+            ids = part.column("page_id").to_pylist()
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array([markdown_to_html(c or "", i or "", known) for i, c in zip(ids, part.column("content").to_pylist(), strict=True)], pa.string())], names=["page_id", "html"])
 
-    return pages.select("page_id", "content").mapInArrow(run, "page_id string, html string")
+    return pages.select("page_id", "content").mapInArrow(frugal(run), "page_id string, html string")
 
 
 def export_json(pages: DataFrame, sidebar: str, name: str, path: str) -> bool:
