@@ -283,7 +283,8 @@ def retrieve_top5(spark, d):
 @query
 def rag_context(spark, d):
     index, asked = _index(spark, d), _questions(spark, d)
-    return retrieval.context(retrieval.retrieve(index, asked), index.chunks, asked).select("question", F.sha2("context", 256).alias("context_sha256"))
+    found = graph.written(retrieval.retrieve(index, asked))
+    return retrieval.context(found, index.passages(found), asked).select("question", F.sha2("context", 256).alias("context_sha256"))
 
 
 @query
