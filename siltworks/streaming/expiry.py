@@ -1,71 +1,56 @@
-"""A key-value stream whose entries expire: keyed state that holds the newest value of each live key and lets go of the others."""
+"""A key-value stream whose entries expire: a bucketed table is the keyed state, with the newest value of each key and whether it is gone."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltworks.sources.buckets import BucketTable
 
-CHANGES = "key string, value string, at timestamp, tie long, gone boolean"
+COLUMNS = ("key", "value", "at", "tie", "us", "gone", "step")
+
+
+def _clock(us: Column, lateness: str) -> Column:
+    """The latest time less the lateness, in milliseconds."""
+    return F.floor(F.unix_micros(F.timestamp_micros(F.max(us)) - F.expr(f"INTERVAL {lateness}")) / 1000)
 
 
-def live_changes(puts: DataFrame, ttl_seconds: int, lateness: str = "0 seconds") -> DataFrame:
-    """Changes of the live entries: a row for each newer value (gone false) and, once it is older than ttl_seconds, one that it goes.
+def changes(puts: DataFrame, held: DataFrame | None, ttl_seconds: int, lateness: str = "0 seconds") -> DataFrame:
+    """What a micro-batch of puts (key, value, at, tie) changes in the entries held: rows as the table has them.
 
-    puts is a stream of key, value, at (timestamp), tie (orders puts of one instant; keys and times are not null). Time is
-    the stream's watermark, the latest `at` less the lateness: puts older than that are passed over, and an entry goes when
-    it lies more than ttl_seconds before it (in milliseconds, as watermarks count). State holds one row a live key.
+    Time is the latest `at` of all puts less the lateness: puts older than it was before the batch are passed over, and an
+    entry is gone when it lies more than ttl_seconds before what it is now (in milliseconds). Rows are worked on as columns,
+    not key by key in Python, so a batch costs what an aggregation of it and a scan of the entries cost.
     """
-    ttl = ttl_seconds * 1000
-
-    def change(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = lambda value, us, tie, gone: pd.DataFrame({"key": [key[0]], "value": [value], "at": pd.to_datetime([us], unit="us"), "tie": [tie], "gone": [gone]})
-        if state.hasTimedOut:
-            value, us, tie = state.get
-            state.remove()
-            yield frame(value, us, tie, True)
-            return
-        held = state.get if state.exists else None
-        best = held
-        for chunk in chunks:
-            for value, us, tie in zip(chunk["value"], chunk["us"], chunk["tie"], strict=True):
-                if best is None or (us, tie) > (best[1], best[2]):
-                    best = (value, int(us), int(tie))
-        if best is None:
-            return
-        clock, until = state.getCurrentWatermarkMs(), best[1] // 1000 + ttl
-        if best != held:
-            yield frame(*best, False)
-        if until <= clock:  # the watermark has passed it already
-            if state.exists:
-                state.remove()
-            yield frame(*best, True)
-        else:
-            state.update(best)
-            state.setTimeoutTimestamp(until)
-
-    keyed = puts.where("key is not null and at is not null").withWatermark("at", lateness).select("key", "value", F.unix_micros("at").alias("us"), F.coalesce("tie", F.lit(0)).cast("long").alias("tie"), "at")
-    return keyed.groupBy("key").applyInPandasWithState(change, CHANGES, "value string, us long, tie long", "append", GroupStateTimeout.EventTimeTimeout)
+    came = puts.where("key is not null and at is not null").select("key", "value", "at", F.coalesce("tie", F.lit(0)).cast("long").alias("tie"), F.unix_micros("at").alias("us"))
+    if held is not None:
+        before = held.agg(_clock(F.col("us"), lateness)).first()[0]
+        if before is not None:
+            came = came.where(F.col("us") >= F.lit(before * 1000))
+    times = came.select("us") if held is None else came.select("us").union(held.select("us"))
+    clock = times.agg(_clock(F.col("us"), lateness)).first()[0]
+    gone = F.floor(F.col("us") / 1000) + ttl_seconds * 1000 < F.lit(clock)
+    rows = came.withColumn("gone", gone)
+    if held is not None:
+        rows = rows.unionByName(held.where(~F.col("gone") & gone).select(*came.columns, F.lit(True).alias("gone")))
+    return rows.withColumn("gone", F.coalesce("gone", F.lit(False))).withColumn("step", F.col("gone").cast("int")).select(*COLUMNS)
 
 
 def run_expiring(spark: SparkSession, puts: DataFrame, table: BucketTable, checkpoint: str, ttl_seconds: int, lateness: str = "0 seconds") -> list[dict]:
     """Bring table (keyed by key) to the puts that have arrived since the last call; gone entries stay marked as gone.
 
-    Gives, by micro-batch, how many rows came in and how many keys the state holds after it.
+    Gives, by micro-batch, how many rows came in and how many keys are live after it.
     """
+    told = []
 
     def merge(rows: DataFrame, number: int) -> None:
-        # An entry that goes in the batch that brought it has two rows: being gone comes last.
-        table.upsert(rows.withColumn("step", F.col("gone").cast("int")), ("at", "tie", "step"), (checkpoint, number))
+        # us is at again: upsert does not compare the columns that it orders by, and a newer put of an equal value must count.
+        table.upsert(changes(rows, table.read(), ttl_seconds, lateness), ("us", "tie", "step"), (checkpoint, number))
+        held = live(table)
+        told.append({"rows": rows.count(), "state": 0 if held is None else held.count()})
 
-    query = live_changes(puts, ttl_seconds, lateness).writeStream.outputMode("append").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return [{"rows": p.numInputRows, "state": sum(s.numRowsTotal for s in p.stateOperators)} for p in query.recentProgress]
+    puts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return told
 
 
 def live(table: BucketTable) -> DataFrame | None:

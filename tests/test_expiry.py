@@ -31,3 +31,23 @@ def test_newest_live_entries_and_state_shrinks(spark, tmp_path):
     before = expiry.live(table).collect()
     assert not any(p["rows"] for p in expiry.run_expiring(spark, stream(), table, str(tmp_path / "state"), 100))
     assert expiry.live(table).collect() == before
+
+
+def test_changes_are_columns(spark):
+    """No Python by key; late puts, equal values and entries at the very edge."""
+    at = lambda s: START + dt.timedelta(seconds=s)
+    put = lambda *rows: spark.createDataFrame([(k, v, at(s), i) for i, (k, v, s) in enumerate(rows)], SCHEMA)
+    first = expiry.changes(put(("a", "1", 0), ("b", "1", 100), ("c", "1", 101)), None, 100)
+    assert {(r.key, r.gone) for r in first.collect()} == {("a", True), ("b", False), ("c", False)}
+    second = expiry.changes(put(("b", "1", 201), ("late", "x", 100), ("d", "1", 101)), first, 100)
+    assert {(r.key, r.gone) for r in second.collect()} == {("b", True), ("b", False), ("d", False)}  # b's old entry goes, its newer put is later
+    plan = second._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and "MapGroups" not in plan
+
+
+def test_an_equal_value_put_again_lives_on(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "t"), ("key",), buckets=2)
+    for second in (0, 90, 170):
+        spark.createDataFrame([("k", "same", START + dt.timedelta(seconds=second), 0)], SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+        told = expiry.run_expiring(spark, spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), table, str(tmp_path / "state"), 100)
+    assert told == [{"rows": 1, "state": 1}] and expiry.live(table).first().at == START + dt.timedelta(seconds=170)
