@@ -46,10 +46,11 @@ def changes(files: DataFrame, table: BucketTable) -> Change:
 
 
 class FileCache:
-    """Flat rows (path, ...) that parse() makes of files, one table a name."""
+    """Flat rows (path, ...) that parse() makes of files, one table a name. nest(), if given, makes path, content_hash, rows of the same
+    files (with content_hash), one row a file, without a shuffle."""
 
-    def __init__(self, spark: SparkSession, folder: str, name: str, parse: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS):
-        self.table, self.parse = BucketTable(spark, f"{folder}/{name}", ("path",), buckets), parse
+    def __init__(self, spark: SparkSession, folder: str, name: str, parse: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS, nest: Callable[[DataFrame], DataFrame] | None = None):
+        self.table, self.parse, self.nest = BucketTable(spark, f"{folder}/{name}", ("path",), buckets), parse, nest
         self.parsed = self.removed = 0
 
     def update(self, files: DataFrame) -> Change:
@@ -57,10 +58,14 @@ class FileCache:
         change = changes(files, self.table)
         self.parsed, self.removed = change.parsed, change.removed
         if change.parsed or change.removed:
-            work = written(change.work)
-            flat = self.parse(work.drop("content_hash"))
-            rows = flat.groupBy("path").agg(F.collect_list(F.struct(*(c for c in flat.columns if c != "path"))).alias("rows"))
-            self.table.replace(work.select("path", "content_hash").join(rows, "path", "left"), change.gone.unionByName(work.select("path")))
+            if self.nest is None:
+                work = written(change.work)
+                flat = self.parse(work.drop("content_hash"))
+                rows = flat.groupBy("path").agg(F.collect_list(F.struct(*(c for c in flat.columns if c != "path"))).alias("rows"))
+                parsed = work.select("path", "content_hash").join(rows, "path", "left")
+            else:
+                work, parsed = change.work, self.nest(change.work)
+            self.table.replace(parsed, change.gone.unionByName(work.select("path")))
             self.table.vacuum()
         return change
 
@@ -81,15 +86,17 @@ class IndexStore:
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.cache = FileCache(spark, self.folder, "chunks", self._parse, buckets)
+        self.cache = FileCache(spark, self.folder, "chunks", self._parse, buckets, self._nest)
         self.df = BucketTable(spark, f"{self.folder}/df", ("token",), buckets)
 
     @staticmethod
     def _parse(files: DataFrame) -> DataFrame:
         """path, chunk, line_start, line_end, content, tokens (array of token, tf) of each chunk."""
-        rows = written(retrieval.chunks(files))
-        counts = retrieval.term_counts(rows, ["path", "chunk"]).groupBy("path", "chunk").agg(F.collect_list(F.struct("token", "tf")).alias("tokens"))
-        return rows.join(counts, ["path", "chunk"], "left")
+        return retrieval.file_rows(files, ["path"]).select("path", F.inline("rows"))
+
+    @staticmethod
+    def _nest(files: DataFrame) -> DataFrame:
+        return retrieval.file_rows(files, ["path", "content_hash"])
 
     @staticmethod
     def _tokens(rows: DataFrame) -> DataFrame:
@@ -131,12 +138,13 @@ class IndexStore:
             return retrieval.Index.build(files)
         rows = held.select("path", F.inline("rows"))
         chunks = rows.select("path", "chunk", "line_start", "line_end", "content")
-        tf = rows.select("path", "chunk", F.inline("tokens"))
+        lists = rows.select("path", "chunk", "tokens")
+        tf = lists.select("path", "chunk", F.inline("tokens"))
         number = f"{self.cache.table.version().number}-{self.df.version().number}"
         at = f"{self.folder}/weights/{number}"
         files_of = self.cache.table.files
         weights = files_of.jvm.Path(at)
-        if not files_of.fs.exists(files_of.jvm.Path(f"{at}/postings/_SUCCESS")):
+        if not files_of.fs.exists(files_of.jvm.Path(f"{at}/norms/_SUCCESS")):
             idf = retrieval.with_idf(df, chunks.count())
             idf.write.mode("overwrite").parquet(f"{at}/idf")
             retrieval.Index.of(chunks, tf, self.spark.read.parquet(f"{at}/idf")).save_weights(at)
@@ -144,4 +152,4 @@ class IndexStore:
             for other in files_of.fs.listStatus(parent):
                 if other.getPath().getName() != number:
                     files_of.fs.delete(other.getPath(), True)
-        return retrieval.Index.with_weights(chunks, tf, at)
+        return retrieval.Index.with_weights(chunks, tf, at, lists)

@@ -18,6 +18,10 @@ from pyspark.sql.types import StructType
 from siltworks.operators.graph import written
 
 BUCKETS = 64
+#: Keys of rows that leave up to which they are sent to every task; told by a count.
+FEW_KEYS = 1_000_000
+#: Files a bucket, on average, beyond which a replacement gathers buckets into one file each again.
+MOST_FILES = 32
 
 
 class Files:
@@ -121,6 +125,12 @@ class BucketTable:
         rows.withColumn("_bucket", self._bucket()).repartition("_bucket").sortWithinPartitions("_bucket", *self.keys).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{folder}")
         return [int(n.removeprefix("_bucket=")) for n in self.files.names(folder) if n.startswith("_bucket=")]
 
+    def _keep(self, rows: DataFrame, number: int) -> list[int]:
+        """Beside what _write() wrote: rows that come from the table, each task's own to their buckets, without a shuffle. The buckets that hold something now."""
+        folder = f"data/v={number}"
+        rows.withColumn("_bucket", self._bucket()).write.mode("append").partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        return [int(n.removeprefix("_bucket=")) for n in self.files.names(folder) if n.startswith("_bucket=")]
+
     def append(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> bool:
         """Add rows beside those that their keys already have; a batch that is in already changes nothing (False)."""
         now = self.version()
@@ -178,8 +188,17 @@ class BucketTable:
         left = written(gone.select(*self.keys).distinct().withColumn("_bucket", self._bucket()))
         touched = {r[0] for r in left.select("_bucket").distinct().collect()}
         folders, kept = dict(now.folders), self.read(now, touched)
-        whole = rows if kept is None else kept.join(left.select(*self.keys), self._same_key(kept, left), "left_anti").select(*rows.columns).unionByName(rows)
-        new = self._write(whole, now.number + 1) if touched else []
+        new = []
+        if touched and kept is not None:
+            keys = left.select(*self.keys)
+            stays = kept.join(F.broadcast(keys) if left.count() <= FEW_KEYS else keys, self._same_key(kept, left), "left_anti").select(*rows.columns)
+            if len(kept.inputFiles()) > MOST_FILES * len(touched):
+                new = self._write(stays.unionByName(rows), now.number + 1)
+            else:
+                self._write(rows, now.number + 1)
+                new = self._keep(stays, now.number + 1)
+        elif touched:
+            new = self._write(rows, now.number + 1)
         folders = {b: held for b, held in folders.items() if int(b) not in touched} | {str(b): [now.number + 1] for b in new}
         self._commit(self._next(now, batch, folders, rows.schema.jsonValue()))
         return len(touched)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltworks.operators import cache
+from siltworks.sources import buckets
 from siltworks.sources.buckets import BucketTable, Files
 from siltworks.streaming import reindex
 
@@ -121,3 +122,22 @@ def test_stream_of_upserts(spark, tmp_path):
     assert [c["changed"] for c in run()] == [1]
     assert run() == []
     assert {r.doc_id: r.seen for r in table.read().collect()} == {None: 1, 1: 2, 2: 1, 3: 1}
+
+
+def test_a_replacement_leaves_other_rows_where_they_are(spark, tmp_path, monkeypatch):
+    """Only rows that come are shuffled; the others go from bucket to bucket, until files grow many."""
+    table = buckets.BucketTable(spark, str(tmp_path / "t"), ("k",), buckets=3)
+    frame = lambda ks, v: spark.createDataFrame([(k, v) for k in ks], "k long, v long")
+    table.replace(frame(range(100), 0), frame(range(100), 0))
+    wrote, write = [], table._write
+    monkeypatch.setattr(table, "_write", lambda rows, number: wrote.append(rows.count()) or write(rows, number))
+    table.replace(frame((1, 1, 200), 1), frame((1, 2, 200), 1))
+    assert wrote == [3]
+    want = sorted([(k, 0) for k in range(100) if k not in (1, 2)] + [(1, 1), (1, 1), (200, 1)])
+    assert sorted(map(tuple, table.read().collect())) == want
+    monkeypatch.setattr(buckets, "MOST_FILES", 0)
+    table.replace(frame((3,), 2), frame((3,), 2))
+    assert wrote[-1] > 1
+    assert sorted(map(tuple, table.read().collect())) == sorted([r for r in want if r[0] != 3] + [(3, 2)])
+    table.replace(frame((), 0), frame(range(300), 0))
+    assert table.read().count() == 0
