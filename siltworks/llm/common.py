@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python worker. Temporaries of a scan are a small multiple of it.
 CHUNK_BYTES = 2 << 20
+#: Bits of bitmap an id in likely(), the fewest (one row of bitmap_construct_agg) and the most, which are 16 MB.
+BITS_AN_ID, FEWEST_BITS, MOST_BITS = 32, 1 << 15, 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,3 +115,22 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread, how: str =
     a = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
+def likely(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key is in ids (one long column), and a few others; an exact join must follow.
+
+    A bitmap of hashed ids is broadcast, so rows that the join would drop are dropped where they are read and do not
+    move. It grows with the number of ids up to MOST_BITS; beyond, more others pass, but never fewer of those in ids.
+    ids is read twice.
+    """
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_AN_ID * ids.count()).bit_length()))
+
+    def place(of: str) -> list:
+        at = F.pmod(F.xxhash64(F.col(of).cast("long")), F.lit(bits))
+        return [F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit")]
+
+    marks = ids.select(*place(ids.columns[0])).repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    met = rows.select("*", *place(key)).join(F.broadcast(marks), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*rows.columns)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import frugal, materialize, salted_join, text_chunks, with_text
+from siltworks.llm.common import frugal, likely, materialize, salted_join, text_chunks, with_text
 from siltworks.llm.components import components
 from siltworks.llm.textcols import lowered, split_words, text_bytes
 
@@ -331,12 +331,13 @@ def _confirm(texts: DataFrame, families: DataFrame, threshold: int) -> DataFrame
 
     A family over BLOCK members is first compared within blocks of about half as many, to each of which go some ANCHORS
     of its members too. That joins nearly all of a true family. What lies outside the family's largest component then
-    meets every block; pairs within that component need no comparison.
+    meets every block; pairs within that component need no comparison. Only texts of members move (likely); texts in no
+    family are most of a corpus.
     """
 
     def links(dealt: DataFrame) -> DataFrame:
         # Always a merge join: a broadcast of the families would fit small corpora only.
-        member = texts.join(dealt.hint("merge"), F.col("doc_id") == F.col("rep"))
+        member = likely(texts, "doc_id", dealt.select("rep")).join(dealt.hint("merge"), F.col("doc_id") == F.col("rep"))
 
         @frugal
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +363,8 @@ def _confirm(texts: DataFrame, families: DataFrame, threshold: int) -> DataFrame
     anchor = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("n")) < ANCHORS
     everywhere = split.where(anchor).select("family", "rep", F.explode(F.sequence(zero, blocks - 1)).alias("low"))
     inside = split.select("family", "rep", "low").union(everywhere).distinct()
-    first = materialize(links(whole.union(inside.select("family", "rep", zero, "low", F.col("low").alias("high")))), "links")
+    blockwise = materialize(whole.union(inside.select("family", "rep", zero, "low", F.col("low").alias("high"))), "blockwise")
+    first = materialize(links(blockwise), "links")
     # Members of split families outside their family's largest component.
     joined = components(first.join(split.select(F.col("rep").alias("u")), "u", "left_semi"))
     placed = split.join(joined, split.rep == joined.node, "left").select("family", "rep", "n", "low", F.coalesce("component", "rep").alias("part"))
@@ -374,4 +376,4 @@ def _confirm(texts: DataFrame, families: DataFrame, threshold: int) -> DataFrame
     rest = told.where("part <> main").withColumn("s", F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("sides")).cast("int"))
     rest = rest.select("family", "rep", zero.alias("side"), F.col("s").alias("low"), F.explode(F.sequence(zero, blocks - 1)).alias("high"))
     rows = told.select("family", "rep", F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("sides") - 1)).alias("s"), F.col("low").alias("high")).withColumnRenamed("s", "low")
-    return first.union(links(rest.union(rows.select("family", "rep", "side", "low", "high"))))
+    return first.union(links(materialize(rest.union(rows.select("family", "rep", "side", "low", "high")), "waiting")))

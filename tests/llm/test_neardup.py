@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from siltworks.llm import neardup
+from siltworks.llm import common, neardup
 from siltworks.llm.components import components
 
 
@@ -69,6 +69,50 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute(rows)
 
 
+def test_large_families_and_others_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BUCKET", 10)
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 15)
+    rng = random.Random(6)
+    rows = family(rng, -30, 60, 80, 9) + family(rng, 100, 40, 60, 6) + family(rng, 200, 5) + [(300 + i, f"{i} " + " ".join(f"q{rng.randrange(9999)}" for _ in range(30))) for i in range(60)]
+    got = neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == brute(rows)
+
+
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_texts_in_no_family_do_not_move(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(7)
+    rows = family(rng, 0, 40, 80, 7) + [(100 + i, " ".join(rng.randbytes(8).hex() for _ in range(2500))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    before = shuffled(spark)
+    got = {r.doc_id: r.component_id for r in neardup.cluster(docs).collect()}
+    moved = shuffled(spark) - before
+    docs.unpersist()
+    assert got == brute(rows[:40]) | {d: d for d, _ in rows[40:]}
+    assert moved < sum(len(t) for _, t in rows) / 4
+
+
+def test_likely_keeps_every_row_of_the_ids(spark, monkeypatch):
+    ids = spark.createDataFrame([(i,) for i in [0, -1, -(2**63), 2**63 - 1, 5, 5, None, *range(1000, 3000, 2)]], "rep long")
+    rows = spark.createDataFrame([(i, "t") for i in [None, 0, 0, -1, -(2**63), 2**63 - 1, 5, 6, *range(1000, 21000)]], "doc_id long, text string").repartition(3)
+    wanted = {0, -1, -(2**63), 2**63 - 1, 5, *range(1000, 3000, 2)}
+    for most in (1 << 27, 1 << 15):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        got = common.likely(rows, "doc_id", ids)
+        assert got.columns == rows.columns
+        found = [r.doc_id for r in got.collect()]
+        assert wanted <= set(found) and found.count(0) == 2 and len(found) < 1007 + 20000 * 0.05
+    assert common.likely(rows, "doc_id", ids.where("rep = 7")).count() == 0
+
+
 def test_empty(spark):
     assert neardup.cluster(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
