@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 #: Bits of bitmap an id in likely(), the fewest (one row of bitmap_construct_agg) and the most, which are 16 MB.
 BITS_AN_ID, FEWEST_BITS, MOST_BITS = 32, 1 << 15, 1 << 27
+#: Rows of a few numbers each (counted) up to which a table is broadcast, beyond it is joined by a shuffle.
+FEW = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,12 +108,15 @@ def with_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread, how: str = "left", salts: int = 32) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread, how: str = "left", salts: int = 32, rows: int | None = None) -> DataFrame:
     """Equi-join whose left side may hold a third of its rows under one key.
 
     Left rows are dealt by (key, hash of spread mod salts); each right row is repeated once per salt.
     Use it where right has one small row a key. It is always a merge join: Spark's size check does not see the repeats.
+    rows: right's number of rows or a bound of it, where known; up to FEW of them are broadcast and nothing is dealt.
     """
+    if rows is not None and rows <= FEW:
+        return left.join(F.broadcast(right), key, how)
     a = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b.hint("merge"), [key, "_salt"], how).drop("_salt")

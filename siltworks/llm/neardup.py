@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import frugal, likely, materialize, salted_join, text_chunks, with_text
-from siltworks.llm.components import components
+from siltworks.llm.components import least_reached, stars
 from siltworks.llm.textcols import lowered, split_words, text_bytes
 
 WIDTH = 5
@@ -286,14 +286,16 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     bands, rows, least = plan(threshold)
     signed = materialize(signatures(texts, bands, rows), "signatures")
     worded = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
+    # Bands and sketch follow from the set, so those of any row of a class will do.
+    classes = worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes, "classes")
 
     # Buckets: keys of several classes; of buckets with the same members one is enough.
-    keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
+    keyed = classes.select(F.explode("bands").alias("key"), "rep")
     full = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 40))).alias("h")).where("n > 1 and least <> most")
     keys = materialize(full.groupBy("n", "least", "most", "h").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    members = _dealt(salted_join(keyed, keys, "key", ["rep"], "inner", SALTS).distinct(), "key", BUCKET).join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
+    # Dealt by rep once, for distinct and the join.
+    members = _dealt(salted_join(keyed, keys, "key", ["rep"], "inner", SALTS, keys.count()).repartition("rep").distinct(), "key", BUCKET).join(classes.select("rep", "sketch"), "rep")
     bound = _most_differing(least, bands * rows)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,22 +303,28 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             rep, side = bucket.column("rep").to_numpy(), bucket.column("side").to_numpy()
             sketches = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
             if edges := sift_bucket(sketches, bound, side):
-                a, b = np.array(edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["u", "v"])
+                yield _stars(rep, edges)
 
     by = ("key", "low", "high")
     members = members.select(*by, "side", "rep", "sketch").repartition(*by).sortWithinPartitions(*by, "rep")
-    families = components(members.mapInArrow(sift, "u long, v long"))
-    families = materialize(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "families")
-    linked = components(_confirm(texts, families, threshold))
+    families = stars(materialize(members.mapInArrow(sift, "u long, v long"), "sifted"))
+    linked = _confirm(texts, families, threshold).select(F.col("u").alias("node"), F.col("v").alias("component"))
     # A text alone in its class and without links is its own component and needs no row here.
-    placed = classes.join(linked, classes.rep == linked.node, "left").where("copies > 1 or component is not null")
+    placed = classes.select("digest", "rep", "copies").join(linked, classes.rep == linked.node, "left").where("copies > 1 or component is not null")
     placed = materialize(placed.select("digest", F.coalesce("component", "rep").alias("component")), "placed")
     out = salted_join(signed.select("doc_id", "n_shingles", "digest"), placed, "digest", ["doc_id"])
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _stars(rep: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Components of edges between places in rep: u, v for every rep u but the smallest of each component, which is v."""
+    a, b = np.array(edges).T
+    nodes, least = least_reached(rep[a], rep[b])
+    linked = nodes != least
+    return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(least[linked])], names=["u", "v"])
+
+
 def _dealt(members: DataFrame, group: str, most: int) -> DataFrame:
     """Members (group, rep, n) with side, low and high: groups of up to `most` stay whole; larger ones are split into sides
     of about half as many, and every member goes to each pair (low, high) of its side with a side."""
@@ -326,13 +334,13 @@ def _dealt(members: DataFrame, group: str, most: int) -> DataFrame:
     return paired.select(group, "rep", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
 
 
-def _confirm(texts: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
-    """Confirmed links (a spanning forest for each family or block) as u, v.
+def _confirm(texts: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
+    """Components over confirmed links within families (found: u, v as of stars()): u, v for every member u but the smallest of each component, which is v.
 
-    A family over BLOCK members is first compared within blocks of about half as many, to each of which go some ANCHORS
-    of its members too. That joins nearly all of a true family. What lies outside the family's largest component then
-    meets every block; pairs within that component need no comparison. Only texts of members move (likely); texts in no
-    family are most of a corpus.
+    A family of up to BLOCK members is settled where it is confirmed (low and high are -1). A larger one is first compared
+    within blocks of about half as many, to each of which go some ANCHORS of its members too. That joins nearly all of a
+    true family. What lies outside the family's largest component then meets every block; pairs within that component
+    need no comparison. Only texts of members move (likely); texts in no family are most of a corpus.
     """
 
     def links(dealt: DataFrame) -> DataFrame:
@@ -341,39 +349,43 @@ def _confirm(texts: DataFrame, families: DataFrame, threshold: int) -> DataFrame
 
         @frugal
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, rows in _groups(batches, 3):
+            for (_, low, _), rows in _groups(batches, 3):
                 rep, side = rows.column("rep").to_numpy(), rows.column("side").to_numpy()
                 sets = [s for batch in rows.to_batches() for part in text_chunks(batch, "text") for s in shingle_hashes(part.column("text"))]
                 if edges := confirm_family(sets, side, threshold):
-                    a, b = np.array(edges).T
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["u", "v"])
+                    found = _stars(rep, edges)
+                    yield found.append_column("low", pa.array(np.full(found.num_rows, low, np.int32)))
 
         by = ("family", "low", "high")
-        return member.select(*by, "side", "rep", "text").repartition(*by).sortWithinPartitions(*by, "rep").mapInArrow(run, "u long, v long")
+        return member.select(*by, "side", "rep", "text").repartition(*by).sortWithinPartitions(*by, "rep").mapInArrow(run, "u long, v long, low int")
 
-    zero, half = F.lit(0), BLOCK // 2
-    counts = materialize(families.groupBy("family").agg(F.count("*").alias("n")), "family-sizes")
+    zero, none, half = F.lit(0), F.lit(-1), BLOCK // 2
+    counts = materialize(found.groupBy(F.col("v").alias("family")).agg((F.count("*") + 1).alias("n")), "family-sizes")
+    families = found.select(F.col("v").alias("family"), F.col("u").alias("rep")).union(counts.select("family", "family"))
     large = counts.where(F.col("n") > BLOCK)
-    if large.isEmpty():
-        return links(families.select("family", "rep", zero.alias("side"), zero.alias("low"), zero.alias("high")))
-    sized = materialize(salted_join(families, counts, "family", ["rep"], "inner", SALTS), "sized")
-    whole = sized.where(F.col("n") <= BLOCK).select("family", "rep", zero.alias("side"), zero.alias("low"), zero.alias("high"))
+    n_large = large.count()
+    if not n_large:
+        return links(families.select("family", "rep", zero.alias("side"), none.alias("low"), none.alias("high"))).select("u", "v")
+    sized = materialize(salted_join(families, large, "family", ["rep"], "left", SALTS, n_large), "sized")
+    whole = sized.where("n is null").select("family", "rep", zero.alias("side"), none.alias("low"), none.alias("high"))
     blocks = F.ceil(F.col("n") / half).cast("int")
-    split = sized.where(F.col("n") > BLOCK).withColumn("low", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    split = sized.where("n is not null").withColumn("low", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     anchor = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("n")) < ANCHORS
-    everywhere = split.where(anchor).select("family", "rep", F.explode(F.sequence(zero, blocks - 1)).alias("low"))
-    inside = split.select("family", "rep", "low").union(everywhere).distinct()
+    inside = split.select("family", "rep", F.explode(F.when(anchor, F.sequence(zero, blocks - 1)).otherwise(F.array("low"))).alias("low"))
     blockwise = materialize(whole.union(inside.select("family", "rep", zero, "low", F.col("low").alias("high"))), "blockwise")
     first = materialize(links(blockwise), "links")
+    settled, joined = first.where("low < 0").select("u", "v"), stars(first.where("low >= 0"))
     # Members of split families outside their family's largest component.
-    joined = components(first.join(split.select(F.col("rep").alias("u")), "u", "left_semi"))
-    placed = split.join(joined, split.rep == joined.node, "left").select("family", "rep", "n", "low", F.coalesce("component", "rep").alias("part"))
+    placed = split.join(joined, split.rep == joined.u, "left").select("family", "rep", "n", "low", F.coalesce("v", "rep").alias("part"))
     placed = materialize(placed, "placed-members")
     parts = placed.groupBy("family", "part").agg(F.count("*").alias("size"))
     main = parts.groupBy("family").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("n"), F.max("size").alias("most"))
     waits = F.ceil((F.col("n") - F.col("most")) / half).cast("int")
-    told = salted_join(placed.drop("n"), main.select("family", "main", "n", waits.alias("sides")).where("sides > 0"), "family", ["rep"], "inner", SALTS)
+    told = salted_join(placed.drop("n"), main.select("family", "main", "n", waits.alias("sides")).where("sides > 0"), "family", ["rep"], "inner", SALTS, n_large)
     rest = told.where("part <> main").withColumn("s", F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("sides")).cast("int"))
     rest = rest.select("family", "rep", zero.alias("side"), F.col("s").alias("low"), F.explode(F.sequence(zero, blocks - 1)).alias("high"))
     rows = told.select("family", "rep", F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("sides") - 1)).alias("s"), F.col("low").alias("high")).withColumnRenamed("s", "low")
-    return first.union(links(materialize(rest.union(rows.select("family", "rep", "side", "low", "high")), "waiting")))
+    waiting = materialize(rest.union(rows.select("family", "rep", "side", "low", "high")), "waiting")
+    if waiting.isEmpty():
+        return settled.union(joined)
+    return settled.union(stars(joined.union(materialize(links(waiting), "late-links").select("u", "v"))))

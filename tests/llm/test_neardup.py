@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from siltworks.llm import common, neardup
+from siltworks.llm import components as components_module
 from siltworks.llm.components import components
 
 
@@ -156,3 +157,55 @@ def test_threshold_of_the_caller(spark):
         assert got == {d: d - d % 2 * (near[d - d % 2] * 100 >= threshold) for d in got} and len(got) == 120
     left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert left == {d for d in sets if d % 2 == 0 or near[d - 1] < 0.8}
+
+
+def test_components_of_random_graphs(spark, monkeypatch):
+    rng = random.Random(21)
+    hub = [(10**6 + i, 5 + i % 3) for i in range(3000)] + [(9 * 10**6, 10**6 + i) for i in range(0, 3000, 7)]
+    path = [(i, i + 1) for i in rng.sample(range(20000, 20400), 400)]
+    sparse = [(rng.randrange(30000, 33000), rng.randrange(30000, 33000)) for _ in range(1800)]
+    edges = hub + path + sparse + [(-4, -(2**63)), (2**63 - 1, -4), (7, 7)]
+    up = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    want = {x: root(x) for x in up}
+    table = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    for few, at_once in ((1 << 16, 1 << 20), (0, 64)):
+        monkeypatch.setattr(common, "FEW", few)
+        monkeypatch.setattr(components_module, "AT_ONCE", at_once)
+        got = components(table).collect()
+        assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_large_families_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BUCKET", 10)
+    monkeypatch.setattr(common, "FEW", 0)
+    rng = random.Random(6)
+    rows = family(rng, -30, 60, 80, 9) + family(rng, 100, 40, 60, 6) + family(rng, 200, 5)
+    got = neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == brute(rows)
+
+
+def test_few_jobs_settle_large_families(spark, monkeypatch):
+    """Each job costs the driver memory, and time in proportion to the partitions, however few the rows."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(6)
+    rows = family(rng, -30, 60, 80, 9) + family(rng, 100, 40, 60, 6) + family(rng, 200, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sc = spark.sparkContext
+    sc.setJobGroup("few jobs", "near-duplicates")
+    try:
+        neardup.cluster(docs).collect()
+    finally:
+        sc._jsc.clearJobGroup()
+    assert len(sc.statusTracker().getJobIdsForGroup("few jobs")) <= 50
